@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import piece_codec, ranker, rules, secrets
+from . import packing, piece_codec, radix_dedup, ranker, rules, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -24,6 +24,14 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digest_documents(table(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
 
 
+def op3_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radix_dedup.exact_groups(spark, table(spark, sf_dir))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, table(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(spark, table(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -41,4 +49,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_radix_dedup": radix_dedup.ORACLE_SQL}
