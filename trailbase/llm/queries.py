@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, piece_codec, radix_dedup, ranker, rules, secrets
+from . import near_dup, packing, piece_codec, radix_dedup, ranker, rules, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -20,6 +20,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.components(spark, table(spark, sf_dir), 2, 80)
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digest_documents(table(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
 
