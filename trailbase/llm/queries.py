@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup, packing, piece_codec, radix_dedup, ranker, rules, secrets
+from . import near_dup, packing, piece_codec, radix_dedup, ranker, rules, secrets, suffix_dedup, suffix_tree_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -36,6 +36,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(spark, table(spark, sf_dir))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(spark, table(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -44,6 +48,10 @@ def op8_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranker.score_documents(spark, table(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op9_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_dedup.remove(spark, table(spark, sf_dir))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir))
 
