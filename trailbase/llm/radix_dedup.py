@@ -7,8 +7,8 @@ digest.  Digits grow fourfold from level to level, so the number of levels is
 the logarithm of the longest text that still has a partner.
 
 A level counts its groups on the map side first, so a group of copies crosses
-the exchange as one row for each task.  Its rows learn their group from a join
-in which Spark may split a hot key.  Only rows that still share a group carry
+the exchange as one row for each task.  Its rows learn their group from a sort-merge
+join at every size, in which Spark may split a hot key.  Only rows that still share a group carry
 text to the next level.
 """
 
@@ -46,7 +46,7 @@ def exact_groups(spark: SparkSession, docs: DataFrame, *more: str, digest: bool
     known = rows.filter("doc_id is not null")
     groups = _group(work, known.select("size_", "digit_"), ["size_", "digit_"], 0)
     width, done = FIRST_DIGIT, FIRST_DIGIT
-    split = rows.join(groups, ["size_", "digit_"], "left").withColumn("to", F.expr("if(doc_id is null, null, to)"))
+    split = rows.join(groups.hint("merge"), ["size_", "digit_"], "left").withColumn("to", F.expr("if(doc_id is null, null, to)"))
     rest = F.when(F.col("to").isNotNull(), F.expr(f"substring(rest_, {FIRST_DIGIT + 1}, greatest(0, size_ - {FIRST_DIGIT}))"))
     level = work.keep(split.select("doc_id", "more_", "sha_", "size_", F.col("to").alias("group_"), rest.alias("rest_")), "level0")
     number, finished = 0, []
@@ -54,7 +54,7 @@ def exact_groups(spark: SparkSession, docs: DataFrame, *more: str, digest: bool
         finished.append(level.filter("group_ is null").select("doc_id", "more_", "sha_", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")))
         ended = level.filter(f"group_ is not null and size_ <= {done}")
         best = ended.groupBy("group_").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        finished.append(ended.join(best, "group_").select("doc_id", "more_", "sha_", "keep_id", "group_size"))
+        finished.append(ended.join(best.hint("merge"), "group_").select("doc_id", "more_", "sha_", "keep_id", "group_size"))
         level = level.filter(f"group_ is not null and size_ > {done}")
         if level.isEmpty():
             break
@@ -62,7 +62,7 @@ def exact_groups(spark: SparkSession, docs: DataFrame, *more: str, digest: bool
         digits = level.withColumn("digit_", F.substring("rest_", 1, width))
         groups = _group(work, digits.select("group_", "digit_"), ["group_", "digit_"], number)
         rest = F.when(F.col("to").isNotNull(), F.expr(f"substring(rest_, {width + 1}, greatest(0, size_ - {done + width}))"))
-        split = digits.join(groups, ["group_", "digit_"], "left").select("doc_id", "more_", "sha_", "size_", F.col("to").alias("group_"), rest.alias("rest_"))
+        split = digits.join(groups.hint("merge"), ["group_", "digit_"], "left").select("doc_id", "more_", "sha_", "size_", F.col("to").alias("group_"), rest.alias("rest_"))
         level = work.keep(split, f"level{number}")
         done += width
     out = finished[0]
