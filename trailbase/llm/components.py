@@ -23,11 +23,11 @@ def connected_components(work: Workspace, edges: DataFrame, name: str) -> DataFr
         # Large star: larger neighbours of a hang under the least of a and its neighbours.
         both = edges.select("a", "b").union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        large = both.join(least.hint("merge"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         # Small star: smaller neighbours of a, and a itself, hang under the least of them.
         down = work.keep(large, f"{name}-large{number}")
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")).select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).filter("a != b").distinct()
+        small = down.join(least.hint("merge"), "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")).select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).filter("a != b").distinct()
         number += 1
         edges = work.keep(small, f"{name}{number}")
         # Done when every node hangs under one other, and no node has both a node above and one below.

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from . import flat
 from .components import connected_components
-from .workspace import Workspace, documents, width
+from .workspace import Workspace, documents, ids_are_unique, width
 
 ROWS, BANDS, SKETCH_BITS, TILE = 5, 32, 512, 512
 PERMUTATIONS = ROWS * BANDS
@@ -140,17 +140,17 @@ class _Search:
         """Pairs (a, b) that neither sizes nor sketches rule out."""
         side = lambda x: classes.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
         differing = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-        near = pairs.join(side("b"), "b").join(side("a"), "a")
+        near = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a")
         return near.filter(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")).filter(differing <= self.most).select("a", "b")
 
     def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
         """Pairs whose whole sets have the similarity; sets are made again for the rows in pairs alone."""
         pairs = self.work.keep(pairs, f"{name}-candidates")
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        rows = self.docs.select(F.col("row_").alias("id"), "text").join(wanted, "id", "left_semi").dropDuplicates(["id", "text"])
+        rows = self.docs.select(F.col("row_").alias("id"), "text").join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id", "text"])
         sets = self.work.keep(_whole_sets(rows, self.k), f"{name}-sets")
         side = lambda x: sets.select(F.col("id").alias(x), F.col("members").alias(f"m_{x}"))
-        both = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("shared", F.size(F.array_intersect("m_a", "m_b")))
+        both = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a").withColumn("shared", F.size(F.array_intersect("m_a", "m_b")))
         held = both.filter(100 * F.col("shared") >= self.percent * (F.size("m_a") + F.size("m_b") - F.col("shared"))).select("a", "b")
         held = self.work.keep(held, f"{name}-links")
         self.work.drop(f"{name}-candidates", f"{name}-sets")
@@ -159,20 +159,20 @@ class _Search:
     def stars(self, keyed: DataFrame) -> DataFrame:
         """Each class beside the least class of each of its band keys."""
         least = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        return keyed.join(least, "key").filter("id != a").select("a", F.col("id").alias("b")).distinct()
+        return keyed.join(least.hint("merge"), "key").filter("id != a").select("a", F.col("id").alias("b")).distinct()
 
     def across(self, classes: DataFrame, components: DataFrame) -> DataFrame:
         """Pairs of classes that share a key but no component, and that sketches don't rule out."""
-        labelled = classes.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        labelled = classes.join(components.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         keyed = labelled.select(F.explode("bands").alias("key"), "id", "component", "n_shingles", "sketch")
         slim = labelled.select(F.explode("bands").alias("key"), "id", "component")
         # Of a key, the component of its least class is the main one; the rows of others are few in a large group.
         main = F.min(F.struct("id", "component")).alias("least")
         open_ = slim.groupBy("key").agg(main, F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low != high")
         open_ = open_.select("key", F.col("least.component").alias("main"), F.col("least.id").alias("least_id"), "n")
-        rows = self.work.keep(keyed.join(open_, "key").withColumn("in_main", F.col("component") == F.col("main")), "open")
+        rows = self.work.keep(keyed.join(open_.hint("merge"), "key").withColumn("in_main", F.col("component") == F.col("main")), "open")
         sizes = rows.groupBy("key").agg(F.ceil(F.sum(F.col("in_main").cast("int")) / TILE).cast("int").alias("mains"), F.ceil(F.sum((~F.col("in_main")).cast("int")) / TILE).cast("int").alias("others"))
-        rows = rows.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+        rows = rows.join(sizes.hint("merge"), "key").withColumn("part", F.pmod(F.xxhash64("id"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
         # A tile (x, y) holds part x of the others against part y: of the main component if y < mains, else part y - mains >= x of the others.
         tile = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
         upto = lambda n: F.sequence(F.lit(0), n - 1)
@@ -243,7 +243,7 @@ def components(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int =
     linkable = signed.filter("doc_id is not null and n_shingles > 0")
     # The least doc_id stands for its class; ids in pairs are doc_ids, and a repeated doc_id brings the sets of its first row in byte order of keys.
     classes = linkable.groupBy("set_key").agg(F.min("doc_id").alias("id"))
-    one = linkable.join(classes, "set_key").filter("doc_id = id").groupBy("id", "set_key").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    one = linkable.join(classes.hint("merge"), "set_key").filter("doc_id = id").groupBy("id", "set_key").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     one = work.keep(one, "classes")
     search = _Search(work, rows.select(F.col("doc_id").alias("row_"), "text"), k, percent)
     keyed = one.select(F.explode("bands").alias("key"), "id")
@@ -251,13 +251,20 @@ def components(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int =
     found = work.keep(connected_components(work, links, "first"), "found")
     more_links = search.confirmed(search.across(one, found), "across")
     found = work.keep(connected_components(work, found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more_links), "second"), "all")
-    named = one.select("id", "set_key").join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
-    out = signed.withColumn("key_", F.expr("if(doc_id is null, null, set_key)")).join(named, F.col("key_") == named["set_key"], "left")
+    named = one.select("id", "set_key").join(found.hint("merge"), "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
+    out = signed.withColumn("key_", F.expr("if(doc_id is null, null, set_key)")).join(named.hint("merge"), F.col("key_") == named["set_key"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *[F.col("more_")[c].alias(c) for c in more])
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each group those with the least doc_id."""
+    """The rows of docs that stay, with all their columns: of each group those with the least doc_id.
+
+    Where no doc_id repeats, an anti join on doc_id leaves the others out; else
+    rows carry all their columns along.
+    """
+    if ids_are_unique(docs):
+        gone = components(spark, docs, k, percent).filter("not kept").select("doc_id")
+        return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     row = docs.withColumn("row_", F.struct(*[F.col(c) for c in docs.columns])).select("doc_id", "text", "row_")
     return components(spark, row, k, percent, "row_").filter("kept").select("row_.*")

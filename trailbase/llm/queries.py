@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup, packing, piece_codec, radix_dedup, ranker, rules, secrets, suffix_dedup, suffix_tree_dedup
+from . import near_dup, packing, piece_codec, radix_dedup, ranker, rules, secrets, suffix_dedup, suffix_tree_dedup, token_rollup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -44,6 +44,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(spark, table(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.replay(spark, table(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op8_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranker.score_documents(spark, table(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -61,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_radix_dedup": radix_dedup.ORACLE_SQL}
+    return {"op3_radix_dedup": radix_dedup.ORACLE_SQL, "op7_token_rollup": token_rollup.ORACLE_SQL}

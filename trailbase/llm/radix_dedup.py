@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, documents
+from .workspace import Workspace, documents, ids_are_unique
 
 FIRST_DIGIT, GROWTH = 64, 4
 RESULT = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -75,7 +75,12 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns: of equal texts those with the largest doc_id.
 
     Rows that repeat a doc_id and its text stay together, as in exact_groups.
+    Where no doc_id repeats, an anti join on doc_id leaves the others out; else
+    rows carry all their columns along.
     """
+    if ids_are_unique(docs):
+        gone = exact_groups(spark, docs, digest=False).filter("not kept").select("doc_id")
+        return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     row = docs.withColumn("row_", F.struct(*[F.col(c) for c in docs.columns])).select("doc_id", "text", "row_")
     return exact_groups(spark, row, "row_", digest=False).filter("kept").select("row_.*")
 

@@ -55,6 +55,12 @@ def width(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def ids_are_unique(docs: DataFrame) -> bool:
+    """Whether no doc_id is null or repeats."""
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
+    return again.isEmpty()
+
+
 def documents(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty) and nothing else, so that further columns never clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
