@@ -1,11 +1,4 @@
-"""Texts as runs between single spaces, so that a repeated run is encoded once.
-
-Natural text repeats its words.  Both tokenizers here never join symbols
-across a single space between two non-space characters, so a text's ids are
-those of its runs, one after another.  ``RunCache`` keeps what an encoder made
-of each run it has met, in a table of bounded size, and asks the encoder for
-all new runs of a batch at once.
-"""
+"""A bounded table of what an encoder made of the words it has met."""
 
 from __future__ import annotations
 
@@ -13,35 +6,14 @@ from collections.abc import Callable
 from itertools import chain
 
 
-def runs(text: str) -> list[str]:
-    """Split before every space between two characters that are not white space; the space stays at the head of its run.
-
-    >>> runs("a b  c")
-    ['a', ' b  c']
-    """
-    parts = text.split(" ")
-    if len(parts) == 1:
-        return parts if text else []
-    out, held, last = [], [parts[0]], parts[0]
-    for part in parts[1:]:
-        if last and part and not last[-1].isspace() and not part[0].isspace():
-            out.append(" ".join(held))
-            held = ["", part]
-        else:
-            held.append(part)
-        last = part
-    out.append(" ".join(held))
-    return out
-
-
 class RunCache:
-    """Values of runs, computed in bulk for those not met yet; emptied when it would pass ``most`` entries."""
+    """Values of words, computed in bulk for those not met yet; emptied when it would pass ``most`` entries."""
 
     def __init__(self, encode: Callable[[list[str]], list], most: int = 400_000):
         self.encode, self.most, self.known = encode, most, {}
 
     def values(self, texts: list[list[str]]) -> dict:
-        """A table with a value for each run of the texts."""
+        """A table with a value for each word of the texts."""
         known = self.known
         new = set(chain.from_iterable(texts)).difference(known)
         if len(known) + len(new) > self.most:
