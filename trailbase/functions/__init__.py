@@ -1 +1 @@
-
+"""Column functions: URLs, text, scores, dates and JSON."""

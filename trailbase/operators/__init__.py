@@ -1 +1 @@
-
+"""Set-oriented operators over DataFrames."""

@@ -1,4 +1,4 @@
-"""All queries of the engine by name."""
+"""All queries of the engine by name, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import crawl_queries, eval_queries, feedback_queries
+
+_MODULES = (crawl_queries, eval_queries, feedback_queries)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for module in _MODULES for name, (f, _) in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in _MODULES for name, (_, sql) in module.QUERIES.items() if sql}

@@ -1 +1 @@
-
+"""Where candidates and pages come from."""

@@ -1 +1 @@
-
+"""The run's event log as a stream."""
