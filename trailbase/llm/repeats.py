@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from . import flat
 from .workspace import Workspace, documents, width
 
-UNIT_BYTES, BUCKET_BYTES, HOT = 32 << 20, 48 << 20, 4096
+UNIT_BYTES, BUCKET_BYTES, PIECE_BYTES, HOT = 12 << 20, 24 << 20, 512 << 10, 4096
 SEGMENT, REPEAT, OPEN, OPEN_HOT, TEXT = 0, 1, 2, 3, 9
 ROWS = "dest int, kind int, key long, text string, blob binary"
 _FIELDS = ROWS.replace(",", "").split()[::2]
@@ -84,10 +84,11 @@ def by_dest(dest: np.ndarray, kind: int, *columns: np.ndarray) -> Iterator[tuple
 
 
 def restore(blobs: list[bytes]) -> list[np.ndarray]:
-    """The columns of blobs of by_dest, together."""
-    parts = [unsqueeze(b) for b in blobs]
-    for p in parts:
-        p[0] = np.cumsum(p[0])
+    """The columns of blobs of by_dest, together; the list is emptied on the way."""
+    parts = []
+    while blobs:
+        parts.append(unsqueeze(blobs.pop()))
+        parts[-1][0] = np.cumsum(parts[-1][0])
     return [np.concatenate(c) for c in zip(*parts, strict=True)]
 
 
@@ -163,6 +164,7 @@ def _anchors(windows: Windows, buckets: int):
 
     def unit(held: list[tuple]) -> pa.RecordBatch:
         key, place, count, off, gram, whole = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
         order = np.argsort(key, kind="stable")
         same = flat.mix(gram[order] + whole[order].astype(flat.U64) * flat.U64(0xA0761D6478BD642F))
         by_same = np.argsort(same, kind="stable")
@@ -170,14 +172,15 @@ def _anchors(windows: Windows, buckets: int):
         later = windows.later(same, key[order], place[order])
         gone, rest = order[later], np.sort(order[~later])
         rest = rest[np.argsort(key[rest], kind="stable")]
-        bucket = ((gram[rest] >> flat.U64(32)) * flat.U64(buckets) >> flat.U64(32)).astype(np.int64)
+        # Anchors are least hashes, so their upper bits are small: another mix spreads them.
+        bucket = ((flat.mix(gram[rest] + flat.U64(1)) >> flat.U64(32)) * flat.U64(buckets) >> flat.U64(32)).astype(np.int64)
         low = gram[rest].view(np.uint16).reshape(-1, 4)[:, :3]
         rows = list(by_dest(bucket, SEGMENT, key[rest], place[rest].astype(np.uint32), count[rest], off[rest], low[:, 0], low[:, 1], low[:, 2], whole[rest]))
         return emit(rows + _marked(buckets, key[gone], place[gone], count[gone]))
 
     def run(batches):
         held, size = [], 0
-        for part, data, at in flat.pieces(batches):
+        for part, data, at in flat.pieces(batches, PIECE_BYTES):
             ids = part.column(0).to_numpy(zero_copy_only=False)
             doc, place, count, off, gram, whole = windows.segments(*windows.symbols(data, at))
             held.append((ids[doc], place, count, off, gram, whole))
@@ -256,7 +259,7 @@ def _fetch(windows: Windows, buckets: int, place_of: Callable):
         for texts, columns in _with_texts(batches, (OPEN, OPEN_HOT)):
             if not columns:
                 continue
-            for part, data, at in flat.pieces(iter([texts])):
+            for part, data, at in flat.pieces(iter([texts]), PIECE_BYTES):
                 ids = part.column(2).to_numpy(zero_copy_only=False)
                 low, high = np.searchsorted(columns[0], ids), np.searchsorted(columns[0], ids, "right")
                 if (low == high).all():
@@ -318,7 +321,7 @@ def _compare(windows: Windows, buckets: int, equal: Callable):
         if not blobs:
             return
         parts = [unsqueeze(b) for b in blobs]
-        del blobs
+        blobs.clear()
         key, place, count, content = (np.concatenate(c) for c in zip(*parts, strict=True))
         del parts
         count = count.astype(np.int64)
