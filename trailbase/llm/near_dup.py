@@ -12,10 +12,12 @@
 4. Groups are the connected components of the pairs that hold on whole sets.
 5. A key whose classes fell into several components is looked at once more:
    only classes of different components are compared, sketch against sketch,
-   in tiles of at most TILE by TILE rows, so that no key has to fit a task;
-   what a sketch doesn't rule out is confirmed on whole sets, and components
-   are found again.  A link within one component can't change it, so no link
-   that shares a key with its partner is lost.
+   in tiles of at most TILE by TILE rows, so that no key has to fit a task, and
+   each pair in the first of the keys that it shares alone.  Whole sets go to
+   the tiles whose sketches left something open, once for each row and not for
+   each pair, and the links that hold there join components.  A link within
+   one component can't change it, so no link that shares a key with its
+   partner is lost.
 
 A pair of similarity 0.8 shares no key with probability (1 - 0.8**5)**32 =
 3e-6.  A sketch rules out a pair of that similarity with a probability below
@@ -26,9 +28,12 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +42,7 @@ from . import flat
 from .components import connected_components
 from .workspace import Workspace, documents, ids_are_unique, width
 
-ROWS, BANDS, SKETCH_BITS, TILE = 5, 32, 512, 512
+ROWS, BANDS, SKETCH_BITS, TILE = 5, 32, 512, 256
 PERMUTATIONS = ROWS * BANDS
 _A = (flat.mix(np.arange(1, PERMUTATIONS + 1, dtype=flat.U64) * flat.U64(0x2545F4914F6CDD1D)) >> flat.U64(32)).astype(np.uint32) | np.uint32(1)
 _B = (flat.mix(np.arange(1, PERMUTATIONS + 1, dtype=flat.U64) * flat.U64(0x9FB21C651E98DF25)) >> flat.U64(32)).astype(np.uint32)
@@ -143,12 +148,15 @@ class _Search:
         near = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a")
         return near.filter(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")).filter(differing <= self.most).select("a", "b")
 
+    def sets(self, wanted: DataFrame, name: str) -> DataFrame:
+        """Whole sets (id, members), made again for the wanted ids alone."""
+        rows = self.docs.select(F.col("row_").alias("id"), "text").join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id", "text"])
+        return self.work.keep(_whole_sets(rows, self.k), name)
+
     def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs whose whole sets have the similarity; sets are made again for the rows in pairs alone."""
+        """Pairs whose whole sets have the similarity."""
         pairs = self.work.keep(pairs, f"{name}-candidates")
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        rows = self.docs.select(F.col("row_").alias("id"), "text").join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id", "text"])
-        sets = self.work.keep(_whole_sets(rows, self.k), f"{name}-sets")
+        sets = self.sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-sets")
         side = lambda x: sets.select(F.col("id").alias(x), F.col("members").alias(f"m_{x}"))
         both = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a").withColumn("shared", F.size(F.array_intersect("m_a", "m_b")))
         held = both.filter(100 * F.col("shared") >= self.percent * (F.size("m_a") + F.size("m_b") - F.col("shared"))).select("a", "b")
@@ -161,16 +169,15 @@ class _Search:
         least = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
         return keyed.join(least.hint("merge"), "key").filter("id != a").select("a", F.col("id").alias("b")).distinct()
 
-    def across(self, classes: DataFrame, components: DataFrame) -> DataFrame:
-        """Pairs of classes that share a key but no component, and that sketches don't rule out."""
+    def across(self, classes: DataFrame, components: DataFrame, name: str) -> DataFrame:
+        """Links between classes that share a key but no component, one at least for each two components of a tile that have any."""
         labelled = classes.join(components.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        keyed = labelled.select(F.explode("bands").alias("key"), "id", "component", "n_shingles", "sketch")
-        slim = labelled.select(F.explode("bands").alias("key"), "id", "component")
+        slim = labelled.select(F.posexplode("bands").alias("band", "key"), "id", "component")
         # Of a key, the component of its least class is the main one; the rows of others are few in a large group.
         main = F.min(F.struct("id", "component")).alias("least")
-        open_ = slim.groupBy("key").agg(main, F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low != high")
-        open_ = open_.select("key", F.col("least.component").alias("main"), F.col("least.id").alias("least_id"), "n")
-        rows = self.work.keep(keyed.join(open_.hint("merge"), "key").withColumn("in_main", F.col("component") == F.col("main")), "open")
+        open_ = slim.groupBy("key").agg(main, F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
+        open_ = open_.select("key", F.col("least.component").alias("main"), F.col("least.id").alias("least_id"))
+        rows = self.work.keep(slim.join(open_.hint("merge"), "key").withColumn("in_main", F.col("component") == F.col("main")), f"{name}-open")
         sizes = rows.groupBy("key").agg(F.ceil(F.sum(F.col("in_main").cast("int")) / TILE).cast("int").alias("mains"), F.ceil(F.sum((~F.col("in_main")).cast("int")) / TILE).cast("int").alias("others"))
         rows = rows.join(sizes.hint("merge"), "key").withColumn("part", F.pmod(F.xxhash64("id"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
         # A tile (x, y) holds part x of the others against part y: of the main component if y < mains, else part y - mains >= x of the others.
@@ -180,50 +187,118 @@ class _Search:
         as_first = F.transform(F.filter(upto(F.col("mains") + F.col("others")), lambda y: (y < F.col("mains")) | (y - F.col("mains") >= F.col("part"))), lambda y: tile(F.col("part"), y))
         as_second = F.transform(F.filter(upto(F.col("others")), lambda x: x < F.col("part")), lambda x: tile(x, F.col("mains") + F.col("part")))
         rows = rows.withColumn("tile", F.explode(F.when(F.col("in_main"), as_main).otherwise(F.concat(as_first, as_second))))
-        rows = rows.select(F.xxhash64("key", "tile.x", "tile.y").alias("tile"), (F.col("tile.y") < F.col("mains")).alias("mixed"), "in_main", "id", "least_id", "component", "n_shingles", "sketch")
-        n = width(self.work.spark)
-        rows = rows.repartition(n, "tile").sortWithinPartitions("tile", "id")
-        most, percent = self.most, self.percent
-        return rows.mapInArrow(lambda batches: _tiles(batches, most, percent), "a long, b long").distinct()
-
-
-def _tiles(batches, most: int, percent: int):
-    """Pairs of rows of one tile and of different components that sizes and sketches allow; batches come sorted by tile."""
+        # Band keys by 31 bits: enough to tell whether two rows share an earlier one.
+        details = classes.select("id", "n_shingles", "sketch", F.transform("bands", lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands"))
+        rows = rows.join(details.hint("merge"), "id")
+        rows = rows.select(F.xxhash64("key", "tile.x", "tile.y").alias("tile"), "id", (F.col("tile.y") < F.col("mains")).alias("mixed"), "in_main", "least_id", "component", "n_shingles", "band", "sketch", "bands")
+        n, most, percent = width(self.work.spark), self.most, self.percent
+        by_tile = lambda df: df.repartition(n, "tile").sortWithinPartitions("tile", F.col("id").asc_nulls_first())
+        left = self.work.keep(by_tile(rows).mapInArrow(lambda batches: by_key(batches, lambda t: _sketch_tile(t, most, percent)), "tile long, id long, component long, pairs binary"), f"{name}-tiles")
+        rows_left = left.filter("id is not null")
+        sets = self.sets(rows_left.select("id").distinct(), f"{name}-sets")
+        met = rows_left.select("tile", "id", "component").join(sets.hint("merge"), "id").select("tile", "id", "component", "members", F.lit(None).cast("binary").alias("pairs"))
+        lists = left.filter("id is null").select("tile", "id", "component", F.lit(None).cast("array<long>").alias("members"), "pairs")
+        links = by_tile(met.unionByName(lists)).mapInArrow(lambda batches: by_key(batches, lambda t: _confirm_tile(t, percent)), "a long, b long")
+        links = self.work.keep(links.distinct(), f"{name}-links")
+        self.work.drop(f"{name}-open", f"{name}-tiles", f"{name}-sets")
+        return links
+
+
+def by_key(batches, one: Callable[[pa.Table], Iterator[pa.RecordBatch]]):
+    """What ``one`` makes of the rows of each value of the first column; batches come sorted by it."""
     held: list[pa.RecordBatch] = []
-
-    def flush(table: pa.Table):
-        tile, mixed, main, ids, least, component, n = (table.column(i).combine_chunks().to_numpy(zero_copy_only=False) for i in range(7))
-        words = table.column(7).combine_chunks()
-        sketch = words.flatten().to_numpy().view(flat.U64).reshape(len(ids), -1)
-        low, out_a, out_b = np.arange(len(ids)), [], []
-        step = 1
-        while True:
-            low = low[low + step < len(ids)]
-            low = low[tile[low] == tile[low + step]]
-            if not len(low):
-                break
-            i, j = low, low + step
-            ok = (component[i] != component[j]) & (~mixed[i] | (main[i] != main[j])) & (ids[i] != least[i])
-            ok &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-            i, j = i[ok], j[ok]
-            near = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64) <= most
-            out_a.append(ids[i[near]])
-            out_b.append(ids[j[near]])
-            step += 1
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*out_a, np.zeros(0, np.int64)])), pa.array(np.concatenate([*out_b, np.zeros(0, np.int64)]))], names=["a", "b"])
-
     for batch in batches:
-        held.append(batch)
-        table = pa.Table.from_batches(held)
-        tile = table.column(0)
-        last = tile[-1].as_py()
-        keys = tile.combine_chunks().to_numpy()
-        cut = int(np.searchsorted(keys, last)) if len(keys) else 0
-        if cut:
-            yield flush(table.slice(0, cut))
-        held = table.slice(cut).to_batches()
+        key = batch.column(0).to_numpy()
+        if not len(key):
+            continue
+        if held and held[-1].column(0)[0].as_py() != key[0]:
+            yield from one(pa.Table.from_batches(held))
+            held = []
+        cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            if held and low:
+                yield from one(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(low, high - low))
     if held:
-        yield flush(pa.Table.from_batches(held))
+        yield from one(pa.Table.from_batches(held))
+
+
+def _numbers(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
+
+
+def _matrix(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+
+
+def _sketch_tile(table: pa.Table, most: int, percent: int):
+    """Rows of one tile with a partner of another component that sizes and sketches allow, and the list of those pairs."""
+    ids, component, n, main = (_numbers(table, c) for c in ("id", "component", "n_shingles", "in_main"))
+    mixed, least, band = table.column("mixed")[0].as_py(), table.column("least_id")[0].as_py(), table.column("band")[0].as_py()
+    sketch, bands = _matrix(table, "sketch").view(flat.U64), _matrix(table, "bands")
+    found_i, found_j = [], []
+    for i in range(len(ids) - 1):
+        if ids[i] == least:  # compared with all in the first round
+            continue
+        j = np.arange(i + 1, len(ids))
+        ok = (component[j] != component[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))
+        j = j[ok & (main[j] != main[i])] if mixed else j[ok]
+        if len(j):
+            j = j[np.bitwise_count(sketch[j] ^ sketch[i]).sum(1, dtype=np.int64) <= most]
+        if len(j) and band:  # a pair is this tile's if no earlier band has it
+            j = j[~(bands[j, :band] == bands[i, :band]).any(1)]
+        if len(j):
+            found_i.append(np.full(len(j), i))
+            found_j.append(j)
+    if found_i:
+        i, j = np.concatenate(found_i), np.concatenate(found_j)
+        rows, place = np.unique(np.r_[ids[i], ids[j]], return_inverse=True)
+        pairs = zstandard.ZstdCompressor(level=1).compress(place.astype(np.uint16).reshape(2, -1).tobytes())
+        of = dict(zip(ids.tolist(), component.tolist(), strict=True))
+        tile, size = table.column("tile")[0].as_py(), len(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([tile] * (size + 1)), pa.array([*rows.tolist(), None], pa.int64()), pa.array([*(of[x] for x in rows.tolist()), None], pa.int64()), pa.array([*[None] * size, pairs], pa.binary())], names=["tile", "id", "component", "pairs"])
+
+
+def _confirm_tile(table: pa.Table, percent: int):
+    """Of one tile's pairs, links on whole sets; of those that join the same two components, one."""
+    listed = table.filter(pa.compute.is_valid(table.column("pairs")))
+    rows = table.filter(pa.compute.is_valid(table.column("id")))
+    place = np.frombuffer(zstandard.ZstdDecompressor().decompress(listed.column("pairs")[0].as_py()), np.uint16).reshape(2, -1)
+    members = [m.values.to_numpy() for m in rows.column("members")]
+    # An id that stands for several texts has a set for each.
+    ids = _numbers(rows, "id")
+    own, first = np.unique(ids, return_index=True)
+    bounds = [*first.tolist(), len(ids)]
+    component = _numbers(rows, "component")[first]
+    shared, size = overlap_counter(members), np.array(list(map(len, members)))
+    seen, out = set(), []
+    for i, j in zip(*place.astype(np.int64).tolist(), strict=True):
+        two = (int(min(component[i], component[j])), int(max(component[i], component[j])))
+        if two in seen:
+            continue
+        for x in range(bounds[i], bounds[i + 1]):
+            for y in range(bounds[j], bounds[j + 1]):
+                both = shared(x, y)
+                if two not in seen and 100 * both >= percent * (int(size[x]) + int(size[y]) - both):
+                    seen.add(two)
+                    out.append((int(own[i]), int(own[j])))
+    if out:
+        a, b = zip(*out, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def overlap_counter(members: list[np.ndarray], most_bytes: int = 64 << 20) -> Callable[[int, int], int]:
+    """How many members two sets share: by bitmaps over the members of all, or by merging where those would be too large."""
+    every, place = np.unique(np.concatenate(members), return_inverse=True)
+    words = -(-len(every) // 64)
+    if 8 * words * len(members) > most_bytes:
+        return lambda x, y: len(np.intersect1d(members[x], members[y], assume_unique=True))
+    row = np.repeat(np.arange(len(members)), list(map(len, members)))
+    bits = np.zeros((len(members), words * 8), np.uint8)
+    np.bitwise_or.at(bits, (row, place >> 3), (1 << (place & 7)).astype(np.uint8))
+    wide = bits.view(flat.U64)
+    return lambda x, y: int(np.bitwise_count(wide[x] & wide[y]).sum())
 
 
 def components(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, *more: str) -> DataFrame:
@@ -249,7 +324,7 @@ def components(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int =
     keyed = one.select(F.explode("bands").alias("key"), "id")
     links = search.confirmed(search.sketched(search.stars(keyed), one), "star")
     found = work.keep(connected_components(work, links, "first"), "found")
-    more_links = search.confirmed(search.across(one, found), "across")
+    more_links = search.across(one, found, "across")
     found = work.keep(connected_components(work, found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more_links), "second"), "all")
     named = one.select("id", "set_key").join(found.hint("merge"), "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     out = signed.withColumn("key_", F.expr("if(doc_id is null, null, set_key)")).join(named.hint("merge"), F.col("key_") == named["set_key"], "left")
