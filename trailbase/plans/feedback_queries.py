@@ -94,10 +94,10 @@ def stale_streak(spark: SparkSession, d: str) -> DataFrame:
     return feedback.stale_streak(pages, F.timestamp_seconds(F.lit(1_700_000_100.0))).select("seq", "streak")
 
 
-@query(f"WITH {JUDGED_SQL}, t AS (SELECT seq, sum(floor(value)::BIGINT) OVER (ORDER BY seq) AS total FROM judged) SELECT min(seq) AS first_spent FROM t WHERE total >= 50000")
+@query(f"WITH {JUDGED_SQL}, t AS (SELECT seq, sum(floor(value)::BIGINT) OVER (ORDER BY seq) AS total FROM judged) SELECT min(seq) AS first_spent FROM t WHERE total >= 20000")
 def budget_stop(spark: SparkSession, d: str) -> DataFrame:
     calls = judgements(spark, d).select("task_id", "seq", F.floor("value").alias("tokens"))
-    return feedback.token_spend(calls, 50_000).filter("spent").agg(F.min("seq").alias("first_spent"))
+    return feedback.token_spend(calls, 20_000).filter("spent").agg(F.min("seq").alias("first_spent"))
 
 
 @query("""SELECT o_orderkey AS task, nullif(concat_ws('+', CASE WHEN o_orderkey % 7 >= 5 THEN 'BUDGET_PAGES' END, CASE WHEN o_totalprice >= 200000 THEN 'BUDGET_TOKENS' END, CASE WHEN o_orderkey % 3 = 0 THEN 'USER_REQUESTED' END, CASE WHEN o_orderkey % 11 = 0 THEN 'FRONTIER_DRAINED' END), '') AS stop_reasons FROM orders""")
