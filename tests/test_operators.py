@@ -231,3 +231,15 @@ def test_nothing_collects_a_group(spark):
     """The best page of a key and the last row of a key are aggregates with partial results."""
     plan = store.latest(spark.range(10).select(F.col("id").alias("k"), F.col("id").alias("seq")), ("k",))._jdf.queryExecution().executedPlan().toString()
     assert "partial_max_by" in plan and "Window" not in plan
+
+
+def test_running_totals_cross_chunks(spark):
+    from trailbase.operators import running
+
+    rows = spark.createDataFrame([("a", i * 3, (i * 7) % 5) for i in range(60)] + [("b", 1, 4)], "k string, seq long, v long")
+    out = running.running(rows, "k", "seq", {"s": F.col("v")}, {"m": F.col("v")}, chunk=10).filter("k = 'a'").orderBy("seq").collect()
+    values = [(i * 7) % 5 for i in range(60)]
+    assert [r.s for r in out] == [sum(values[: i + 1]) for i in range(60)] and [r.m for r in out] == [max(values[: i + 1]) for i in range(60)]
+    last = running.last_rows(rows, "k", "seq", 4, {"n": F.lit(True), "big": F.col("v") > 2}, chunk=10).filter("k = 'a'").orderBy("seq").collect()
+    assert [r.n for r in last] == [min(i + 1, 4) for i in range(60)]
+    assert [r.big for r in last] == [sum(v > 2 for v in values[max(0, i - 3) : i + 1]) for i in range(60)]

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from .running import last_rows, running
 
 RECENT, HUBS, TOPICS, DOMAIN_WINDOW, RELEVANCE_WINDOW = 10, 5, 20, 3, 20
 HUB_FLOOR, BOOST, PENALTY, HUB_BOOST = 0.5, 1.2, 0.6, 1.5
@@ -101,21 +102,21 @@ def summary(judged: DataFrame, stored: DataFrame | None = None) -> DataFrame:
 
 
 def relevance_window(judged: DataFrame, threshold: float = 0.7, n: int = RELEVANCE_WINDOW) -> DataFrame:
-    """Of one task's judgements, at each how many of the last n there are and are relevant enough."""
-    frame = Window.partitionBy("task_id").orderBy("seq").rowsBetween(1 - n, Window.currentRow)
-    return judged.withColumns({"judged": F.count("*").over(frame), "relevant": F.count_if(F.col("relevance_score") >= threshold).over(frame)})
+    """Of each task's judgements, at each how many of the last n there are and are relevant enough."""
+    return last_rows(judged, "task_id", "seq", n, {"judged": F.lit(True), "relevant": F.col("relevance_score") >= threshold})
 
 
 def stale_streak(pages: DataFrame, since: Column) -> DataFrame:
-    """Of one task's dated pages, at each how many in a row up to it are older than ``since``; undated pages are passed over."""
-    order = Window.partitionBy("task_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    dated = pages.filter("published_at is not null").withColumn("stale", F.col("published_at") < since)
-    runs = dated.withColumn("run", F.count_if(~F.col("stale")).over(order))
-    in_run = Window.partitionBy("task_id", "run").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return runs.withColumn("streak", F.count_if("stale").over(in_run)).drop("run", "stale")
+    """Of each task's dated pages, at each how many in a row up to it are older than ``since``; undated pages are passed over.
+
+    The streak is the old pages so far, less those up to the last fresh page.
+    """
+    dated = pages.filter("published_at is not null").withColumn("old", F.col("published_at") < since)
+    counted = running(dated, "task_id", "seq", {"n_old": F.col("old").cast("long")})
+    reset = running(counted, "task_id", "seq", {}, {"at_fresh": F.when(~F.col("old"), F.col("n_old"))})
+    return reset.withColumn("streak", F.col("n_old") - F.coalesce("at_fresh", F.lit(0))).drop("old", "n_old", "at_fresh")
 
 
 def token_spend(calls: DataFrame, limit: int) -> DataFrame:
-    """Of one task's model calls, at each the tokens so far and whether the budget is used up."""
-    order = Window.partitionBy("task_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return calls.withColumn("total", F.sum("tokens").over(order)).withColumn("spent", (F.lit(limit) > 0) & (F.col("total") >= limit))
+    """Of each task's model calls, at each the tokens so far and whether the budget is used up."""
+    return running(calls, "task_id", "seq", {"total": F.col("tokens")}).withColumn("spent", (F.lit(limit) > 0) & (F.col("total") >= limit))
