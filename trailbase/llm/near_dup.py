@@ -326,6 +326,7 @@ def components(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int =
     found = work.keep(connected_components(work, links, "first"), "found")
     more_links = search.across(one, found, "across")
     found = work.keep(connected_components(work, found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more_links), "second"), "all")
+    work.drop("star-links", "across-links", "found")
     named = one.select("id", "set_key").join(found.hint("merge"), "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     out = signed.withColumn("key_", F.expr("if(doc_id is null, null, set_key)")).join(named.hint("merge"), F.col("key_") == named["set_key"], "left")
     component = F.coalesce("component", "doc_id")

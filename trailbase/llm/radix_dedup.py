@@ -49,6 +49,7 @@ def exact_groups(spark: SparkSession, docs: DataFrame, *more: str, digest: bool
     split = rows.join(groups.hint("merge"), ["size_", "digit_"], "left").withColumn("to", F.expr("if(doc_id is null, null, to)"))
     rest = F.when(F.col("to").isNotNull(), F.expr(f"substring(rest_, {FIRST_DIGIT + 1}, greatest(0, size_ - {FIRST_DIGIT}))"))
     level = work.keep(split.select("doc_id", "more_", "sha_", "size_", F.col("to").alias("group_"), rest.alias("rest_")), "level0")
+    work.drop("groups0")
     number, finished = 0, []
     while True:
         finished.append(level.filter("group_ is null").select("doc_id", "more_", "sha_", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")))
@@ -64,6 +65,7 @@ def exact_groups(spark: SparkSession, docs: DataFrame, *more: str, digest: bool
         rest = F.when(F.col("to").isNotNull(), F.expr(f"substring(rest_, {width + 1}, greatest(0, size_ - {done + width}))"))
         split = digits.join(groups.hint("merge"), ["group_", "digit_"], "left").select("doc_id", "more_", "sha_", "size_", F.col("to").alias("group_"), rest.alias("rest_"))
         level = work.keep(split, f"level{number}")
+        work.drop(f"groups{number}")
         done += width
     out = finished[0]
     for part in finished[1:]:

@@ -108,6 +108,7 @@ def apply_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, alpha:
     features = work.keep(shape.measure(docs, "lang"), "features")
     holdout = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
     limits = work.keep(calibrate(work, features.filter(holdout), labels, "lang", alpha, delta), "cutoffs")
+    work.drop("bins")
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     broken = F.coalesce(*[F.when(rate > F.col(f"limit_{r}"), F.lit(r)) for r, rate in rates().items()])
     limits = limits.select("stratum", *[F.col(r).alias(f"limit_{r}") for r in rates()])

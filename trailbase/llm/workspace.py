@@ -8,7 +8,9 @@ it ran, not the jobs before.
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -21,7 +23,9 @@ SETTING = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get(SETTING, None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='trailbase-')}"
+        own = tempfile.mkdtemp(prefix="trailbase-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = f"file://{own}"
         spark.conf.set(SETTING, base)
     return base.rstrip("/")
 
