@@ -137,11 +137,7 @@ class ByteTokenizer:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.fast = None
+        self.path, self.fast, self.full = path, None, None
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         model, cutter = file["model"], file["pre_tokenizer"] or {}
@@ -167,7 +163,14 @@ class ByteTokenizer:
         return [self.fast.encode_to_numpy(t, disallowed_special=()) if e else next(rest) for t, e in zip(texts, easy, strict=True)]
 
     def _slow(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if not texts:
+            return []
+        if self.full is None:  # only if a text needs it: it takes much memory
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.full = Tokenizer.from_file(self.path)
+        return [np.array(e.ids, np.uint32) for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 _tokenizers: dict[str, ByteTokenizer] = {}
@@ -183,8 +186,8 @@ def cut(docs: DataFrame, tokenizer_path: str, size: int = SIZE) -> DataFrame:
         context = TaskContext.get()
         task, seen = context.partitionId() if context else 0, np.zeros(size + 1, np.int64).tolist()
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                part = batch.slice(low, 1024)
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
                 rows = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), _tokenizers[tokenizer_path].encode(part.column(1).to_pylist()), strict=True):
                     ids = np.append(ids, np.uint32(0)).astype("<u4")
