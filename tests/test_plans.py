@@ -121,3 +121,85 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 20
     assert set(registry.queries()) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_walk_resumes_after_its_last_round(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "x") for k in "abcd"], "url_key string, reg_domain string")
+    links = spark.createDataFrame([(s, k, f"https://x/{k}", f"https://x/{k}", "x", "x", "") for s, k in ("ab", "bc", "cd")], "source_url_key string, url_key string, raw string, canonical string, domain string, reg_domain string, anchor string")
+    start = spark.createDataFrame([("a", "x", 1.0, 0)], "url_key string, reg_domain string, priority double, depth int")
+    score = lambda df: df.withColumn("priority", F.lit(0.5))
+    path = f"file://{tmp_path}/walk"
+    rounds.Walk(spark, pages, links, score, rounds.Limits(max_pages=2, round_size=1), path).run(start)
+    (tmp_path / "walk" / "popped3").mkdir()  # a round that broke off
+    visited, audit, why = rounds.Walk(spark, pages, links, score, rounds.Limits(round_size=1), path).resume()
+    assert sorted(r.url_key for r in visited.collect()) == list("abcd") and audit.count() == 3 and why == "FRONTIER_DRAINED"
+
+
+def test_endorsed_links_become_items(spark):
+    judged = spark.createDataFrame([("https://e.com/a/", ["b", "c.pdf", "b"])], "url string, endorsed_links array<string>")
+    depths = spark.createDataFrame([("https://e.com/a/", 2)], "url string, depth int")
+    out = rounds.endorsed_items(judged, depths, spark.createDataFrame([], "url_key string")).collect()
+    assert [(r.canonical, r.depth, r.priority) for r in out] == [("https://e.com/a/b", 3, 1.0)]
+
+
+def test_goal_and_analysis(spark):
+    from trailbase.operators import analyze
+
+    now = datetime.datetime(2026, 3, 1, tzinfo=datetime.UTC)
+    goal = analyze.enhance("Rust compilers", lambda p: 'x {"goal_statement": " s ", "keywords": ["a", " a", 3, "b"], "since": "2026-01-01",}', now)
+    assert (goal.statement, goal.keywords, goal.since.month) == ("s", ("a", "b"), 1) and len(goal.goal_id) == 12
+    assert analyze.enhance("Rust rust c", None, now).keywords == ("rust", "c")
+
+    def broken(prompt):
+        raise OSError
+
+    assert analyze.enhance("x", broken, now).statement == ""
+    pages = spark.createDataFrame([("k1", "https://e.com/1", "t", "body", 1), ("k2", "https://e.com/2", None, "  ", 2), ("k3", "https://e.com/3", "t", "odd", 3)], "url_key string, canonical string, title string, plain_text string, fetched_seq int")
+    model = lambda p: "no" if "odd" in p else '{"classification": "HUB", "relevance_score": 0.5}'
+    out = {r.url_key: r for r in analyze.analyze(pages, goal, model).collect()}
+    assert (out["k1"].outcome, out["k1"].classification, out["k2"].outcome, out["k3"].outcome, out["k3"].attempt) == ("ok", "HUB", "empty", "failed", 3)
+    done = analyze.analyze(pages, goal, model)
+    assert analyze.replay(pages, done, goal, model).count() == 0
+    assert [r.url_key for r in analyze.replay(pages, done, goal, model, force=True, limit=1).collect()] == ["k1"]
+
+
+def test_services():
+    from trailbase.sources import services
+
+    calls = iter([OSError("x"), ("hi", 3, 4), ("ho", 3, 4)])
+
+    def post(prompt):
+        answer = next(calls)
+        if isinstance(answer, OSError):
+            raise answer
+        return answer
+
+    chat = services.Chat(post, services.TokenBudget(limit=7), sleep=lambda s: None)
+    assert chat("p") == "hi" and chat.budget.total == 7 and chat.budget.calls == 1
+    with pytest.raises(services.BudgetExceededError):
+        chat("p")
+    embed = services.remote_embedder(lambda texts: [{"index": i, "embedding": [float(len(t))]} for i, t in reversed(list(enumerate(texts)))], most=2)
+    assert embed(["a", "bb", "ccc"]) == [[1.0], [2.0], [3.0]]
+
+
+def fake_model(prompt):
+    return '{"classification": "RELEVANT", "relevance_score": 0.8, "tags": ["t"]}'
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from trailbase import cli
+
+    root = f"file://{tmp_path}/store"
+    page = lambda links: "<title>T</title><p>words here</p>" + "".join(f"<a href='{x}'>go</a>" for x in links)
+    spark.createDataFrame([(1, "https://e.com/a", page(["/b", "/n.pdf"])), (2, "https://e.com/b", page(["/a"])), (3, "https://e.com/c", page([]))], "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages")
+    cli.main(["run", "words here", "--store", root, "--pages", f"file://{tmp_path}/pages", "--seeds", "https://e.com/a", "--round-size", "1"])
+    said = capsys.readouterr().out
+    assert "2 pages, ended by FRONTIER_DRAINED" in said
+    run_id = said.split(":")[0]
+    for _ in range(2):  # the second replay finds nothing to do
+        cli.main(["replay", "--store", root, "--run", run_id, "--model", "tests.test_plans:fake_model"])
+        assert "2 analyses" in capsys.readouterr().out
+    cli.main(["inspect", "--store", root, "--run", run_id])
+    assert "RELEVANT: 2" in capsys.readouterr().out
+    cli.main(["inspect", "--store", root, "--run", run_id, "--export", "json", "--to", f"file://{tmp_path}/out"])
+    assert spark.read.json(f"file://{tmp_path}/out").count() == 2

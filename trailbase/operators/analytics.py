@@ -64,3 +64,14 @@ def log_fields(lines: DataFrame) -> DataFrame:
 def arm_stats(fields: DataFrame) -> DataFrame:
     """One row: tokens of the finished task, the latest elapsed time of a fetch, analyses."""
     return fields.agg(F.coalesce(F.max(F.when(F.col("event") == "task.done", F.col("tokens"))), F.lit(0)).alias("tokens"), F.coalesce(F.max(F.when(F.col("event") == "fetch.ok", F.col("elapsed"))), F.lit(0.0)).alias("time"), F.count_if(F.col("event") == "analysis.ok").alias("analyses"))
+
+
+def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two tables of (metric, value) side by side with their difference; a metric of one side alone stays."""
+    both = a.select("metric", F.col("value").alias("a")).join(b.select("metric", F.col("value").alias("b")), "metric", "full")
+    return both.select("metric", "a", "b", (F.col("b") - F.col("a")).alias("difference"))
+
+
+def as_metrics(row: DataFrame) -> DataFrame:
+    """A one-row summary as (metric, value)."""
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in row.columns])).alias("m")).select("m.*")

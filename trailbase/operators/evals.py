@@ -113,3 +113,17 @@ def recall_proxy(found: DataFrame) -> DataFrame:
     one = found.select("arm", "url").distinct()
     total = one.agg(F.countDistinct("url").alias("total"), F.lit(1).alias("k"))
     return one.groupBy("arm").agg(F.count("*").alias("n"), F.lit(1).alias("k")).join(F.broadcast(total), "k").select("arm", "n", (F.col("n") / F.col("total")).alias("recall"))
+
+
+def judge_worklist(arms: list[DataFrame], judged: DataFrame) -> DataFrame:
+    """Pages (url) that any arm fetched and no one has judged."""
+    every = arms[0].select("url")
+    for arm in arms[1:]:
+        every = every.union(arm.select("url"))
+    return every.distinct().join(judged.select("url"), "url", "left_anti")
+
+
+def review_listing(rows: DataFrame) -> DataFrame:
+    """One line for each labelled row."""
+    mark = F.when(F.col("relevant"), "+").otherwise("-")
+    return rows.select("idx", F.format_string("%4d %s [%s] %s", F.col("idx"), mark, F.col("layer"), F.coalesce("text", F.lit(""))).alias("line"))

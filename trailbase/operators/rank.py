@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import json_text, scores, text
@@ -94,6 +94,11 @@ def answer_decisions(candidates: DataFrame, answers: DataFrame) -> DataFrame:
     return out.select("candidate_id", "url_key", priority.alias("priority"), (~is_ranked & F.coalesce("drop", F.lit(False))).alias("dropped"), why.alias("rationale"), F.lit("llm").alias("ranker"))
 
 
+def goal_vector(spark: SparkSession, statement: str, prompt: str, embedder: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+    """The goal's one vector, embedded once on the driver."""
+    return spark.createDataFrame([(list(map(float, embedder([f"{statement} {prompt}".strip()])[0])),)], "goal_vector array<double>")
+
+
 def chunked(candidates: DataFrame, size: int = CHUNK) -> DataFrame:
     """Candidates with the chunk they are asked in, by rank within their source page."""
     order = Window.partitionBy("source_page").orderBy("candidate_id")
@@ -123,11 +128,12 @@ def ask(prompts: DataFrame, model: Callable[[str], str], attempts: int = 2) -> D
     return prompts.select("chunk", "prompt").mapInPandas(run, "chunk string, content string, attempt int, error string")
 
 
-def ranking_prompts(candidates: DataFrame, goal: str) -> DataFrame:
-    """(chunk, prompt): the goal and the cards of a chunk's candidates, CHUNK of them at most."""
+def ranking_prompts(candidates: DataFrame, goal: str, seen: list[str] | None = None) -> DataFrame:
+    """(chunk, prompt): the goal, up to five lines on pages seen, and the cards of a chunk's candidates, CHUNK of them at most."""
+    head = "\n".join([f"Goal: {goal}", *(["Seen:", *(seen or [])[:5]] if seen else [])])
     card = text.candidate_card(F.col("candidate_id"), F.col("url"), F.col("anchor"), F.col("snippet"), F.col("source_title"))
     cards = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("candidate_id", card.alias("card")))), lambda x: x["card"]), "\n\n")
-    return candidates.groupBy("chunk").agg(F.concat(F.lit(f"Goal: {goal}\n\n"), cards).alias("prompt"))
+    return candidates.groupBy("chunk").agg(F.concat(F.lit(head + "\n\n"), cards).alias("prompt"))
 
 
 def embed(texts: DataFrame, embedder: Callable[[list[str]], list[list[float]]], batch: int = 100) -> DataFrame:

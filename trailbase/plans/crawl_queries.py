@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, json_text, scores, text, urls
 from ..operators import frontier, html, prefilter, rank, robots
+from ..sources import seeds
 from . import rounds
 from .tables import JUDGED_SQL, KEYWORDS, LINKS_SQL, NOW, candidates, canonical_sql, host_sql, judgements, reg_domain_sql, table
 
@@ -296,3 +297,9 @@ def crawl_rounds(spark: SparkSession, d: str) -> DataFrame:
     walk = rounds.Walk(spark, pages, links, lambda df: df.withColumn("priority", F.pmod(F.col("number") * 37, F.lit(100)) / 100.0), rounds.Limits(max_pages=40, round_size=10, domain_budget=8))
     seeds = spark.createDataFrame([("n0", "d0", 1.0, 0)], "url_key string, reg_domain string, priority double, depth int")
     return walk.run(seeds)[0]
+
+
+@query(f"SELECT DISTINCT substr(sha256({canonical_sql('url')}), 1, 16) AS url_key, 1.0::DOUBLE AS priority, 0 AS depth FROM pages WHERE NOT regexp_matches({canonical_sql('url')}, '{prefilter.EXTENSION_PATTERN}') AND NOT regexp_matches({canonical_sql('url')}, '{prefilter.PATH_PATTERN}')")
+def seed_items(spark: SparkSession, d: str) -> DataFrame:
+    """The pages' own URLs as seeds."""
+    return rounds.ingest_seeds(seeds.from_text_column(table(spark, d, "pages"), F.col("url")))[0].select("url_key", "priority", "depth")

@@ -240,3 +240,21 @@ def log_arm_stats(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events")
     lines = rows.select(F.concat(F.lit("info "), name, F.lit(" tokens=1")).alias("value")).union(rows.select(F.concat(F.lit("info task.done tokens="), (F.col("event_id") * 3).cast("string")))).union(rows.select(F.concat(F.lit("info fetch.ok elapsed="), number, F.lit("s"))))
     return analytics.arm_stats(analytics.log_fields(lines))
+
+
+@query("SELECT DISTINCT json_extract_string(props, '$.k') AS url FROM events WHERE event_type IN ('view', 'click') AND json_extract_string(props, '$.k') NOT IN (SELECT json_extract_string(props, '$.k') FROM events WHERE event_type = 'purchase' AND user_id < 5)")
+def judge_worklist(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select("event_type", "user_id", F.get_json_object("props", "$.k").alias("url"))
+    return evals.judge_worklist([rows.filter(F.col("event_type") == e) for e in ("view", "click")], rows.filter("event_type = 'purchase' and user_id < 5"))
+
+
+@query("SELECT vec_id AS idx, printf('%4d %s [%s] %s', vec_id, CASE WHEN label < 5 THEN '+' ELSE '-' END, label::VARCHAR, 'v' || vec_id) AS line FROM embeddings")
+def review_listing(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), (F.col("label") < 5).alias("relevant"), F.col("label").cast("string").alias("layer"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("text"))
+    return evals.review_listing(rows)
+
+
+@query("WITH a AS (SELECT event_type AS metric, count(*)::DOUBLE AS value FROM events WHERE user_id % 2 = 0 GROUP BY 1), b AS (SELECT event_type AS metric, count(*)::DOUBLE AS value FROM events WHERE user_id % 2 = 1 GROUP BY 1) SELECT metric, a.value AS a, b.value AS b, b.value - a.value AS difference FROM a FULL JOIN b USING (metric)")
+def run_comparison(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").groupBy("event_type", (F.col("user_id") % 2).alias("run")).agg(F.count("*").cast("double").alias("value")).withColumnRenamed("event_type", "metric")
+    return analytics.compare_runs(rows.filter("run = 0"), rows.filter("run = 1"))

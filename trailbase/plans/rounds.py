@@ -13,10 +13,11 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import prefilter, stop
+from ..functions import urls
+from ..operators import feedback, prefilter, stop
 
 
 @dataclass(frozen=True)
@@ -28,28 +29,69 @@ class Limits:
     most_rounds: int = 1000
 
 
+def ingest_seeds(seeds: DataFrame, allowed: DataFrame | None = None, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
+    """Seed candidates as frontier items of priority 1, and all of them with their drop_reason; robots rules don't apply to seeds."""
+    open_ = seeds.withColumns({"robots_allows": F.lit(True), "anchor": F.lit("")})
+    judged = prefilter.with_reason(open_, limits.depth_limit, limits.domain_budget, allowed=allowed)
+    return judged.filter("drop_reason is null").select("url_key", "reg_domain", F.lit(1.0).alias("priority"), F.lit(0).alias("depth")), judged
+
+
+def endorsed_items(judged: DataFrame, depths: DataFrame, seen: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Links that judged pages endorse, as items of priority 1, one deeper than the page they are on."""
+    links = feedback.endorsed(judged).withColumn("u", urls.url_struct(F.col("href"), F.col("source_url"))).select("source_url", "u.*", F.lit("").alias("anchor"))
+    found = links.join(depths.select(F.col("url").alias("source_url"), F.col("depth").alias("from_depth")), "source_url", "left").withColumn("depth", F.coalesce("from_depth", F.lit(0)) + 1).drop("from_depth")
+    kept = prefilter.with_reason(found, limits.depth_limit, limits.domain_budget, seen=seen).filter("drop_reason is null")
+    return kept.groupBy("url_key").agg(F.min("canonical").alias("canonical"), F.min("reg_domain").alias("reg_domain"), F.min("depth").alias("depth")).withColumn("priority", F.lit(1.0))
+
+
 class Walk:
     """pages: url_key, reg_domain; links: source_url_key and the columns of a candidate (url_key, raw, canonical, domain, reg_domain, anchor)."""
 
-    def __init__(self, spark: SparkSession, pages: DataFrame, links: DataFrame, score: Callable[[DataFrame], DataFrame], limits: Limits = Limits()):
+    def __init__(self, spark: SparkSession, pages: DataFrame, links: DataFrame, score: Callable[[DataFrame], DataFrame], limits: Limits = Limits(), path: str | None = None):
         self.spark, self.pages, self.links, self.score, self.limits = spark, pages, links, score, limits
         base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='trailbase-')}"
-        self.path = f"{base.rstrip('/')}/walk-{uuid.uuid4().hex}"
+        self.path = path or f"{base.rstrip('/')}/walk-{uuid.uuid4().hex}"
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def _done(self, name: str) -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+
+    def last_round(self) -> int:
+        """The last round that is complete in the walk's folder; -1 if there is none."""
+        n = -1
+        while self._done(f"frontier{n + 1}"):
+            n += 1
+        return n
+
+    def resume(self) -> tuple[DataFrame, DataFrame, str]:
+        """Go on after the last complete round of a walk that broke off; a half-written round is done again."""
+        n = self.last_round()
+        if n < 0:
+            raise ValueError(f"no walk in {self.path}")
+        for name in ("popped", "visited", "judged", "frontier"):
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}{n + 1}")
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        audits = [self._read(f"judged{i}").select("source_url_key", "url_key", "depth", "drop_reason", F.lit(i).alias("round")) for i in range(1, n + 1)]
+        return self._go(n, self._read(f"frontier{n}"), self._read(f"visited{n}"), audits)
+
     def run(self, seeds: DataFrame) -> tuple[DataFrame, DataFrame, str]:
         """(visited: url_key, round, depth, priority; audit: every candidate met with its drop_reason; why the walk ended).
 
         seeds: url_key, reg_domain, priority, depth.
         """
-        n, limits = 0, self.limits
-        frontier = self._keep(seeds.select("url_key", "reg_domain", F.col("priority").cast("double").alias("priority"), F.col("depth").cast("int").alias("depth"), F.lit(0).alias("round_added")).dropDuplicates(["url_key"]), "frontier0")
         visited = self._keep(self.spark.createDataFrame([], "url_key string, reg_domain string, depth int, priority double, round int"), "visited0")
-        audits: list[DataFrame] = []
-        fetched = 0
+        frontier = self._keep(seeds.select("url_key", "reg_domain", F.col("priority").cast("double").alias("priority"), F.col("depth").cast("int").alias("depth"), F.lit(0).alias("round_added")).dropDuplicates(["url_key"]), "frontier0")
+        return self._go(0, frontier, visited, [])
+
+    def _go(self, n: int, frontier: DataFrame, visited: DataFrame, audits: list[DataFrame]) -> tuple[DataFrame, DataFrame, str]:
+        limits, fetched = self.limits, visited.count()
         while True:
             waiting = frontier.count()
             counters = self.spark.createDataFrame([(limits.max_pages, fetched, waiting)], "max_pages int, fetched int, frontier_size int")
@@ -82,8 +124,6 @@ class Walk:
         return visited, audit, why
 
     def _pop(self, frontier: DataFrame, done: DataFrame, n: int) -> DataFrame:
-        from pyspark.sql import Window
-
         order = Window.partitionBy("reg_domain").orderBy(F.desc("priority"), "round_added", "url_key")
         ranked = frontier.join(done, "reg_domain", "left").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= self.limits.domain_budget)
         left = ranked.filter(F.col("nth") + F.coalesce("domain_done", F.lit(0)) <= self.limits.domain_budget).drop("nth", "domain_done")
