@@ -203,3 +203,18 @@ def test_command_line(spark, tmp_path, capsys):
     assert "RELEVANT: 2" in capsys.readouterr().out
     cli.main(["inspect", "--store", root, "--run", run_id, "--export", "json", "--to", f"file://{tmp_path}/out"])
     assert spark.read.json(f"file://{tmp_path}/out").count() == 2
+
+
+def test_settings_layers(tmp_path, monkeypatch):
+    from trailbase.settings import Settings
+
+    (tmp_path / "env").write_text("# comment\nTRAILBASE_MAX_PAGES=7\nTRAILBASE_KEEP='9'\nOTHER=1\n")
+    monkeypatch.setenv("TRAILBASE_MAX_PAGES", "8")
+    s = Settings.load(f"{tmp_path}/env", round_size=3, depth_limit=None)
+    assert (s.max_pages, s.keep, s.round_size, s.depth_limit) == (8, 9, 3, 5) and s.limits().max_pages == 8
+
+
+def test_every_drop_reason_occurs(spark):
+    got = {r.reason for r in registry.queries()["prefilter_every_rule"](spark, "/root/testdata/sf0.01").select("reason").distinct().collect()}
+    probed = {r.reason for r in registry.queries()["prefilter_reasons"](spark, SF).collect()}
+    assert got | probed == {"kept", "scope", "dedup", "blacklist", "robots", "protocol", "extension", "url_pattern", "depth", "domain_budget", "negative_anchor"}

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .functions import urls
 from .operators import analytics, analyze, html, rank, store
 from .plans import rounds
+from .settings import Settings
 from .sources import seeds
 
 
@@ -45,6 +46,7 @@ def run(spark: SparkSession, prompt: str, pages: DataFrame, root: str, limits: r
     runs.append("crawl_goals", run_id, spark.createDataFrame([(goal.goal_id, goal.prompt, goal.statement, list(goal.keywords), 1)], "goal_id string, prompt string, goal_statement string, keywords array<string>, seq long"))
     runs.append("crawl_tasks", run_id, spark.createDataFrame([(run_id, goal.goal_id, "COMPLETED", why, 1)], "task_id string, goal_id string, state string, stopping_reason string, seq long"))
     runs.append("pages", run_id, fetched)
+    runs.append("events", run_id, store.walk_events(run_id, visited, audit, why))
     runs.append("links", run_id, audit.withColumn("candidate_id", F.concat_ws("-", "source_url_key", "url_key")).withColumn("seq", F.col("round").cast("long")))
     if model is not None:
         runs.append("analyses", run_id, analyze.analyze(fetched, goal, model))
@@ -66,10 +68,9 @@ def main(argv: list[str] | None = None) -> None:
             sub.add_argument("prompt")
             sub.add_argument("--pages", required=True)
             sub.add_argument("--seeds", default="")
-            sub.add_argument("--max-pages", type=int, default=500)
-            sub.add_argument("--depth", type=int, default=5)
-            sub.add_argument("--domain-budget", type=int, default=50)
-            sub.add_argument("--round-size", type=int, default=50)
+            sub.add_argument("--settings", help="a file of TRAILBASE_NAME=value lines")
+            for flag in ("--max-pages", "--depth-limit", "--domain-budget", "--round-size"):
+                sub.add_argument(flag, type=int)
         else:
             sub.add_argument("--run", required=True)
         if name == "inspect":
@@ -82,7 +83,7 @@ def main(argv: list[str] | None = None) -> None:
     runs = store.RunStore(spark, args.store)
     model = _model(args.model) if getattr(args, "model", None) else None
     if args.command == "run":
-        limits = rounds.Limits(args.max_pages, args.depth, args.domain_budget, args.round_size)
+        limits = Settings.load(args.settings, max_pages=args.max_pages, depth_limit=args.depth_limit, domain_budget=args.domain_budget, round_size=args.round_size).limits()
         run_id, why = run(spark, args.prompt, spark.read.parquet(args.pages), args.store, limits, model, args.seeds)
         print(f"{run_id}: {runs.read('pages', run_id).count()} pages, ended by {why}")
     elif args.command == "inspect":

@@ -64,6 +64,18 @@ class RunStore:
         return row and row["run_id"]
 
 
+def walk_events(task_id: str, visited: DataFrame, audit: DataFrame, why: str) -> DataFrame:
+    """The event log of a walk: task_id, type, key, payload and seq (by round)."""
+    event = lambda rows, kind, key, payload: rows.select(F.lit(task_id).alias("task_id"), F.lit(kind).alias("type"), F.col(key).alias("key"), payload.alias("payload"), F.col("round").cast("long").alias("seq"))
+    reason = F.to_json(F.struct("drop_reason", "source_url_key"))
+    ends = visited.agg(F.min("round").alias("first"), F.max("round").alias("last"))
+    frame = ends.select(F.explode(F.array(F.struct(F.lit("TASK_STARTED").alias("type"), F.coalesce("first", F.lit(0)).alias("round")), F.struct(F.lit("TASK_COMPLETED").alias("type"), F.coalesce("last", F.lit(0)).alias("round")))).alias("e"))
+    frame = frame.select(F.lit(task_id).alias("task_id"), "e.type", F.lit(None).cast("string").alias("key"), F.to_json(F.struct(F.lit(why).alias("reason"))).alias("payload"), F.col("e.round").cast("long").alias("seq"))
+    found = event(audit, "URL_DISCOVERED", "url_key", reason)
+    kept, dropped = event(audit.filter("drop_reason is null"), "CANDIDATE_BUFFERED", "url_key", reason), event(audit.filter("drop_reason is not null"), "CANDIDATE_FILTERED", "url_key", reason)
+    return found.union(kept).union(dropped).union(event(visited, "URL_FETCHED", "url_key", F.to_json(F.struct("depth", "priority")))).union(frame)
+
+
 def export(analyses: DataFrame, pages: DataFrame) -> DataFrame:
     """Analyses with the last page of their key, in rows ready for CSV or JSON."""
     last = latest(pages, ("url_key",), "fetched_seq").select("url_key", "canonical", "title")

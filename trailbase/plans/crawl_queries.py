@@ -94,6 +94,26 @@ def prefilter_reasons(spark: SparkSession, d: str) -> DataFrame:
     return judged.groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+_BLACK = ("spam-farm.example.org", "ads-track.example.org")
+_EVERY_RULE = f"""CASE WHEN NOT regexp_matches(reg_domain, '[.](com|net)$') AND reg_domain NOT IN {_BLACK} THEN 'scope' WHEN url_key IN (SELECT url_key FROM every WHERE page_id % 5 = 0 AND position = 1) THEN 'dedup'
+  WHEN reg_domain IN {_BLACK} THEN 'blacklist' WHEN starts_with(regexp_extract(canonical, '^[^:]*://[^/?#]*([^?#]*)', 1), '/th') AND domain IN (SELECT domain FROM every WHERE page_id % 3 = 0) THEN 'robots'
+  WHEN starts_with(raw, 'javascript:') THEN 'protocol' WHEN regexp_matches(canonical, '{prefilter.EXTENSION_PATTERN}') THEN 'extension' WHEN regexp_matches(canonical, '{prefilter.PATH_PATTERN}') THEN 'url_pattern'
+  WHEN depth > 5 THEN 'depth' WHEN reg_domain IN (SELECT reg_domain FROM every GROUP BY reg_domain HAVING count(DISTINCT page_id) >= 3) THEN 'domain_budget' WHEN regexp_matches(anchor, '{prefilter.EMPTY_ANCHOR}') THEN 'negative_anchor' ELSE 'kept' END"""
+
+
+@query(f"WITH {LINKS_SQL}, every AS (SELECT page_id, position, raw, canonical, url_key, domain, reg_domain, CASE WHEN position % 3 = 2 THEN 'read more' ELSE anchor END AS anchor, page_id % 7 AS depth FROM candidates) SELECT candidate, reason FROM (SELECT page_id || '-' || position AS candidate, {_EVERY_RULE} AS reason FROM every)")
+def prefilter_every_rule(spark: SparkSession, d: str) -> DataFrame:
+    """All rules with their joins: allowed domains, seen keys, a blacklist, robots files, full domains, empty anchors."""
+    found = candidates(spark, d).withColumns({"depth": F.pmod("page_id", F.lit(7)).cast("int"), "anchor": F.when(F.col("position") % 3 == 2, "read more").otherwise(F.col("anchor")), "candidate": F.concat_ws("-", F.col("page_id").cast("string"), F.col("position").cast("string"))})
+    found = found.select("candidate", "page_id", "position", "raw", "canonical", "url_key", "domain", "reg_domain", "anchor", "depth")
+    rules = found.filter("page_id % 3 = 0").select("domain").distinct().withColumn("raw", F.lit("User-agent: *\nDisallow: /th"))
+    allowed = found.select("reg_domain").distinct().filter(F.col("reg_domain").rlike("[.](com|net)$") | F.col("reg_domain").isin(*_BLACK))
+    seen = found.filter("page_id % 5 = 0 and position = 1").select("url_key")
+    done = found.groupBy("reg_domain").agg(F.countDistinct("page_id").alias("domain_done"))
+    judged = prefilter.with_reason(robots.robots_flags(found, rules), domain_budget=3, blacklist=_BLACK, negative_anchor=True, allowed=allowed, seen=seen, done=done)
+    return judged.select("candidate", F.coalesce("drop_reason", F.lit("kept")).alias("reason"))
+
+
 @query(f"WITH {LINKS_SQL}, numbered AS (SELECT candidate_id, reg_domain, row_number() OVER (PARTITION BY reg_domain ORDER BY candidate_id) AS nth FROM candidates) SELECT candidate_id, reg_domain FROM numbered WHERE nth <= 3")
 def domain_budget_cap(spark: SparkSession, d: str) -> DataFrame:
     items = candidates(spark, d).select("candidate_id", "reg_domain", F.lit(0.0).alias("priority"), F.to_timestamp(F.lit("2020-01-01")).alias("next_available_at"), F.col("candidate_id").alias("seq"))
