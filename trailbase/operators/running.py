@@ -14,18 +14,26 @@ from pyspark.sql import functions as F
 CHUNK = 1_000_000
 
 
-def running(rows: DataFrame, by: str, seq: str, sums: dict[str, Column], highs: dict[str, Column] | None = None, chunk: int = CHUNK) -> DataFrame:
-    """rows with, for each name, the sum (or the greatest value, null if none yet) of a column up to and with each row."""
-    highs = highs or {}
-    rows = rows.withColumns({"chunk_": F.floor(F.col(seq) / chunk), **{f"{k}_": c for k, c in {**sums, **highs}.items()}})
-    totals = rows.groupBy(by, "chunk_").agg(*[F.sum(f"{k}_").alias(k) for k in sums], *[F.max(f"{k}_").alias(k) for k in highs])
-    before = Window.partitionBy(by).orderBy("chunk_").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(F.col(by).alias("by_"), F.col("chunk_").alias("at_"), *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}_before") for k in sums], *[F.max(k).over(before).alias(f"{k}_before") for k in highs])
-    inside = Window.partitionBy(by, "chunk_").orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def running(rows: DataFrame, by: str | list[str], seq: str, sums: dict[str, Column], highs: dict[str, Column] | None = None, chunk: int | Column = CHUNK, order: list | None = None) -> DataFrame:
+    """rows with, for each name, the sum (or the greatest value, null if none yet) of a column up to and with each row.
+
+    Rows go by ``seq``, in chunks of so many numbers; or by ``order`` within
+    chunks that a column gives, which has to rise along that order.
+    """
+    by, highs = [by] if isinstance(by, str) else list(by), highs or {}
+    at = F.floor(F.col(seq) / chunk) if isinstance(chunk, int) else chunk
+    rows = rows.withColumns({"chunk_": at, **{f"{k}_": c for k, c in {**sums, **highs}.items()}})
+    totals = rows.groupBy(*by, "chunk_").agg(*[F.sum(f"{k}_").alias(k) for k in sums], *[F.max(f"{k}_").alias(k) for k in highs])
+    before = Window.partitionBy(*by).orderBy("chunk_").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(b).alias(f"{b}_by_") for b in by], F.col("chunk_").alias("at_"), *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}_before") for k in sums], *[F.max(k).over(before).alias(f"{k}_before") for k in highs])
+    inside = Window.partitionBy(*by, "chunk_").orderBy(*(order or [seq])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = rows.withColumns({**{k: F.sum(f"{k}_").over(inside) for k in sums}, **{k: F.max(f"{k}_").over(inside) for k in highs}})
-    both = own.join(offsets, (own[by] == offsets["by_"]) & (own["chunk_"] == offsets["at_"]))
+    same = own["chunk_"] == offsets["at_"]
+    for b in by:
+        same = same & own[b].eqNullSafe(offsets[f"{b}_by_"])
+    both = own.join(offsets, same)
     out = both.withColumns({**{k: F.coalesce(F.col(k), F.lit(0)) + F.col(f"{k}_before") for k in sums}, **{k: F.greatest(F.col(k), F.col(f"{k}_before")) for k in highs}})
-    return out.drop("chunk_", "by_", "at_", *[f"{k}_" for k in (*sums, *highs)], *[f"{k}_before" for k in (*sums, *highs)])
+    return out.drop("chunk_", "at_", *[f"{b}_by_" for b in by], *[f"{k}_" for k in (*sums, *highs)], *[f"{k}_before" for k in (*sums, *highs)])
 
 
 def last_rows(rows: DataFrame, by: str, seq: str, n: int, counts: dict[str, Column], chunk: int = CHUNK) -> DataFrame:
