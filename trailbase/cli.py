@@ -38,8 +38,7 @@ def run(spark: SparkSession, prompt: str, pages: DataFrame, root: str, limits: r
     items, _ = rounds.ingest_seeds(start, limits=limits)
 
     def score(found: DataFrame) -> DataFrame:
-        ranked = rank.rule_rank(found, list(goal.keywords), 0.0).select("candidate_id", "priority")
-        return found.join(ranked, "candidate_id")
+        return rank.rule_scored(found, list(goal.keywords))
 
     visited, audit, why = rounds.Walk(spark, records, _candidates(pages), score, limits).run(items)
     fetched = records.drop("reg_domain").join(visited.select("url_key", "round"), "url_key").withColumn("fetched_seq", F.col("round")).withColumn("seq", F.col("round").cast("long"))

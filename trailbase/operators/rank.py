@@ -18,13 +18,16 @@ KEEP, BLEND_WEIGHT, THRESHOLD, CHUNK = 60, 0.8, 0.35, 30
 DECISION = ("candidate_id", "url_key", "priority", "dropped", "rationale", "ranker")
 
 
+def rule_scored(candidates: DataFrame, keywords: list[str], factors: dict[str, tuple[float, Column]] | None = None) -> DataFrame:
+    """Candidates with all their columns and their priority: weighted factors, rounded."""
+    return candidates.withColumn("priority", scores.round4(scores.weighted(scores.default_factors(keywords) if factors is None else factors)))
+
+
 def rule_rank(candidates: DataFrame, keywords: list[str], threshold: float = THRESHOLD, factors: dict[str, tuple[float, Column]] | None = None) -> DataFrame:
-    """Weighted factors over a candidate and its source page; the rounded score is held against the threshold."""
+    """Decisions by the rule score over a candidate and its source page; the rounded score is held against the threshold."""
     used = scores.default_factors(keywords) if factors is None else factors
-    priority = scores.round4(scores.weighted(used))
-    scored = candidates.withColumn("priority", priority)
     why = text.rationale(F.col("priority"), {k: scores.round4(v) for k, (_, v) in used.items()})
-    return scored.select("candidate_id", "url_key", "priority", (F.col("priority") < threshold).alias("dropped"), why.alias("rationale"), F.lit("rule").alias("ranker"))
+    return rule_scored(candidates, keywords, used).select("candidate_id", "url_key", "priority", (F.col("priority") < threshold).alias("dropped"), why.alias("rationale"), F.lit("rule").alias("ranker"))
 
 
 def domain_prior(averages: DataFrame, hubs: DataFrame, floor: float = 0.75) -> DataFrame:

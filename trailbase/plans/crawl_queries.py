@@ -138,8 +138,7 @@ SELECT url_key, canonical, priority FROM once WHERE nth = 1 ORDER BY priority DE
 def harvest_rank(spark: SparkSession, d: str) -> DataFrame:
     """Links, canonical URLs, filters, dedup and rule score, from pages to the best 20."""
     found = prefilter.with_reason(candidates(spark, d)).filter("drop_reason is null").withColumn("domain_prior", F.lit(None).cast("double"))
-    ranked = rank.rule_rank(found, KEYWORDS).select("candidate_id", "priority").join(found.select("candidate_id", "url_key", "canonical"), "candidate_id")
-    best = ranked.groupBy("url_key").agg(F.max("priority").alias("priority"), F.min("canonical").alias("canonical"))
+    best = rank.rule_scored(found, KEYWORDS).groupBy("url_key").agg(F.max("priority").alias("priority"), F.min("canonical").alias("canonical"))
     return best.orderBy(F.desc("priority"), "url_key").limit(20).select("url_key", "canonical", "priority")
 
 

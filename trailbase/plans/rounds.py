@@ -8,8 +8,6 @@ strict best-first; larger ones trade order for parallel work.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -18,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import feedback, prefilter, stop
+from ..shared import keep, shared_folder
 
 
 @dataclass(frozen=True)
@@ -49,12 +48,10 @@ class Walk:
 
     def __init__(self, spark: SparkSession, pages: DataFrame, links: DataFrame, score: Callable[[DataFrame], DataFrame], limits: Limits = Limits(), path: str | None = None):
         self.spark, self.pages, self.links, self.score, self.limits = spark, pages, links, score, limits
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='trailbase-')}"
-        self.path = path or f"{base.rstrip('/')}/walk-{uuid.uuid4().hex}"
+        self.path = path or shared_folder(spark, "walk")
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.path}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+        return keep(df, f"{self.path}/{name}")
 
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
@@ -132,9 +129,12 @@ class Walk:
 
 def breadth_first(edges: DataFrame, start: DataFrame, most_depth: int) -> DataFrame:
     """(node, depth): the least depth at which each node is reached from the start nodes; edges (src, dst), start (node)."""
-    reached = start.select("node").distinct().withColumn("depth", F.lit(0))
-    last = reached
+    path = shared_folder(edges.sparkSession, "breadth")
+    edges = keep(edges.select("src", "dst"), f"{path}/edges")
+    last = keep(start.select("node").distinct().withColumn("depth", F.lit(0)), f"{path}/0")
+    reached = last
     for depth in range(1, most_depth + 1):
-        last = edges.join(last, edges["src"] == last["node"]).select(F.col("dst").alias("node")).distinct().join(reached.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
+        fresh = edges.join(last, edges["src"] == last["node"]).select(F.col("dst").alias("node")).distinct().join(reached.select("node"), "node", "left_anti")
+        last = keep(fresh.withColumn("depth", F.lit(depth)), f"{path}/{depth}")
         reached = reached.unionByName(last)
     return reached
