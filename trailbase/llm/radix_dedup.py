@@ -54,7 +54,8 @@ def exact_groups(spark: SparkSession, docs: DataFrame, *more: str, digest: bool
     while True:
         finished.append(level.filter("group_ is null").select("doc_id", "more_", "sha_", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")))
         ended = level.filter(f"group_ is not null and size_ <= {done}")
-        best = ended.groupBy("group_").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        # Written first: a join right above an aggregate can't split a hot key.
+        best = work.keep(ended.groupBy("group_").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), f"best{number}")
         finished.append(ended.join(best.hint("merge"), "group_").select("doc_id", "more_", "sha_", "keep_id", "group_size"))
         level = level.filter(f"group_ is not null and size_ > {done}")
         if level.isEmpty():
