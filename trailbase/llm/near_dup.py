@@ -166,7 +166,8 @@ class _Search:
 
     def stars(self, keyed: DataFrame) -> DataFrame:
         """Each class beside the least class of each of its band keys."""
-        least = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        # Written before the join, as a join right above an aggregate can't split a hot key.
+        least = self.work.keep(keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n"), "least")
         return keyed.join(least.hint("merge"), "key").filter("id != a").select("a", F.col("id").alias("b")).distinct()
 
     def across(self, classes: DataFrame, components: DataFrame, name: str) -> DataFrame:
@@ -176,10 +177,10 @@ class _Search:
         # Of a key, the component of its least class is the main one; the rows of others are few in a large group.
         main = F.min(F.struct("id", "component")).alias("least")
         open_ = slim.groupBy("key").agg(main, F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
-        open_ = open_.select("key", F.col("least.component").alias("main"), F.col("least.id").alias("least_id"))
+        open_ = self.work.keep(open_.select("key", F.col("least.component").alias("main"), F.col("least.id").alias("least_id")), f"{name}-keys")
         rows = self.work.keep(slim.join(open_.hint("merge"), "key").withColumn("in_main", F.col("component") == F.col("main")), f"{name}-open")
         sizes = rows.groupBy("key").agg(F.ceil(F.sum(F.col("in_main").cast("int")) / TILE).cast("int").alias("mains"), F.ceil(F.sum((~F.col("in_main")).cast("int")) / TILE).cast("int").alias("others"))
-        rows = rows.join(sizes.hint("merge"), "key").withColumn("part", F.pmod(F.xxhash64("id"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+        rows = rows.join(self.work.keep(sizes, f"{name}-sizes").hint("merge"), "key").withColumn("part", F.pmod(F.xxhash64("id"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
         # A tile (x, y) holds part x of the others against part y: of the main component if y < mains, else part y - mains >= x of the others.
         tile = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
         upto = lambda n: F.sequence(F.lit(0), n - 1)
@@ -200,7 +201,7 @@ class _Search:
         lists = left.filter("id is null").select("tile", "id", "component", F.lit(None).cast("array<long>").alias("members"), "pairs")
         links = by_tile(met.unionByName(lists)).mapInArrow(lambda batches: by_key(batches, lambda t: _confirm_tile(t, percent)), "a long, b long")
         links = self.work.keep(links.distinct(), f"{name}-links")
-        self.work.drop(f"{name}-open", f"{name}-tiles", f"{name}-sets")
+        self.work.drop(*(f"{name}-{x}" for x in ("keys", "open", "sizes", "tiles", "sets")))
         return links
 
 
@@ -317,7 +318,7 @@ def components(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int =
     signed = work.keep(sign(rows, k), "signed")
     linkable = signed.filter("doc_id is not null and n_shingles > 0")
     # The least doc_id stands for its class; ids in pairs are doc_ids, and a repeated doc_id brings the sets of its first row in byte order of keys.
-    classes = linkable.groupBy("set_key").agg(F.min("doc_id").alias("id"))
+    classes = work.keep(linkable.groupBy("set_key").agg(F.min("doc_id").alias("id")), "keys")
     one = linkable.join(classes.hint("merge"), "set_key").filter("doc_id = id").groupBy("id", "set_key").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     one = work.keep(one, "classes")
     search = _Search(work, rows.select(F.col("doc_id").alias("row_"), "text"), k, percent)
@@ -326,7 +327,7 @@ def components(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int =
     found = work.keep(connected_components(work, links, "first"), "found")
     more_links = search.across(one, found, "across")
     found = work.keep(connected_components(work, found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more_links), "second"), "all")
-    work.drop("star-links", "across-links", "found")
+    work.drop("keys", "least", "star-links", "across-links", "found")
     named = one.select("id", "set_key").join(found.hint("merge"), "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     out = signed.withColumn("key_", F.expr("if(doc_id is null, null, set_key)")).join(named.hint("merge"), F.col("key_") == named["set_key"], "left")
     component = F.coalesce("component", "doc_id")
