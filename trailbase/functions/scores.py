@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text, urls
+from .binding import let
 
 
 def round4(value: Column) -> Column:
@@ -27,8 +28,8 @@ def norm(v: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """0 for empty vectors, unequal lengths and zero norms."""
-    usable = (F.size(a) > 0) & (F.size(a) == F.size(b)) & (norm(a) > 0) & (norm(b) > 0)
-    return F.when(usable, dot(a, b) / (norm(a) * norm(b))).otherwise(0.0)
+    usable = (F.size(a) > 0) & (F.size(a) == F.size(b))
+    return F.when(usable, let(norm(a) * norm(b), lambda n: F.when(n > 0, dot(a, b) / n).otherwise(0.0))).otherwise(0.0)
 
 
 def normalize(v: Column) -> Column:

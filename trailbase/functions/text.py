@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 WORD = r"[\p{L}\p{N}_]+"
 
 
@@ -13,21 +17,23 @@ def word_list(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)))
 
 
-def keyword_words(keywords: list[str]) -> Column:
-    """The distinct words of all keywords, several words to a keyword allowed."""
-    return word_list(F.lit(" ".join(keywords)))
-
-
 def jaccard(keywords: list[str], text: Column) -> Column:
     """Overlap of keyword words and text words; 0.5 if either has none; 0.3 more (1 at most) if a keyword of several words is in the text as it is."""
-    left, right = keyword_words(keywords), word_list(text)
-    plain = F.size(F.array_intersect(left, right)) / F.size(F.array_union(left, right))
+    wanted = list(dict.fromkeys(w.lower() for k in keywords for w in re.findall(r"\w+", k)))
+    if not wanted:
+        return F.lit(0.5)
     phrases = [k.lower() for k in keywords if " " in k.strip()]
-    found = F.lit(False)
-    for phrase in phrases:
-        found = found | F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lit(phrase))
-    raised = F.when(found, F.least(F.lit(1.0), plain + 0.3)).otherwise(plain)
-    return F.when((F.size(left) == 0) | (F.size(right) == 0), F.lit(0.5)).otherwise(raised)
+
+    def overlap(words: Column) -> Column:
+        shared = F.size(F.array_intersect(words, F.array(*map(F.lit, wanted))))
+        plain = shared / (F.size(words) + len(wanted) - shared)
+        found = F.lit(False)
+        for phrase in phrases:
+            found = found | F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lit(phrase))
+        raised = F.when(found, F.least(F.lit(1.0), plain + 0.3)).otherwise(plain) if phrases else plain
+        return F.when(F.size(words) == 0, F.lit(0.5)).otherwise(raised)
+
+    return let(word_list(text), overlap)
 
 
 def shorten(text: Column, most: int, mark: str = "...") -> Column:

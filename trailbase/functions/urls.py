@@ -6,11 +6,11 @@ the scan.  Patterns follow the generic URI syntax.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 #: Query parameters that only track.
 TRACKING_PARAMS = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "dclid", "msclkid", "ref", "source", "spm", "sc_campaign", "mc_cid", "mc_eid")
 #: First labels of a host that don't change who owns it.
@@ -23,11 +23,6 @@ URI = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*
 SCHEME, NETLOC, PATH, QUERY = 1, 2, 3, 4
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with value computed once, however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def part(url: Column, which: int) -> Column:
     return F.regexp_extract(url, URI, which)
 
