@@ -115,6 +115,13 @@ def byte_tokenizers():
     return packing.ByteTokenizer(path), Tokenizer.from_file(path)
 
 
+def test_both_libraries_class_characters_alike(byte_tokenizers):
+    """Every 37th code point, among letters, digits, marks and spaces."""
+    own, library = byte_tokenizers
+    texts = [f"a{c}b 1{c}2 {c} {c}{c}!{c}\n{c}a  {c}" for c in (chr(i) for i in range(0, 0x110000, 37) if not 0xD800 <= i < 0xE000)]
+    assert [x.tolist() for x in own.encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("size", [64, 2048])
 def test_packing_is_whole_and_gapless(spark, docs, rows, byte_tokenizers, size):
     out = packing.pack(spark, docs, tokenizer("byte_bpe_50k.json"), size).collect()

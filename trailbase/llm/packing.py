@@ -131,9 +131,9 @@ class ByteTokenizer:
     """Ids of whole texts, as the tokenizers library makes them from a byte-level BPE file.
 
     Where merges rank as their ids do, the same vocabulary is run by tiktoken,
-    which is several times faster.  It gets the texts of Latin letters, digits
-    and marks alone (below U+0250), where both libraries agree on classes of
-    characters, and that hold no added token; tokenizers encodes all others.
+    which is several times faster; both libraries put every Unicode character
+    in the same class, so they cut and merge alike.  Texts that hold an added
+    token go through tokenizers itself.
     """
 
     def __init__(self, path: str):
@@ -156,9 +156,7 @@ class ByteTokenizer:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.fast is None:
             return self._slow(texts)
-        easy = [t.isascii() or max(t) < "\u0250" for t in texts]
-        for i, text in enumerate(texts):
-            easy[i] = easy[i] and not any(a in text for a in self.added)
+        easy = [not any(a in t for a in self.added) for t in texts]
         rest = iter(self._slow([t for t, e in zip(texts, easy, strict=True) if not e]))
         return [self.fast.encode_to_numpy(t, disallowed_special=()) if e else next(rest) for t, e in zip(texts, easy, strict=True)]
 
