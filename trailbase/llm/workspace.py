@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,5 +67,10 @@ def ids_are_unique(docs: DataFrame) -> bool:
 
 
 def documents(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id and text (null: empty) and nothing else, so that further columns never clash."""
+    """doc_id and text (null: empty) and nothing else, so that further columns never clash.
+
+    Sets the session's Arrow batches to BATCH: a batch holds a few megabytes of
+    text however long the texts are, on both sides of the pipe to Python.
+    """
+    docs.sparkSession.conf.set(*BATCH)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
