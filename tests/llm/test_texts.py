@@ -302,5 +302,18 @@ def test_word_spans_and_hashes():
     assert flat.SpanHash(flat.BYTE_VALUE[texts])(starts[1:2], ends[1:2]) == again(np.array([2]), np.array([4]))
 
 
+def test_batches_of_empty_texts():
+    from trailbase.llm import near_dup, repeats
+
+    none, at = np.zeros(0, np.uint8), np.zeros(4, np.int64)
+    assert flat.words(none, at)[2].tolist() == [0, 0, 0, 0]
+    assert all(v.tolist() == [0, 0, 0] for v in shape.counts(none, at).values())
+    assert secrets.find(none, at) == [[], [], []]
+    assert [len(s) for s in near_dup.shingles(none, at, 2)] == [0, 0, 0]
+    for words in (False, True):
+        windows = repeats.Windows(20, 6, words, False)
+        assert len(windows.segments(*windows.symbols(none, at))[0]) == 0
+
+
 def test_shared_folder_is_read_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get(SETTING).rstrip("/")

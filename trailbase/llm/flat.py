@@ -97,7 +97,6 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     before[1:] = ~inside[:-1]
     after = np.empty(n, bool)
     after[-1:] = True
-    after[:-1] = before[1:] if n > 1 else after[:-1]
     after[:-1] = ~inside[1:]
     starts = np.flatnonzero(inside & (before | cut[:n]))
     ends = np.flatnonzero(inside & (after | cut[1:])) + 1
@@ -112,7 +111,3 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 def owners(first: np.ndarray) -> np.ndarray:
     """The document of each item, from the index of each document's first item."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
-
-
-def batch_of(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, schema.field(k).type) for k, x in columns.items()], schema=schema)
