@@ -73,7 +73,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[at[0] : at[-1]], at - at[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], most_bytes: int = 1 << 20, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def pieces(batches: Iterator[pa.RecordBatch], most_bytes: int = 1 << 19, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches of about most_bytes of text (one document at least), each with its bytes and offsets."""
     for batch in batches:
         if not batch.num_rows:

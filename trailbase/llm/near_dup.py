@@ -137,8 +137,8 @@ def _whole_sets(docs: DataFrame, k: int) -> DataFrame:
 class _Search:
     """The steps that find links; classes are named by the row number of their least row."""
 
-    def __init__(self, work: Workspace, docs: DataFrame, k: int, percent: int):
-        self.work, self.docs, self.k, self.percent = work, docs, k, percent
+    def __init__(self, work: Workspace, docs: DataFrame, k: int, percent: int, repeated: bool):
+        self.work, self.docs, self.k, self.percent, self.repeated = work, docs, k, percent, repeated
         self.most = most_differing(percent / 100)
 
     def sketched(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -150,7 +150,8 @@ class _Search:
 
     def sets(self, wanted: DataFrame, name: str) -> DataFrame:
         """Whole sets (id, members), made again for the wanted ids alone."""
-        rows = self.docs.select(F.col("row_").alias("id"), "text").join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id", "text"])
+        rows = self.docs.select(F.col("row_").alias("id"), "text").join(wanted.hint("merge"), "id", "left_semi")
+        rows = rows.dropDuplicates(["id", "text"]) if self.repeated else rows
         return self.work.keep(_whole_sets(rows, self.k), name)
 
     def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
@@ -321,7 +322,8 @@ def components(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int =
     classes = work.keep(linkable.groupBy("set_key").agg(F.min("doc_id").alias("id")), "keys")
     one = linkable.join(classes.hint("merge"), "set_key").filter("doc_id = id").groupBy("id", "set_key").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     one = work.keep(one, "classes")
-    search = _Search(work, rows.select(F.col("doc_id").alias("row_"), "text"), k, percent)
+    repeated = not linkable.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    search = _Search(work, rows.select(F.col("doc_id").alias("row_"), "text"), k, percent, repeated)
     keyed = one.select(F.explode("bands").alias("key"), "id")
     links = search.confirmed(search.sketched(search.stars(keyed), one), "star")
     found = work.keep(connected_components(work, links, "first"), "found")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+BY_SIZE = ("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,9 +38,15 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 class Workspace:
-    """A folder for one run of one operator."""
+    """A folder for one run of one operator.
+
+    Sets the session to merge shuffle partitions by their size (BY_SIZE): a
+    small table is one file and not one for each core, a large one as many as
+    its size asks for.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
+        spark.conf.set(*BY_SIZE)
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
