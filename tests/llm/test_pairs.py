@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from trailbase.llm import near_dup, radix_dedup, repeats, suffix_dedup, suffix_tree_dedup
+from trailbase.llm import flat, near_dup, radix_dedup, repeats, suffix_dedup, suffix_tree_dedup
 from trailbase.llm.components import connected_components
 from trailbase.llm.workspace import Workspace
 
@@ -160,6 +160,50 @@ def test_hot_anchors_are_spread(spark, docs, rows, monkeypatch):
     assert got == brute_bytes(rows, 50)
 
 
+def agreeing(symbols):
+    """Two unlike rows that share an anchor and the upper 32 bits of their hash."""
+    hashes = flat.SpanHash(symbols.reshape(-1))(np.arange(len(symbols)) * symbols.shape[1], np.arange(1, len(symbols) + 1) * symbols.shape[1]) >> np.uint64(32)
+    order = np.argsort(hashes, kind="stable")
+    return [(a, b) for a, b in zip(order[:-1].tolist(), order[1:].tolist(), strict=True) if hashes[a] == hashes[b] and (symbols[a] != symbols[b]).any()]
+
+
+def least_gram(values, gram):
+    """The row of values whose hash as an anchor is least."""
+    spans = flat.SpanHash(values.reshape(-1))
+    at = np.arange(len(values)) * gram
+    return int(np.argmin(flat.mix((spans.sums[at + gram] - spans.sums[at]) * spans.inverse[at])))
+
+
+def test_unlike_segments_of_one_anchor_stay_though_32_bits_agree(spark):
+    draw = np.random.default_rng(5)
+    grams = draw.integers(97, 123, (200_000, 16), np.uint8)
+    data = draw.integers(97, 123, (400_000, 50), np.uint8)
+    data[:, 17:33] = grams[least_gram(flat.BYTE_VALUE[grams], 16)]
+    pairs = agreeing(flat.BYTE_VALUE[data])
+    rows = [(n, data[i].tobytes().decode()) for n, i in enumerate(i for pair in pairs for i in pair)]
+    got = suffix_dedup.remove(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(pairs) > 5 and [r.doc_id for r in got if r.n_removed] == []
+
+    names = [f"w{i}" for i in range(1000)]
+    raw = np.frombuffer("".join(names).encode(), np.uint8)
+    at = np.cumsum([0, *map(len, names)])
+    value = flat.SpanHash(flat.BYTE_VALUE[raw])(at[:-1], at[1:])
+    grams, words = draw.integers(0, 1000, (200_000, 6)), draw.integers(0, 1000, (400_000, 20))
+    words[:, 7:13] = grams[least_gram(value[grams], 6)]
+    pairs = agreeing(value[words])
+    rows = [(n, " ".join(names[w] for w in words[i])) for n, i in enumerate(i for pair in pairs for i in pair)]
+    got = suffix_tree_dedup.remove(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(pairs) > 5 and [r.doc_id for r in got if r.n_removed] == []
+
+
+def test_both_hashes_tell_segments_apart():
+    data = np.frombuffer(("ab" * 40 + "ba" * 40 + "abba" * 30).encode(), np.uint8)
+    windows = repeats.Windows(12, 5, words=False, same_document=False)
+    _, place, count, _, _, whole = windows.segments(*windows.symbols(data, np.array([0, len(data)])))
+    content = [data[p : p + c + 11].tobytes() for p, c in zip(place.tolist(), count.tolist(), strict=True)]
+    assert whole.dtype == np.uint64 and len(set(content)) == len(set(whole[:, 0].tolist())) == len(set(whole[:, 1].tolist()))
+
+
 def test_repeats_odd_rows_and_empty(spark, odd_docs, no_docs):
     for remove in (suffix_dedup.remove, suffix_tree_dedup.remove):
         out = remove(spark, odd_docs).collect()

@@ -17,8 +17,9 @@ import pyarrow as pa
 
 U64 = np.uint64
 _MUL = 0x9E3779B97F4A7C15
-_INV = pow(_MUL, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+#: The base of a second hash that shares nothing with the first.
+OTHER = 0xC2B2AE3D27D4EB4F
+_powers: dict[int, list[np.ndarray]] = {}
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -35,22 +36,23 @@ def mix(h: np.ndarray) -> np.ndarray:
 BYTE_VALUE = mix(np.arange(1, 257, dtype=U64) * U64(_MUL))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]), 1 << 16)
-        for k, base in enumerate((_MUL, _INV)):
-            steps = np.full(size, base, U64)
+def powers(n: int, base: int = _MUL) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a hash base and of its inverse, modulo 2**64."""
+    known = _powers.setdefault(base, [np.ones(1, U64), np.ones(1, U64)])
+    if len(known[0]) < n:
+        size = max(n, 2 * len(known[0]), 1 << 16)
+        for k, factor in enumerate((base, pow(base, -1, 1 << 64))):
+            steps = np.full(size, factor, U64)
             steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=U64)
-    return _powers[0], _powers[1]
+            known[k] = np.cumprod(steps, dtype=U64)
+    return known[0], known[1]
 
 
 class SpanHash:
     """64-bit hashes of any spans of a sequence of 64-bit symbols, by prefix sums."""
 
-    def __init__(self, symbols: np.ndarray):
-        power, self.inverse = powers(len(symbols) + 1)
+    def __init__(self, symbols: np.ndarray, base: int = _MUL):
+        power, self.inverse = powers(len(symbols) + 1, base)
         self.sums = np.zeros(len(symbols) + 1, U64)
         np.cumsum(symbols * power[: len(symbols)], dtype=U64, out=self.sums[1:])
 

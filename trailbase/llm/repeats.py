@@ -7,10 +7,11 @@ many times the corpus.  So the search has three steps, each one exchange.
 * Anchors.  A window's anchor is its k-gram of least hash, the leftmost of
   equals: equal windows have the same anchor at the same place.  Neighbouring
   windows of one anchor form a segment, of which there is one for every ten or
-  twenty symbols.  A segment is (hash of the anchor, hash of the whole
-  segment, document, place); segments meet by the hash of their anchor.  Of
-  equal segments (their task already has merged its own) all but the earliest
-  are repeats.  An anchor that only one document has is done.
+  twenty symbols.  A segment is (hash of the anchor, two independent 64-bit
+  hashes of the whole segment, document, place); segments meet by the hash of
+  their anchor.  Of segments whose 128 bits agree (their task already has merged
+  its own) all but the earliest are repeats.  An anchor that only one document
+  has is done.
 * Suffixes.  What is left is segments with a common anchor and different
   surroundings, at the ends of shared passages.  Their symbols are fetched from
   the texts, and every window in them becomes a suffix cut after L symbols.
@@ -107,11 +108,11 @@ class Windows:
         return flat.SpanHash(values)(starts, ends), first
 
     def segments(self, symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(document, place, windows, anchor - place, hash of the anchor, hash of the segment), in order."""
+        """(document, place, windows, anchor - place, hash of the anchor, two hashes of the segment), in order."""
         length, gram, n = self.length, self.gram, len(symbols)
         room = np.diff(first) - length + 1
         if n < length or room.max(initial=0) <= 0:
-            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint8, np.uint8, np.uint64, np.uint32))
+            return (*(np.zeros(0, t) for t in (np.int64, np.int64, np.uint8, np.uint8, np.uint64)), np.zeros((0, 2), np.uint64))
         spans = flat.SpanHash(symbols)
         grams = flat.mix((spans.sums[gram:] - spans.sums[:-gram]) * spans.inverse[: n - gram + 1])
         least = (grams & flat.U64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=flat.U64)
@@ -131,7 +132,9 @@ class Windows:
         count = np.diff(np.r_[head, len(place)])
         place, anchor = place[head], anchor[head]
         doc = np.searchsorted(first, place, "right") - 1
-        whole_hash = (spans(place, place + count - 1 + length) >> flat.U64(32)).astype(np.uint32)
+        end = place + count - 1 + length
+        other = flat.SpanHash(flat.mix(symbols ^ flat.U64(flat.OTHER)), flat.OTHER)
+        whole_hash = np.column_stack([spans(place, end), other(place, end)])
         return doc, place - first[doc], count.astype(np.uint8), (anchor - place).astype(np.uint8), grams[anchor], whole_hash
 
     def later(self, group: np.ndarray, key: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -166,16 +169,16 @@ def _anchors(windows: Windows, buckets: int):
         key, place, count, off, gram, whole = (np.concatenate(c) for c in zip(*held, strict=True))
         held.clear()
         order = np.argsort(key, kind="stable")
-        same = flat.mix(gram[order] + whole[order].astype(flat.U64) * flat.U64(0xA0761D6478BD642F))
-        by_same = np.argsort(same, kind="stable")
-        order, same = order[by_same], same[by_same]
-        later = windows.later(same, key[order], place[order])
+        order = order[np.argsort(whole[order, 0], kind="stable")]
+        same = whole[order]
+        # Should two unlike segments agree in the first half, some copies may stay apart: they meet later.
+        later = windows.later(np.cumsum(np.r_[True, (same[1:] != same[:-1]).any(1)][: len(order)]), key[order], place[order])
         gone, rest = order[later], np.sort(order[~later])
         rest = rest[np.argsort(key[rest], kind="stable")]
         # Anchors are least hashes, so their upper bits are small: another mix spreads them.
         bucket = ((flat.mix(gram[rest] + flat.U64(1)) >> flat.U64(32)) * flat.U64(buckets) >> flat.U64(32)).astype(np.int64)
         low = gram[rest].view(np.uint16).reshape(-1, 4)[:, :3]
-        rows = list(by_dest(bucket, SEGMENT, key[rest], place[rest].astype(np.uint32), count[rest], off[rest], low[:, 0], low[:, 1], low[:, 2], whole[rest]))
+        rows = list(by_dest(bucket, SEGMENT, key[rest], place[rest].astype(np.uint32), count[rest], off[rest], low[:, 0], low[:, 1], low[:, 2], whole[rest, 0], whole[rest, 1]))
         return emit(rows + _marked(buckets, key[gone], place[gone], count[gone]))
 
     def run(batches):
@@ -205,19 +208,19 @@ def _meet(windows: Windows, buckets: int):
             yield batch.filter(pa.array([k != SEGMENT for k in kinds]))
         if not blobs:
             return
-        key, place, count, off, low, mid, high, whole = restore(blobs)
+        key, place, count, off, low, mid, high, whole, other = restore(blobs)
         del blobs
         gram = low.astype(flat.U64) | mid.astype(flat.U64) << flat.U64(16) | high.astype(flat.U64) << flat.U64(32)
         order = np.argsort(gram)
         alike = gram[order[1:]] == gram[order[:-1]]
         order = order[np.r_[alike, False] | np.r_[False, alike]]
-        order = order[np.lexsort((place[order], key[order], whole[order], gram[order]))]
-        key, place, count, off, gram, whole = (x[order] for x in (key, place, count, off, gram, whole))
+        order = order[np.lexsort((place[order], key[order], other[order], whole[order], gram[order]))]
+        key, place, count, off, gram, whole, other = (x[order] for x in (key, place, count, off, gram, whole, other))
         if not len(key):
             return
         head = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
         size = np.diff(np.r_[head, len(gram)])
-        new = np.r_[True, (gram[1:] != gram[:-1]) | (whole[1:] != whole[:-1])]
+        new = np.r_[True, (gram[1:] != gram[:-1]) | (whole[1:] != whole[:-1]) | (other[1:] != other[:-1])]
         later = windows.later(np.cumsum(new), key, place)
         unlike = np.add.reduceat(new.astype(np.int64), head)
         apart = np.ones(len(head), bool) if windows.same_document else np.minimum.reduceat(key, head) != np.maximum.reduceat(key, head)
@@ -389,10 +392,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, name: str, windows: Win
     rows, names, buckets = keyed(work, docs)
     text_rows = rows.select(F.pmod("key", F.lit(buckets)).cast("int").alias("dest"), F.lit(TEXT).alias("kind"), "key", "text", F.lit(None).cast("binary").alias("blob"))
     to = lambda df: df.repartitionById(buckets, F.col("dest"))
-    met = work.keep(to(rows.mapInArrow(_anchors(windows, buckets), ROWS)).mapInArrow(_meet(windows, buckets), ROWS), "met")
+    met = work.keep(to(rows.mapInArrow(_anchors(windows, buckets), ROWS)).mapInArrow(_meet(windows, buckets), ROWS), "met", free=True)
     work.drop()
     fetched = to(met.filter(F.col("kind").isin(OPEN, OPEN_HOT)).unionByName(text_rows)).sortWithinPartitions("kind").mapInArrow(_fetch(windows, buckets, router(rows, buckets)), ROWS)
-    compared = work.keep(to(fetched).mapInArrow(_compare(windows, buckets, equal), ROWS), "compared")
+    compared = work.keep(to(fetched).mapInArrow(_compare(windows, buckets, equal), ROWS), "compared", free=True)
     work.drop()
     marks = met.filter(F.col("kind") == REPEAT).unionByName(compared)
     fields = [x.split() for x in result.split(", ")]

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BY_SIZE = ("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
 
 
@@ -49,9 +50,14 @@ class Workspace:
         spark.conf.set(*BY_SIZE)
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it back."""
-        df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+    def keep(self, df: DataFrame, name: str, free: bool = False) -> DataFrame:
+        """Write df and read it back; free: Spark deletes the shuffle files of df as soon as it is written."""
+        before = self.spark.conf.get(FREE, "false")
+        self.spark.conf.set(FREE, "true" if free else before)
+        try:
+            df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        finally:
+            self.spark.conf.set(FREE, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
