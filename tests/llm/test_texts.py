@@ -268,6 +268,23 @@ def test_ranker_held_out_accuracy(spark):
     assert out.filter("predicted != case when score >= 0.7 then 1 else 0 end").count() == 0
 
 
+@pytest.mark.parametrize("bad", [10, 50, 80, 97])
+def test_ranker_cut_reaches_the_boundary(spark, bad):
+    draw = np.random.default_rng(3)
+    quality = (np.arange(2000) % 100 >= bad).astype(int)
+    rows = draw.normal(0, 0.1, (2000, len(ranker.features()))) + 3 * quality[:, None]
+    model = ranker.fit(rows, quality)
+    assert ((rows @ np.array(model.weights) + model.shift >= model.threshold) == quality).all()
+
+
+def test_ranker_drops_mostly_bad_documents(spark):
+    good = lambda i: " ".join(f"word{(i * 7 + k * k) % 97} of" for k in range(60)) + "."
+    junk = lambda i: "### $$$ !!! BUY %%% " * (20 + i % 7)
+    docs = spark.createDataFrame([(i, good(i) if i % 5 == 0 else junk(i), "en") for i in range(400)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, quality int")
+    assert sorted(r.doc_id for r in ranker.keep_quality(spark, docs, labels).collect()) == list(range(0, 400, 5))
+
+
 def test_ranker_edge_cases(spark, docs, no_docs, odd_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert ranker.score_documents(spark, docs, none).filter("predicted = 1").count() == docs.count()
