@@ -9,8 +9,8 @@ sums, so batches commute and nothing is counted again.
 Committing a batch writes its own small totals to a folder named after the
 batch, counted on the map side before the exchange.  The folder's success mark
 is the commit: a batch that is committed is not written again, and one that
-died half-way is written anew.  The totals are the sum over committed
-batches; ``compact`` folds them into one folder with the list of its batches.
+died half-way is written anew.  The totals are the sum over all committed
+batches, each of which is read every time; batches are not folded together.
 """
 
 from __future__ import annotations
