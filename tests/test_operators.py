@@ -243,3 +243,13 @@ def test_running_totals_cross_chunks(spark):
     last = running.last_rows(rows, "k", "seq", 4, {"n": F.lit(True), "big": F.col("v") > 2}, chunk=10).filter("k = 'a'").orderBy("seq").collect()
     assert [r.n for r in last] == [min(i + 1, 4) for i in range(60)]
     assert [r.big for r in last] == [sum(v > 2 for v in values[max(0, i - 3) : i + 1]) for i in range(60)]
+
+
+def test_store_keeps_the_last_row_of_a_large_batch(spark, tmp_path):
+    from trailbase.operators.store import RunStore
+
+    runs = RunStore(spark, f"file://{tmp_path}")
+    runs.append("pages", "r", spark.range(0, 5500, 1, 2).select(F.lit("p").alias("page_id"), F.col("id").alias("n")))
+    assert [r.n for r in runs.read("pages").collect()] == [5499]
+    runs.append("pages", "r", spark.createDataFrame([("p", -1)], "page_id string, n long"))
+    assert [r.n for r in runs.read("pages", "r").collect()] == [-1]

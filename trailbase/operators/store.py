@@ -45,18 +45,23 @@ class RunStore:
         self.spark, self.root = spark, root.rstrip("/")
 
     def append(self, table: str, run_id: str, rows: DataFrame) -> None:
-        """Add rows of a run; rows without seq get one that grows within the batch and across batches."""
+        """Add rows of a run; rows without seq get one that grows across batches, and a seq_row that grows within the batch."""
         if table not in KEYS:
             raise ValueError(f"no such table: {table}")
         if "seq" not in rows.columns:
-            rows = rows.withColumn("seq", F.unix_micros(F.current_timestamp()) * 1000 + F.monotonically_increasing_id() % 1000)
+            rows = rows.withColumn("seq", F.unix_micros(F.current_timestamp()) * 1000).withColumn("seq_row", F.monotonically_increasing_id())
         rows.write.mode("append").parquet(f"{self.root}/{table}/run_id={run_id}")
 
     def read(self, table: str, run_id: str | None = None) -> DataFrame:
         """Current rows: the latest of each key, or all of an append-only table; one run's partition alone if named."""
         rows = self.spark.read.option("basePath", f"{self.root}/{table}").option("mergeSchema", "true").parquet(f"{self.root}/{table}")
         rows = rows if run_id is None else rows.filter(F.col("run_id") == run_id)
-        return latest(rows, ("run_id", *KEYS[table])) if KEYS[table] else rows
+        if not KEYS[table]:
+            return rows
+        if "seq_row" not in rows.columns:
+            return latest(rows, ("run_id", *KEYS[table]))
+        ordered = rows.withColumn("order_", F.struct("seq", F.coalesce("seq_row", F.lit(0))))
+        return latest(ordered, ("run_id", *KEYS[table]), "order_").drop("order_")
 
     def latest_run(self, task_id: str) -> str | None:
         """The newest run that has the task."""
