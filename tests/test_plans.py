@@ -218,3 +218,7 @@ def test_every_drop_reason_occurs(spark):
     got = {r.reason for r in registry.queries()["prefilter_every_rule"](spark, "/root/testdata/sf0.01").select("reason").distinct().collect()}
     probed = {r.reason for r in registry.queries()["prefilter_reasons"](spark, SF).collect()}
     assert got | probed == {"kept", "scope", "dedup", "blacklist", "robots", "protocol", "extension", "url_pattern", "depth", "domain_budget", "negative_anchor"}
+
+
+def test_registered_walk_goes_past_forty_pages(spark):
+    assert registry.queries()["crawl_rounds"](spark, "/root/testdata/sf0.001").count() > 40

@@ -313,7 +313,7 @@ def crawl_rounds(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages").select(F.concat(F.lit("n"), F.col("page_id").cast("string")).alias("url_key"))
     domain = lambda c: F.concat(F.lit("d"), (F.col(c) % 7).cast("string"))
     links = edges.select(key("src").alias("source_url_key"), key("dst").alias("url_key"), key("dst").alias("raw"), key("dst").alias("canonical"), domain("dst").alias("domain"), domain("dst").alias("reg_domain"), F.lit("").alias("anchor"), F.col("dst").alias("number"))
-    walk = rounds.Walk(spark, pages, links, lambda df: df.withColumn("priority", F.pmod(F.col("number") * 37, F.lit(100)) / 100.0), rounds.Limits(max_pages=40, round_size=10, domain_budget=8))
+    walk = rounds.Walk(spark, pages, links, lambda df: df.withColumn("priority", F.pmod(F.col("number") * 37, F.lit(100)) / 100.0), rounds.Limits())
     seeds = spark.createDataFrame([("n0", "d0", 1.0, 0)], "url_key string, reg_domain string, priority double, depth int")
     return walk.run(seeds)[0]
 
