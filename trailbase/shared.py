@@ -1,7 +1,8 @@
 """Tables between jobs, in the folder that all executors share.
 
-The folder is the one that ``spark.checkpoint.dir`` names; only a session that
-names none gets a temporary folder of its own.
+The folder is the one that ``spark.checkpoint.dir`` names.  A session on a local
+master that names none gets a temporary folder of its own; on a cluster, whose
+machines share no such folder, that is an error.
 """
 
 from __future__ import annotations
@@ -16,15 +17,30 @@ from pyspark.sql import DataFrame, SparkSession
 SETTING = "spark.checkpoint.dir"
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared one."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the session names."""
     base = spark.conf.get(SETTING, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"{SETTING} must name a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="trailbase-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         base = f"file://{own}"
         spark.conf.set(SETTING, base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared one."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's JVM delete a folder when it ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
 
 
 def keep(df: DataFrame, path: str) -> DataFrame:
