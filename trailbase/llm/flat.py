@@ -17,8 +17,8 @@ import pyarrow as pa
 
 U64 = np.uint64
 _MUL = 0x9E3779B97F4A7C15
-#: The base of a second hash that shares nothing with the first.
-OTHER = 0xC2B2AE3D27D4EB4F
+#: The prime of the span hashes and two bases of large order modulo it.
+PRIME, BASES = U64((1 << 31) - 1), (1_164_413_355, 746_205_981)
 _powers: dict[int, list[np.ndarray]] = {}
 
 SPACE = np.zeros(256, bool)
@@ -36,29 +36,89 @@ def mix(h: np.ndarray) -> np.ndarray:
 BYTE_VALUE = mix(np.arange(1, 257, dtype=U64) * U64(_MUL))
 
 
-def powers(n: int, base: int = _MUL) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of a hash base and of its inverse, modulo 2**64."""
+def powers(n: int, base: int) -> list[np.ndarray]:
+    """The first n powers of a base and of its inverse, modulo PRIME."""
     known = _powers.setdefault(base, [np.ones(1, U64), np.ones(1, U64)])
-    if len(known[0]) < n:
-        size = max(n, 2 * len(known[0]), 1 << 16)
-        for k, factor in enumerate((base, pow(base, -1, 1 << 64))):
-            steps = np.full(size, factor, U64)
-            steps[0] = 1
-            known[k] = np.cumprod(steps, dtype=U64)
-    return known[0], known[1]
+    while len(known[0]) < n:
+        for k, factor in enumerate((base, pow(base, -1, int(PRIME)))):
+            known[k] = np.concatenate([known[k], known[k] * U64(pow(factor, len(known[k]), int(PRIME))) % PRIME])
+    return known
 
 
 class SpanHash:
-    """64-bit hashes of any spans of a sequence of 64-bit symbols, by prefix sums."""
-
-    def __init__(self, symbols: np.ndarray, base: int = _MUL):
-        power, self.inverse = powers(len(symbols) + 1, base)
-        self.sums = np.zeros(len(symbols) + 1, U64)
-        np.cumsum(symbols * power[: len(symbols)], dtype=U64, out=self.sums[1:])
+    """64-bit hashes of any spans of a sequence of 64-bit symbols, by prefix sums.
+
+    Two polynomials modulo a prime, one over the low and one over the high 31
+    bits of the symbols, and the length.  Equal hashes make spans candidates;
+    whatever decides a result compares the symbols (``same``).
+    """
+
+    def __init__(self, symbols: np.ndarray):
+        self.sides = []
+        for base, half in zip(BASES, (symbols & PRIME, symbols >> U64(33)), strict=True):
+            power, inverse = powers(len(symbols) + 1, base)
+            sums = np.zeros(len(symbols) + 1, U64)
+            np.cumsum(half * power[: len(symbols)] % PRIME, dtype=U64, out=sums[1:])
+            self.sides.append((sums, inverse))
+
+    def side(self, which: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """One of the two polynomials alone."""
+        sums, inverse = self.sides[which]
+        return (sums[ends] - sums[starts]) % PRIME * inverse[starts] % PRIME
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        raw = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
-        return mix(raw + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+        both = self.side(0, starts, ends) | self.side(1, starts, ends) << U64(31)
+        return mix(both + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """Hashes of spans of bytes, the spans in order and not overlapping; about ``most`` bytes are looked at at a time."""
+    out, low = np.empty(len(starts), U64), 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(ends, starts[low] + most, "right")))
+        base = starts[low]
+        out[low:high] = SpanHash(BYTE_VALUE[data[base : ends[high - 1]]])(starts[low:high] - base, ends[low:high] - base)
+        low = high
+    return out
+
+
+def sort_within(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The order of rows by group and then value, by two sorts of single numbers; groups are numbered from 0."""
+    if not group.any():
+        return np.argsort(value)
+    order = np.argsort(value)
+    ordered = value[order]
+    rank = np.empty(len(value), np.int64)
+    rank[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])
+    return np.argsort(group * len(value) + rank)
+
+
+def same(symbols: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """Whether the spans of these sizes from a and from b hold the same symbols; each is compared, about ``most`` at a time."""
+    out = np.ones(len(a), bool)
+    some = np.flatnonzero(size > 0)
+    total = np.cumsum(size[some])
+    for part in np.split(some, np.searchsorted(total, np.arange(most, total[-1] if len(total) else 0, most))):
+        n = size[part].astype(np.int64)
+        if len(n):
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            equal = symbols[np.repeat(a[part], n) + step] == symbols[np.repeat(b[part], n) + step]
+            out[part] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+    return out
+
+
+def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The same number for spans of the same bytes and only for those: found by hash, confirmed byte for byte."""
+    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    head = first[number]
+    again = np.flatnonzero(head != np.arange(len(head)))
+    a, b, size = starts[again], starts[head[again]], ends[again] - starts[again]
+    like = size == ends[head[again]] - b
+    if like.all() and same(data, a, b, size).all():
+        return number
+    raw = data.tobytes()
+    known: dict[bytes, int] = {}
+    return np.array([known.setdefault(raw[s:e], len(known)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

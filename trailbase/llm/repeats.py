@@ -2,28 +2,28 @@
 
 Both substring operators ask, for every window of L symbols (bytes or words),
 whether the same window starts earlier.  A suffix for each position would move
-many times the corpus.  So the search has three steps, each one exchange.
+many times the corpus.  So suffixes are sparse: they are ordered and grouped by
+what follows their anchor, and neighbours with one anchor travel together.
 
 * Anchors.  A window's anchor is its k-gram of least hash, the leftmost of
   equals: equal windows have the same anchor at the same place.  Neighbouring
   windows of one anchor form a segment, of which there is one for every ten or
-  twenty symbols.  A segment is (hash of the anchor, two independent 64-bit
-  hashes of the whole segment, document, place); segments meet by the hash of
-  their anchor.  Of segments whose 128 bits agree (their task already has merged
-  its own) all but the earliest are repeats.  An anchor that only one document
-  has is done.
-* Suffixes.  What is left is segments with a common anchor and different
-  surroundings, at the ends of shared passages.  Their symbols are fetched from
-  the texts, and every window in them becomes a suffix cut after L symbols.
-  Suffixes meet by the symbols that they lead with and are compared symbol by
-  symbol; of equal ones all but the earliest are repeats.  This step is the
-  operator's own (``place`` and ``equal``).
+  twenty symbols.  A task compares its own equal segments byte for byte; all but
+  the earliest are repeats and go no further.  Segments then meet by the hash of
+  their anchor, only to spare those whose anchor nobody else has.  An anchor
+  that several documents of one task share is known to be open there already:
+  the task sends one mark for it and not its segments, however many they are.
+* Suffixes.  The bytes of open segments are fetched from the texts.  Where they
+  go is the operator's own rule: a range between sampled splitters, or a prefix
+  of variable length.  Leads that are too common for one task go window by
+  window, each by all of its symbols, and of equal ones a task sends the earliest
+  alone.  In its bucket every window is a suffix of L symbols, which the
+  operator's own sort or tree compares symbol by symbol; of equal ones all but
+  the earliest are repeats.  No hash decides that two windows are equal.
 * Removal.  The repeats go back to their documents.
 
-An anchor shared by more than HOT unlike segments (a very common phrase) sends
-its windows one by one, spread by all their symbols, so that it never has to
-fit one task.  Blobs between tasks are packed columns; a task holds one bucket
-of segments and one of texts, and buckets grow in number with the corpus.
+Blobs between tasks are packed columns; a task holds one bucket of marks and one
+of texts, and buckets grow in number with the corpus.
 """
 
 from __future__ import annotations
@@ -39,8 +39,10 @@ from pyspark.sql import functions as F
 from . import flat
 from .workspace import Workspace, documents, width
 
-UNIT_BYTES, BUCKET_BYTES, PIECE_BYTES, HOT = 12 << 20, 24 << 20, 512 << 10, 4096
-SEGMENT, REPEAT, OPEN, OPEN_HOT, TEXT = 0, 1, 2, 3, 9
+UNIT_BYTES, BUCKET_BYTES, PIECE_BYTES = 12 << 20, 24 << 20, 512 << 10
+#: Windows that each UNIT_BYTES of text gives to the sample, windows in the sample at most, and most single windows held before equal ones are put together.
+SAMPLES, MOST_SAMPLES, MOST_SINGLE = 16, 1 << 20, 400_000
+SEGMENT, REPEAT, OPEN, KNOWN, SAMPLE, TEXT = 0, 1, 2, 3, 4, 9
 ROWS = "dest int, kind int, key long, text string, blob binary"
 _FIELDS = ROWS.replace(",", "").split()[::2]
 
@@ -93,28 +95,49 @@ def restore(blobs: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*parts, strict=True)]
 
 
+class Symbols:
+    """The symbols of some documents: 64-bit values, where each document's begin, and their bytes.
+
+    Symbol i is ``raw[edge[i] : edge[i + 1]]``.  Words are written with one space
+    after each, so that equal runs of words are equal bytes.
+    """
+
+    def __init__(self, data: np.ndarray, at: np.ndarray, words: bool):
+        if not words:
+            self.raw, self.values, self.first = data, flat.BYTE_VALUE[data], at
+            self.edge = np.arange(len(data) + 1)
+            return
+        starts, ends, self.first = flat.words(data, at)
+        self.values = flat.SpanHash(flat.BYTE_VALUE[data])(starts, ends)
+        size = ends - starts
+        self.edge = np.r_[0, np.cumsum(size + 1)]
+        self.raw = np.full(self.edge[-1], 32, np.uint8)
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        self.raw[np.repeat(self.edge[:-1], size) + step] = data[np.repeat(starts, size) + step]
+
+    def content(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of spans of symbols, one after another, and the number of bytes of each."""
+        low, size = self.edge[begin], self.edge[end] - self.edge[begin]
+        return self.raw[np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())], size
+
+
 class Windows:
     """What is asked: windows of ``length`` symbols; anchors of ``gram`` symbols; whether the same document counts."""
 
     def __init__(self, length: int, gram: int, words: bool, same_document: bool):
         self.length, self.gram, self.words, self.same_document = length, gram, words, same_document
 
-    def symbols(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of some documents as 64-bit values, and where each document's begin."""
-        values = flat.BYTE_VALUE[data]
-        if not self.words:
-            return values, at
-        starts, ends, first = flat.words(data, at)
-        return flat.SpanHash(values)(starts, ends), first
+    def symbols(self, data: np.ndarray, at: np.ndarray) -> Symbols:
+        return Symbols(data, at, self.words)
 
-    def segments(self, symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(document, place, windows, anchor - place, hash of the anchor, two hashes of the segment), in order."""
-        length, gram, n = self.length, self.gram, len(symbols)
+    def segments(self, symbols: Symbols) -> tuple[np.ndarray, ...]:
+        """(document, place, windows, anchor - place, hash of the anchor, hash of the segment), in order."""
+        length, gram, n, first = self.length, self.gram, len(symbols.values), symbols.first
         room = np.diff(first) - length + 1
         if n < length or room.max(initial=0) <= 0:
-            return (*(np.zeros(0, t) for t in (np.int64, np.int64, np.uint8, np.uint8, np.uint64)), np.zeros((0, 2), np.uint64))
-        spans = flat.SpanHash(symbols)
-        grams = flat.mix((spans.sums[gram:] - spans.sums[:-gram]) * spans.inverse[: n - gram + 1])
+            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint8, np.uint8, np.uint64, np.uint64))
+        spans = flat.SpanHash(symbols.values)
+        grams = spans(np.arange(n - gram + 1), np.arange(gram, n + 1))
         least = (grams & flat.U64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=flat.U64)
         reach, whole = 1, length - gram + 1
         while 2 * reach <= whole:
@@ -132,10 +155,7 @@ class Windows:
         count = np.diff(np.r_[head, len(place)])
         place, anchor = place[head], anchor[head]
         doc = np.searchsorted(first, place, "right") - 1
-        end = place + count - 1 + length
-        other = flat.SpanHash(flat.mix(symbols ^ flat.U64(flat.OTHER)), flat.OTHER)
-        whole_hash = np.column_stack([spans(place, end), other(place, end)])
-        return doc, place - first[doc], count.astype(np.uint8), (anchor - place).astype(np.uint8), grams[anchor], whole_hash
+        return doc, place - first[doc], count.astype(np.uint8), (anchor - place).astype(np.uint8), grams[anchor], spans(place, place + count - 1 + length)
 
     def later(self, group: np.ndarray, key: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Of rows sorted by group, key and place: which have an earlier row in their group."""
@@ -146,6 +166,41 @@ class Windows:
         later = key > np.repeat(key[head], size)
         return later | ((key == np.repeat(key[head], size)) & (place > np.repeat(place[head], size))) if self.same_document else later
 
+    def shared(self, group: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Of rows sorted by group: whether their group has several documents (or several rows, if the same document counts)."""
+        if not len(group):
+            return np.zeros(0, bool)
+        head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        size = np.diff(np.r_[head, len(group)])
+        several = size > 1 if self.same_document else np.minimum.reduceat(key, head) != np.maximum.reduceat(key, head)
+        return np.repeat(several, size)
+
+    def exact(self, content: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of contents as numbers that are equal only if their bytes are, and the index of each content's first."""
+        if not self.words:
+            return content, begin
+        starts, ends, first = flat.words(content, np.r_[begin, len(content)])
+        return flat.numbered(content, starts, ends, flat.span_hashes(content, starts, ends)), first[:-1]
+
+    def settled(self, raw: np.ndarray, begin: np.ndarray, size: np.ndarray, hashes: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of spans, those of which an equal one comes earlier, and the others in their order; equal ones are found by hash and compared byte for byte."""
+        order = np.lexsort((place, key, hashes))
+        new = np.r_[True, hashes[order[1:]] != hashes[order[:-1]]][: len(order)]
+        head = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else order
+        later = self.later(np.cumsum(new), key[order], place[order])
+        later[later] = size[order[later]] == size[head[later]]
+        later[later] = flat.same(raw, begin[order[later]], begin[head[later]], size[order[later]])
+        return order[later], np.sort(order[~later])
+
+
+def bits48(gram: np.ndarray) -> list[np.ndarray]:
+    low = gram.view(np.uint16).reshape(-1, 4)
+    return [low[:, 0], low[:, 1], low[:, 2]]
+
+
+def from48(low: np.ndarray, mid: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(flat.U64) | mid.astype(flat.U64) << flat.U64(16) | high.astype(flat.U64) << flat.U64(32)
+
 
 def runs_of_windows(key: np.ndarray, place: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
     """Neighbouring windows as one run: (key, place, windows)."""
@@ -162,104 +217,127 @@ def _marked(buckets: int, key: np.ndarray, place: np.ndarray, count: np.ndarray)
     return list(by_dest(key % buckets, REPEAT, key, place, count))
 
 
-def _anchors(windows: Windows, buckets: int):
-    """Texts to segments; a task's own equal segments are settled here."""
-
-    def unit(held: list[tuple]) -> pa.RecordBatch:
-        key, place, count, off, gram, whole = (np.concatenate(c) for c in zip(*held, strict=True))
-        held.clear()
-        order = np.argsort(key, kind="stable")
-        order = order[np.argsort(whole[order, 0], kind="stable")]
-        same = whole[order]
-        # Should two unlike segments agree in the first half, some copies may stay apart: they meet later.
-        later = windows.later(np.cumsum(np.r_[True, (same[1:] != same[:-1]).any(1)][: len(order)]), key[order], place[order])
-        gone, rest = order[later], np.sort(order[~later])
-        rest = rest[np.argsort(key[rest], kind="stable")]
-        # Anchors are least hashes, so their upper bits are small: another mix spreads them.
-        bucket = ((flat.mix(gram[rest] + flat.U64(1)) >> flat.U64(32)) * flat.U64(buckets) >> flat.U64(32)).astype(np.int64)
-        low = gram[rest].view(np.uint16).reshape(-1, 4)[:, :3]
-        rows = list(by_dest(bucket, SEGMENT, key[rest], place[rest].astype(np.uint32), count[rest], off[rest], low[:, 0], low[:, 1], low[:, 2], whole[rest, 0], whole[rest, 1]))
+def _opened(buckets: int, key: np.ndarray, place: np.ndarray, count: np.ndarray, off: np.ndarray) -> list:
+    order = np.lexsort((place, key))
+    key = key[order]
+    return list(by_dest(key % buckets, OPEN, key, place[order].astype(np.uint32), count[order], off[order]))
+
+
+def _anchors(windows: Windows, buckets: int, sample_key: Callable):
+    """Texts to segments; a task compares its own equal segments, and knows which of its anchors several documents share."""
+
+    def unit(held: list[tuple], raws: list[np.ndarray], samples: list[bytes]) -> pa.RecordBatch:
+        key, place, count, off, gram, whole, begin, size = (np.concatenate(c) for c in zip(*held, strict=True))
+        raw = np.concatenate(raws)
+        held.clear(), raws.clear()
+        gone, rest = windows.settled(raw, begin, size, whole, key, place)
+        gram &= flat.U64(0xFFFFFFFFFFFF)
+        rest = rest[np.lexsort((place[rest], key[rest], gram[rest]))]
+        known = windows.shared(gram[rest], key[rest])
+        opened, alone = rest[known], np.sort(rest[~known])
+        alone = alone[np.argsort(key[alone], kind="stable")]
+        seen = np.unique(gram[opened])
+        rows = list(by_dest(_bucket(gram[alone], buckets), SEGMENT, key[alone], place[alone].astype(np.uint32), count[alone], off[alone], *bits48(gram[alone])))
+        rows += by_dest(_bucket(seen, buckets), KNOWN, np.zeros(len(seen), np.int64), *bits48(seen))
+        rows += _opened(buckets, key[opened], place[opened], count[opened], off[opened])
+        rows += [(0, SAMPLE, b) for b in samples]
+        samples.clear()
         return emit(rows + _marked(buckets, key[gone], place[gone], count[gone]))
 
     def run(batches):
-        held, size = [], 0
+        held, raws, samples, size = [], [], [], 0
         for part, data, at in flat.pieces(batches, PIECE_BYTES):
             ids = part.column(0).to_numpy(zero_copy_only=False)
-            doc, place, count, off, gram, whole = windows.segments(*windows.symbols(data, at))
-            held.append((ids[doc], place, count, off, gram, whole))
+            symbols = windows.symbols(data, at)
+            doc, place, count, off, gram, whole = windows.segments(symbols)
+            start = symbols.first[doc] + place
+            begin, end = symbols.edge[start], symbols.edge[start + count + windows.length - 1]
+            held.append((ids[doc], place, count, off, gram, whole, begin + sum(map(len, raws)), end - begin))
+            raws.append(symbols.raw)
+            if len(doc):  # spread over the piece by a hash, the same wherever the text lies
+                own = np.argsort(flat.mix(gram ^ whole))[: max(1, SAMPLES * len(data) // UNIT_BYTES)]
+                samples += sample_key(symbols, start[own], off[own].astype(np.int64))
             size += len(data)
             if size >= UNIT_BYTES:
-                yield unit(held)
-                held, size = [], 0
+                yield unit(held, raws, samples)
+                size = 0
         if held:
-            yield unit(held)
+            yield unit(held, raws, samples)
 
     return run
 
 
+def _bucket(gram: np.ndarray, buckets: int) -> np.ndarray:
+    """Anchors are least hashes, so their upper bits are small: another mix spreads them."""
+    return ((flat.mix(gram + flat.U64(1)) >> flat.U64(32)) * flat.U64(buckets) >> flat.U64(32)).astype(np.int64)
+
+
 def _meet(windows: Windows, buckets: int):
-    """Segments of one bucket of anchors to repeats and to what is open."""
+    """Segments of one bucket of anchors: those whose anchor others have too are open, the others done.
+
+    A task that holds several documents with one anchor sent a mark alone, so
+    of any anchor there are at most so many rows here as tasks' units.
+    """
 
     def run(batches):
-        blobs = []
+        blobs, marks = [], []
         for batch in batches:
             kinds = batch.column(1).to_pylist()
-            blobs += [b for b, k in zip(batch.column(4).to_pylist(), kinds, strict=True) if k == SEGMENT]
-            yield batch.filter(pa.array([k != SEGMENT for k in kinds]))
+            for b, k in zip(batch.column(4).to_pylist(), kinds, strict=True):
+                if k in (SEGMENT, KNOWN):
+                    (blobs if k == SEGMENT else marks).append(b)
+            yield batch.filter(pa.array([k not in (SEGMENT, KNOWN) for k in kinds]))
         if not blobs:
             return
-        key, place, count, off, low, mid, high, whole, other = restore(blobs)
-        del blobs
-        gram = low.astype(flat.U64) | mid.astype(flat.U64) << flat.U64(16) | high.astype(flat.U64) << flat.U64(32)
-        order = np.argsort(gram)
-        alike = gram[order[1:]] == gram[order[:-1]]
-        order = order[np.r_[alike, False] | np.r_[False, alike]]
-        order = order[np.lexsort((place[order], key[order], other[order], whole[order], gram[order]))]
-        key, place, count, off, gram, whole, other = (x[order] for x in (key, place, count, off, gram, whole, other))
-        if not len(key):
-            return
-        head = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-        size = np.diff(np.r_[head, len(gram)])
-        new = np.r_[True, (gram[1:] != gram[:-1]) | (whole[1:] != whole[:-1]) | (other[1:] != other[:-1])]
-        later = windows.later(np.cumsum(new), key, place)
-        unlike = np.add.reduceat(new.astype(np.int64), head)
-        apart = np.ones(len(head), bool) if windows.same_document else np.minimum.reduceat(key, head) != np.maximum.reduceat(key, head)
-        open_ = ~later & np.repeat((unlike > 1) & apart, size)
-        hot = open_ & np.repeat(np.add.reduceat(open_.astype(np.int64), head) > HOT, size)
-        rows = _marked(buckets, key[later], place[later], count[later])
-        for which, kind in ((open_ & ~hot, OPEN), (hot, OPEN_HOT)):
-            k, order = key[which], np.lexsort((place[which], key[which]))
-            rows += by_dest((k % buckets)[order], kind, k[order], place[which][order].astype(np.uint32), count[which][order], off[which][order])
-        yield emit(rows)
+        known = np.unique(from48(*restore(marks)[1:])) if marks else np.zeros(0, flat.U64)
+        key, place, count, off, *gram = restore(blobs)
+        gram = from48(*gram)
+        order = np.lexsort((key, gram))
+        key, place, count, off, gram = (x[order] for x in (key, place, count, off, gram))
+        open_ = windows.shared(gram, key) | np.isin(gram, known)
+        yield emit(_opened(buckets, key[open_], place[open_], count[open_], off[open_]))
 
     return run
 
 
-def _with_texts(batches, kinds: tuple[int, ...]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _with_texts(batches, kind_of: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Batches of texts of one bucket, and the columns of the blobs that came before them, sorted by document."""
     blobs, columns = [], None
     for batch in batches:
         kind = np.array(batch.column(1).to_pylist(), np.int64)
-        for i in np.flatnonzero(kind != TEXT).tolist():
-            if kind[i] in kinds:
-                blobs.append((int(kind[i]), batch.column(4)[i].as_py()))
+        blobs += [batch.column(4)[i].as_py() for i in np.flatnonzero(kind == kind_of).tolist()]
         texts = batch.slice(int((kind != TEXT).sum()))
         if texts.num_rows:
             if columns is None:
-                parts = [[*restore([b]), k] for k, b in blobs]
-                columns = [np.concatenate(c) for c in zip(*[[*p[:-1], np.full(len(p[0]), p[-1])] for p in parts], strict=True)] if parts else []
-                blobs = []
+                columns = restore(blobs) if blobs else []
                 if columns:
                     order = np.argsort(columns[0], kind="stable")
                     columns = [c[order] for c in columns]
             yield texts, columns
 
 
-def _fetch(windows: Windows, buckets: int, place_of: Callable):
-    """Open segments with their symbols, sent to where suffixes with the same lead meet."""
+def _fetch(windows: Windows, buckets: int, router: Router):
+    """Open segments with their bytes, sent to where suffixes that may be equal meet."""
+
+    def blobs(dest, key, place, count, size, content) -> list:
+        rows, order, ends = [], np.argsort(dest, kind="stable"), np.cumsum(size)
+        for mine in np.split(order, np.flatnonzero(np.diff(dest[order])) + 1):
+            if len(mine):
+                bytes_of = np.concatenate([content[ends[i] - size[i] : ends[i]] for i in mine.tolist()])
+                rows.append((int(dest[mine[0]]), OPEN, squeeze(key[mine], place[mine].astype(np.uint32), count[mine].astype(np.uint8), size[mine].astype(np.uint32), bytes_of)))
+        return rows
+
+    def together(single: list[tuple]) -> tuple[tuple, list]:
+        """Single windows, of equal ones the earliest alone; the others are repeats (or wait for the same document's first)."""
+        dest, key, place, size, content = (np.concatenate(c) for c in zip(*single, strict=True))
+        begin = np.cumsum(size) - size
+        gone, rest = windows.settled(content, begin, size, flat.span_hashes(content, begin, begin + size), key, place)
+        bytes_of = content[np.repeat(begin[rest] - np.cumsum(size[rest]) + size[rest], size[rest]) + np.arange(size[rest].sum())]
+        return (dest[rest], key[rest], place[rest], size[rest], bytes_of), _marked(buckets, key[gone], place[gone], np.ones(len(gone), np.int64))
 
     def run(batches):
-        for texts, columns in _with_texts(batches, (OPEN, OPEN_HOT)):
+        single, held, limit = [], 0, MOST_SINGLE
+        for texts, columns in _with_texts(batches, OPEN):
             if not columns:
                 continue
             for part, data, at in flat.pieces(iter([texts]), PIECE_BYTES):
@@ -267,77 +345,81 @@ def _fetch(windows: Windows, buckets: int, place_of: Callable):
                 low, high = np.searchsorted(columns[0], ids), np.searchsorted(columns[0], ids, "right")
                 if (low == high).all():
                     continue
-                symbols, first = windows.symbols(data, at)
-                raw = symbols if windows.words else data
+                symbols = windows.symbols(data, at)
                 own = np.concatenate([np.arange(a, b) for a, b in zip(low.tolist(), high.tolist(), strict=True)])
                 doc = np.repeat(np.arange(len(ids)), high - low)
-                key, place, count, off, kind = (c[own] for c in columns)
-                place, count, off = place.astype(np.int64), count.astype(np.int64), off.astype(np.int64)
-                hot = kind == OPEN_HOT
-                if hot.any():  # one window at a time
-                    times = np.where(hot, count, 1)
-                    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    key, place, off, doc, count = np.repeat(key, times), np.repeat(place, times) + step, np.repeat(off, times) - step, np.repeat(doc, times), np.where(np.repeat(hot, times), 1, np.repeat(count, times))
-                    hot = np.repeat(hot, times)
-                begin = first[doc] + place
-                size = count - 1 + windows.length
-                flat_at = np.repeat(begin - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-                content = raw[flat_at]
-                dest = place_of(raw, begin + off)
-                if hot.any():
-                    spans = flat.SpanHash(symbols)
-                    dest = np.where(hot, (spans(begin, begin + windows.length) % flat.U64(buckets)).astype(np.int64), dest)
-                ends = np.cumsum(size)
-                rows, order = [], np.argsort(dest, kind="stable")
-                for mine in np.split(order, np.flatnonzero(np.diff(dest[order])) + 1):
-                    if len(mine):
-                        symbols_of = np.concatenate([content[ends[i] - size[i] : ends[i]] for i in mine.tolist()])
-                        rows.append((int(dest[mine[0]]), OPEN, squeeze(key[mine], place[mine].astype(np.uint32), count[mine].astype(np.uint8), symbols_of)))
+                key, place, count, off = (c[own].astype(np.int64) for c in columns)
+                begin = symbols.first[doc] + place
+                dest = router.segments(symbols, begin + off)
+                whole = dest >= 0
+                content, size = symbols.content(begin[whole], begin[whole] + count[whole] - 1 + windows.length)
+                rows = blobs(dest[whole], key[whole], place[whole], count[whole], size, content)
+                if not whole.all():  # too common: one window at a time
+                    key, place, count, off, begin = (x[~whole] for x in (key, place, count, off, begin))
+                    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                    key, place, begin, off = np.repeat(key, count), np.repeat(place, count) + step, np.repeat(begin, count) + step, np.repeat(off, count) - step
+                    content, size = symbols.content(begin, begin + windows.length)
+                    single.append((router.windows(symbols, begin, off), key, place, size, content))
+                    held += len(key)
+                if held > limit:
+                    kept, gone = together(single)
+                    single, held, rows = [kept], len(kept[0]), rows + gone
+                    limit = max(MOST_SINGLE, 2 * held)
+                    if held > 2 * MOST_SINGLE:
+                        rows += blobs(kept[0], kept[1], kept[2], np.ones(held, np.int64), kept[3], kept[4])
+                        single, held, limit = [], 0, MOST_SINGLE
                 yield emit(rows)
+        if single:
+            kept, gone = together(single)
+            yield emit(gone + blobs(kept[0], kept[1], kept[2], np.ones(len(kept[0]), np.int64), kept[3], kept[4]))
 
     return run
 
 
-def refine(columns: Iterator[np.ndarray], rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that agree in every column with another row, and the number of their group.
+class Router:
+    """Where suffixes go. Equal windows have equal anchors at equal places, and must go to one bucket."""
 
-    One column after another splits the groups that are left; a row alone in
-    its group takes no further part.
-    """
-    left, group = np.arange(rows), np.zeros(rows, np.int64)
-    for column in columns:
-        value = column(left)
-        order = np.lexsort((value, group))
-        left, group, value = left[order], group[order], value[order]
-        new = np.r_[True, (group[1:] != group[:-1]) | (value[1:] != value[:-1])][: len(left)]
-        group = np.cumsum(new) - 1
-        several = np.bincount(group, minlength=1)[group] > 1
-        left, group = left[several], group[several]
-    return left, group
+    def segments(self, symbols: Symbols, anchor: np.ndarray) -> np.ndarray:
+        """The bucket of all windows with these anchors, or -1 if they go one by one."""
+        raise NotImplementedError
+
+    def windows(self, symbols: Symbols, begin: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """The bucket of each window, from where it begins and how far its anchor lies behind."""
+        raise NotImplementedError
 
 
 def _compare(windows: Windows, buckets: int, equal: Callable):
     """Suffixes of one bucket to repeats."""
 
     def run(batches):
-        blobs = [b for batch in batches for b in batch.column(4).to_pylist()]
+        blobs = []
+        for batch in batches:
+            kinds = batch.column(1).to_pylist()
+            blobs += [b for b, k in zip(batch.column(4).to_pylist(), kinds, strict=True) if k == OPEN]
+            yield batch.filter(pa.array([k != OPEN for k in kinds]))
         if not blobs:
             return
         parts = [unsqueeze(b) for b in blobs]
         blobs.clear()
-        key, place, count, content = (np.concatenate(c) for c in zip(*parts, strict=True))
+        key, place, count, size, content = (np.concatenate(c) for c in zip(*parts, strict=True))
         del parts
-        count = count.astype(np.int64)
-        size = count - 1 + windows.length
+        place, count, size = (x.astype(np.int64) for x in (place, count, size))
         begin = np.cumsum(size) - size
+        # Segments that are equal as a whole are compared once, and not for each of their windows.
+        whole, rest = windows.settled(content, begin, size, flat.span_hashes(content, begin, begin + size), key, place)
+        marks = [(key[whole], place[whole], count[whole])]
+        key, place, count, begin, size = (x[rest] for x in (key, place, count, begin, size))
+        content = content[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        symbols, begin = windows.exact(content, np.cumsum(size) - size)
         step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         start = np.repeat(begin, count) + step
-        key, place = np.repeat(key, count), np.repeat(place.astype(np.int64), count) + step
-        left, group = equal(content, start)
+        key, place = np.repeat(key, count), np.repeat(place, count) + step
+        left, group = equal(symbols, start)
         order = np.lexsort((place[left], key[left], group))
         left, group = left[order], group[order]
         gone = left[windows.later(group, key[left], place[left])]
-        yield emit(_marked(buckets, key[gone], place[gone], np.ones(len(gone), np.int64)))
+        marks.append((key[gone], place[gone], np.ones(len(gone), np.int64)))
+        yield emit(_marked(buckets, *(np.concatenate(c) for c in zip(*marks, strict=True))))
 
     return run
 
@@ -346,7 +428,7 @@ def _remove(windows: Windows, finish: Callable, names: list[str], kinds: list[pa
     """Texts and the runs of windows that repeat to the operator's result."""
 
     def run(batches):
-        for texts, columns in _with_texts(batches, (REPEAT,)):
+        for texts, columns in _with_texts(batches, REPEAT):
             ids = texts.column(2).to_numpy(zero_copy_only=False)
             rows = []
             for i, text in zip(ids.tolist(), texts.column(3).to_pylist(), strict=True):
@@ -386,15 +468,22 @@ def keyed(work: Workspace, docs: DataFrame) -> tuple[DataFrame, DataFrame | None
     return rows.select("key", "text"), rows.select("key", "doc_id"), buckets
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, name: str, windows: Windows, router: Callable, equal: Callable, finish: Callable, result: str) -> DataFrame:
+def sample_of(met: DataFrame) -> list[bytes]:
+    """Sampled windows: SAMPLES for each UNIT_BYTES of text, thinned by their hash to about MOST_SAMPLES."""
+    rows = met.filter(F.col("kind") == SAMPLE)
+    every = max(1, rows.count() // MOST_SAMPLES)
+    return sorted(bytes(r["blob"]) for r in rows.filter(F.pmod(F.xxhash64("blob"), F.lit(every)) == 0).select("blob").collect())
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, name: str, windows: Windows, sample_key: Callable, router: Callable, equal: Callable, finish: Callable, result: str) -> DataFrame:
     """One row for each row of docs: doc_id and what ``finish`` makes of its text and of the spans that repeat."""
     work = Workspace(spark, name)
     rows, names, buckets = keyed(work, docs)
     text_rows = rows.select(F.pmod("key", F.lit(buckets)).cast("int").alias("dest"), F.lit(TEXT).alias("kind"), "key", "text", F.lit(None).cast("binary").alias("blob"))
     to = lambda df: df.repartitionById(buckets, F.col("dest"))
-    met = work.keep(to(rows.mapInArrow(_anchors(windows, buckets), ROWS)).mapInArrow(_meet(windows, buckets), ROWS), "met", free=True)
+    met = work.keep(to(rows.mapInArrow(_anchors(windows, buckets, sample_key), ROWS)).mapInArrow(_meet(windows, buckets), ROWS), "met", free=True)
     work.drop()
-    fetched = to(met.filter(F.col("kind").isin(OPEN, OPEN_HOT)).unionByName(text_rows)).sortWithinPartitions("kind").mapInArrow(_fetch(windows, buckets, router(rows, buckets)), ROWS)
+    fetched = to(met.filter(F.col("kind") == OPEN).unionByName(text_rows)).sortWithinPartitions("kind").mapInArrow(_fetch(windows, buckets, router(sample_of(met), buckets)), ROWS)
     compared = work.keep(to(fetched).mapInArrow(_compare(windows, buckets, equal), ROWS), "compared", free=True)
     work.drop()
     marks = met.filter(F.col("kind") == REPEAT).unionByName(compared)

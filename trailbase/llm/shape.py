@@ -28,13 +28,21 @@ def _sums(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.diff(np.r_[0, np.cumsum(flags, dtype=np.int64)][at])
 
 
-def _apart(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Hashes that differ between documents too."""
-    return flat.mix(hashes + doc.astype(flat.U64) * flat.U64(0xA0761D6478BD642F))
+def _alike(word: np.ndarray, doc: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of the same words in the same document as one number, and how often each number occurs."""
+    hashes = flat.SpanHash(flat.mix(word.astype(flat.U64)))(begin, begin + WINDOW)
+    key = flat.mix(hashes + doc[begin].astype(flat.U64) * flat.U64(0xA0761D6478BD642F))
+    _, first, number, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    again = np.flatnonzero(times[number] > 1)
+    a, b = begin[again], begin[first[number[again]]]
+    if (doc[a] == doc[b]).all() and flat.same(word, a, b, np.full(len(a), WINDOW)).all():
+        return number, times
+    rows = np.column_stack([doc[begin], *(word[begin + k] for k in range(WINDOW))])
+    return np.unique(rows, axis=0, return_inverse=True, return_counts=True)[1:]
 
 
 def counts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
-    """The COUNTS of each document; equal lines, words and windows are told by 64-bit hashes."""
+    """The COUNTS of each document; equal lines, words and windows are found by hash and confirmed byte for byte."""
     n = len(at) - 1
     starts, ends, first = flat.words(data, at)
     hashes = flat.SpanHash(flat.BYTE_VALUE[data])
@@ -51,19 +59,19 @@ def counts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     line_end -= (line_end > line_start) & (data[np.maximum(line_end - 1, 0)] == 10)
     has_word = np.searchsorted(starts, line_end) > np.searchsorted(starts, line_start)
     line_start, line_end, line_doc = line_start[has_word], line_end[has_word], line_doc[has_word]
-    _, one = np.unique(_apart(hashes(line_start, line_end), line_doc), return_index=True)
+    line = flat.numbered(data, line_start, line_end, hashes(line_start, line_end))
+    _, one = np.unique(line_doc * (len(line) + 1) + line, return_index=True)
     out["n_lines"] = np.bincount(line_doc, minlength=n)
     out["n_dup_lines"] = out["n_lines"] - np.bincount(line_doc[one], minlength=n)
 
-    word = hashes(starts, ends)
+    word = flat.numbered(data, starts, ends, hashes(starts, ends))
     doc = flat.owners(first)
-    _, one = np.unique(_apart(word, doc), return_index=True)
+    _, one = np.unique(doc * (len(word) + 1) + word, return_index=True)
     out["n_distinct_words"] = np.bincount(doc[one], minlength=n)
     covered = np.zeros(len(word) + 1, np.int64)
     if len(word) >= WINDOW:
         begin = np.flatnonzero(np.arange(len(word)) + WINDOW <= first[doc + 1])
-        key = _apart(flat.SpanHash(word)(begin, begin + WINDOW), doc[begin])
-        _, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
+        inverse, times = _alike(word, doc, begin)
         begin = begin[times[inverse] > 1]
         np.add.at(covered, begin, 1)
         np.add.at(covered, begin + WINDOW, -1)

@@ -1,36 +1,29 @@
 """Tables between the jobs of one operator, in the folder that all executors share.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only a
-session that names none (tests, a laptop) gets a temporary folder of its own.
+The folder is the one the cluster names in ``spark.checkpoint.dir``; a local
+session that names none gets a temporary folder of its own.  What a run wrote
+is deleted when the driver ends, or before, as soon as nothing reads it.
 A written table cuts the lineage: an executor lost later costs the tasks that
 it ran, not the jobs before.
 """
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SETTING = "spark.checkpoint.dir"
+from ..shared import SETTING, delete_at_exit, shared_folder, shared_root
+
 BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BY_SIZE = ("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    base = spark.conf.get(SETTING, None)
-    if not base:
-        own = tempfile.mkdtemp(prefix="trailbase-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        base = f"file://{own}"
-        spark.conf.set(SETTING, base)
-    return base.rstrip("/")
+    """The shared folder itself."""
+    return shared_root(spark)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -48,7 +41,8 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         spark.conf.set(*BY_SIZE)
-        self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.path = spark, shared_folder(spark, name)
+        delete_at_exit(spark, self.path)
 
     def keep(self, df: DataFrame, name: str, free: bool = False) -> DataFrame:
         """Write df and read it back; free: Spark deletes the shuffle files of df as soon as it is written."""
