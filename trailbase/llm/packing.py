@@ -1,15 +1,15 @@
 """Best-fit packing of token sequences by exact-complement hashing.
 
 Lengths are bounded by the sequence size, so all planning works on one
-histogram of lengths, however many pieces there are.  For each length, from
-the longest, the gap it leaves is looked up among the sums of one, two and
-three lengths that are still available; what fits exactly is consumed as often
-as the counts allow.  What is left goes by best fit: the longest piece that
-fits, then again an exact complement of the new gap if there is one.  A plan
-says which ranks of each length go where; it has at most about four rows for
-each length.  Pieces get their rank within their length from a count of their
-own task and the sum of the counts of the tasks before it, so no task ever
-holds all pieces of one length.
+histogram of lengths, however many pieces there are.  The sums of one, two and
+three lengths are indexed once (``SumIndex``).  For each length, from the
+longest, the gap it leaves is looked up in that index; a combination that fits
+exactly is consumed as often as the counts allow.  What is left goes by best
+fit: the longest piece that fits, then again an exact complement of the new gap
+if there is one.  A plan says which ranks of each length go where; it has at
+most about four rows for each length.  Pieces get their rank within their
+length from a count of their own task and the sum of the counts of the tasks
+before it, so no task ever holds all pieces of one length.
 """
 
 from __future__ import annotations
@@ -30,30 +30,54 @@ from .workspace import Workspace, documents
 SIZE = 2048
 
 
-def complement(free: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths that sum to gap exactly; free[l]: how many pieces of length l are left."""
-    if free[gap] > 0:
-        return (gap,)
-    if pair := _pair(free, gap, gap - 1):
-        return pair
-    for first in np.flatnonzero(free[1 : gap - 1] > 0)[::-1] + 1:
-        free[first] -= 1
-        pair = _pair(free, gap - int(first), int(first))
-        free[first] += 1
-        if pair:
-            return (int(first), *pair)
-    return None
-
-
-def _pair(free: np.ndarray, gap: int, most: int) -> tuple[int, int] | None:
-    """The pair of available lengths, the longer as long as it may be, that sums to gap."""
-    low, high = (gap + 1) // 2, min(gap - 1, most)
-    if low > high:
+class SumIndex:
+    """Sums of one, two and three available lengths, each indexed by its sum.
+
+    Counts only fall, so an entry is valid as long as its lengths are left.
+    Pairs of a sum are listed with the longer length falling.  A triple is
+    listed as its longest length; the other two are a pair of what remains.
+    """
+
+    def __init__(self, free: np.ndarray):
+        self.free, size = free, len(free) - 1
+        lengths = np.flatnonzero(free[1:] > 0) + 1
+        longer, shorter = (x.ravel() for x in np.meshgrid(lengths, lengths, indexing="ij"))
+        fit = (longer >= shorter) & (longer + shorter <= size) & ((longer != shorter) | (free[longer] > 1))
+        self.pairs, self.pair_at = self._by_sum(longer[fit], shorter[fit], size)
+        least = np.full(size + 1, size + 1)  # the least longer length among a sum's pairs
+        some = np.flatnonzero(np.diff(self.pair_at))
+        least[some] = self.pairs[self.pair_at[some + 1] - 1]
+        first, rest = (x.ravel() for x in np.meshgrid(lengths, some, indexing="ij"))
+        fit = (first + rest <= size) & (first >= least[rest])
+        self.triples, self.triple_at = self._by_sum(first[fit], rest[fit], size)
+
+    @staticmethod
+    def _by_sum(first: np.ndarray, rest: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((-first, first + rest))
+        return first[order], np.searchsorted((first + rest)[order], np.arange(size + 2))
+
+    def pair(self, gap: int, most: int) -> tuple[int, int] | None:
+        """The pair of available lengths, the longer as long as it may be, that sums to gap."""
+        longer = self.pairs[self.pair_at[gap] : self.pair_at[gap + 1]]
+        longer = longer[longer <= most]
+        ok = (self.free[longer] > 0) & (self.free[gap - longer] > 0) & ((2 * longer != gap) | (self.free[longer] > 1))
+        at = int(np.argmax(ok)) if len(ok) else 0
+        return (int(longer[at]), gap - int(longer[at])) if len(ok) and ok[at] else None
+
+    def complement(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three available lengths that sum to gap exactly."""
+        if self.free[gap] > 0:
+            return (gap,)
+        if pair := self.pair(gap, gap):
+            return pair
+        firsts = self.triples[self.triple_at[gap] : self.triple_at[gap + 1]]
+        for first in firsts[self.free[firsts] > 0].tolist():
+            self.free[first] -= 1
+            pair = self.pair(gap - first, first)
+            self.free[first] += 1
+            if pair:
+                return (first, *pair)
         return None
-    long = np.arange(high, low - 1, -1)
-    fits = (free[long] > 0) & (free[gap - long] > 0) & ((long * 2 != gap) | (free[long] > 1))
-    at = int(np.argmax(fits))
-    return (int(long[at]), gap - int(long[at])) if fits[at] else None
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
@@ -61,6 +85,7 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...]
     free = np.zeros(size + 1, np.int64)
     for length, n in counts.items():
         free[length] = n
+    index = SumIndex(free)
     out: list[tuple[tuple[int, ...], int]] = []
 
     def consume(items: list[int]) -> None:
@@ -75,28 +100,28 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...]
     for length in range(size - 1, 0, -1):
         while free[length]:
             free[length] -= 1
-            rest = complement(free, size - length)
+            rest = index.complement(size - length)
             free[length] += 1
             if rest is None:
                 break
             consume([length, *rest])
     for length in range(size - 1, 0, -1):
         while free[length]:
-            items, gap = [length], size - length
-            left = free.copy()
-            left[length] -= 1
+            items, gap, before = [length], size - length, free.copy()
+            free[length] -= 1
             while gap:
-                rest = complement(left, gap)
+                rest = index.complement(gap)
                 if rest:
                     items += rest
                     break
-                fits = np.flatnonzero(left[1 : gap + 1] > 0)
+                fits = np.flatnonzero(free[1 : gap + 1] > 0)
                 if not len(fits):
                     break
                 x = int(fits[-1]) + 1
                 items.append(x)
-                left[x] -= 1
+                free[x] -= 1
                 gap -= x
+            free[:] = before
             consume(items)
     return out
 
@@ -131,9 +156,10 @@ class ByteTokenizer:
     """Ids of whole texts, as the tokenizers library makes them from a byte-level BPE file.
 
     Where merges rank as their ids do, the same vocabulary is run by tiktoken,
-    which is several times faster; both libraries put every Unicode character
-    in the same class, so they cut and merge alike.  Texts that hold an added
-    token go through tokenizers itself.
+    which is five times faster; both libraries put every Unicode character in
+    the same class, so they cut and merge alike.  Texts that hold an added
+    token, and those that tiktoken refuses (white space of a million characters
+    exhausts its stack), go through tokenizers itself.
     """
 
     def __init__(self, path: str):
@@ -154,15 +180,17 @@ class ByteTokenizer:
             self.fast = tiktoken.Encoding("file", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self.fast is None:
-            return self._slow(texts)
-        easy = [not any(a in t for a in self.added) for t in texts]
-        rest = iter(self._slow([t for t, e in zip(texts, easy, strict=True) if not e]))
-        return [self.fast.encode_to_numpy(t, disallowed_special=()) if e else next(rest) for t, e in zip(texts, easy, strict=True)]
+        return [self._one(t) for t in texts] if self.fast else self._slow(texts)
+
+    def _one(self, text: str) -> np.ndarray:
+        if not any(a in text for a in self.added):
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=())
+            except ValueError:
+                pass
+        return self._slow([text])[0]
 
     def _slow(self, texts: list[str]) -> list[np.ndarray]:
-        if not texts:
-            return []
         if self.full is None:  # only if a text needs it: it takes much memory
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
@@ -209,14 +237,16 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, size: int =
     A document of more than ``size`` ids is cut into pieces of ``size``, the
     first piece perhaps shorter; others stay whole.  Null and empty texts are
     id 0 alone.  Rows with a null doc_id and repeated rows are packed like any
-    other; an empty table gives an empty result.
+    other; an empty table gives an empty result.  A text of any length is
+    encoded whole in one task, which holds its ids; ties between combinations
+    go to the one with the longest first length.
     """
     work = Workspace(spark, "packing")
     pieces = work.keep(cut(docs, tokenizer_path, size), "pieces")
     by_task = work.keep(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "by_task")
     # At most ``size`` rows reach the driver: one for each length.
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    where = slots(counts, size)
+    where = slots(counts, size)  # at most about four rows for each length
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
@@ -232,5 +262,6 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, size: int =
                     sequence[own], offset[own] = goes_to[k] + rank[own] - first[k], at[k]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    ranked = pieces.join(bases, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("place")).alias("rank"))
+    # One row for each length and task: that grows with the corpus, so it is not broadcast.
+    ranked = pieces.join(bases.hint("merge"), ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("place")).alias("rank"))
     return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
