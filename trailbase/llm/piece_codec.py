@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -109,6 +110,9 @@ class PieceModel:
         self.wholes = np.array([pairs[k][1] for k in keys] or [0], np.int64)
         self.surface = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, kinds, strict=True)]
         self.is_byte = self.kinds == BYTE
+        self.surface_size = np.array(list(map(len, self.surface)), np.int64)
+        self.surface_at = np.cumsum(self.surface_size) - self.surface_size
+        self.surface_bytes = np.frombuffer(b"".join(self.surface), np.uint8)
 
     def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranks of pairs (NEVER if they don't merge) and the merged pieces; negative symbols never merge."""
@@ -188,6 +192,32 @@ class PieceModel:
         out[places] = self.bytes[np.frombuffer(b"".join(spelled), np.uint8)]
         return out, np.repeat(word, sizes)
 
+    def decode_flat(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The UTF-8 texts of many lists of ids, one after another in one array, by one gather of their pieces' bytes.
+
+        Lists that begin with a control id, or whose bytes are no valid UTF-8,
+        are decoded one by one.
+        """
+        size = self.surface_size[ids]
+        total = np.cumsum(size)
+        raw = self.surface_bytes[np.repeat(self.surface_at[ids] - total + size, size) + np.arange(size.sum())].tobytes()
+        out, low, begin = [], 0, 0
+        for high in ends.tolist():
+            end = int(total[high - 1]) if high else 0
+            text = raw[begin:end]
+            try:
+                text.decode()
+                plain = high == low or self.kinds[ids[low]] != CONTROL
+            except UnicodeDecodeError:
+                plain = False
+            if not plain:
+                text = self.decode(ids[low:high]).encode("utf-8", "surrogatepass")
+            elif high > low and not self.is_byte[ids[low]] and text[:1] == b" ":
+                text = text[1:]
+            out.append(text)
+            low, begin = high, end
+        return out
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: one leading space goes, byte pieces in a row are read as UTF-8, each bad byte as U+FFFD."""
         out, held, first = [], b"", True
@@ -238,20 +268,11 @@ class PieceCodec:
         self.shown = RunCache(self._show)
         self.names = list(map(str, range(self.model.n)))
 
-    def _show(self, new: list[str]) -> list[tuple[str, int, str]]:
-        """For each word its ids in decimal, how many they are, and what they decode to after other words.
-
-        The text decoded is that of the ids: a word's bytes make whole characters,
-        as each character without a piece is spelled within its word.
-        """
+    def _show(self, new: list[str]) -> list[tuple[str, list[int]]]:
+        """For each word its ids in decimal, and the ids."""
         flat, ends = self._encode(new)
-        surface, name = self.model.surface, self.names
-        out, low = [], 0
-        for high in ends:
-            ids = flat[low:high]
-            out.append((" ".join([name[i] for i in ids]), high - low, b"".join([surface[i] for i in ids]).decode("utf-8", "surrogatepass")))
-            low = high
-        return out
+        name = self.names
+        return [(" ".join([name[i] for i in flat[a:b]]), flat[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -292,17 +313,18 @@ class PieceCodec:
         return self.model.decode(np.array(ids, np.int64))
 
     def digests(self, batch: list[str]) -> tuple[list[int], list[str], list[str]]:
+        """For each text the number of its ids, and digests of its ids and of what these decode to."""
         split = [self.words(t) for t in batch]
         known = self.shown.values(split)
         tail = list(map(str, self.tail))
-        counts, ids, decoded = [], [], []
+        counts, digests, every = [], [], []
         for words in split:
-            shown, sizes, texts = zip(*[known[w] for w in words], strict=True) if words else ((), (), ())
-            counts.append(sum(sizes) + len(tail))
-            ids.append(hashlib.sha256(" ".join([*shown, *tail]).encode()).hexdigest())
-            # The leading space that encoding adds goes again: it heads the first piece.
-            decoded.append(hashlib.sha256("".join(texts)[1:].encode()).hexdigest())
-        return counts, ids, decoded
+            shown, ids = zip(*[known[w] for w in words], strict=True) if words else ((), ())
+            counts.append(sum(map(len, ids)) + len(tail))
+            digests.append(hashlib.sha256(" ".join([*shown, *tail]).encode()).hexdigest())
+            every += [*ids, self.tail]
+        decoded = self.model.decode_flat(np.fromiter(chain.from_iterable(every), np.int64), np.cumsum(counts))
+        return counts, digests, [hashlib.sha256(t).hexdigest() for t in decoded]
 
 
 _codecs: dict[str, PieceCodec] = {}
