@@ -1,14 +1,17 @@
 """Quality rules whose cutoffs bound how many good documents each stratum loses.
 
-Each rule rejects documents whose rate lies above a cutoff.  Cutoffs come from
-labelled holdout rows.  For each stratum and rule a fixed sequence of cutoffs
-is tested, from the loosest to the tightest: the hypothesis "more than ALPHA /
-rules of the good documents lie above" is rejected only if the exact binomial
-tail of what the holdout shows is at most DELTA / (rules * strata); the
-sequence ends at the first cutoff that fails.  Testing in a fixed order needs
-no further correction along the sequence, so with probability 1 - DELTA no
-stratum loses more than ALPHA of its good documents to all rules together.
-A stratum with too few labels gets no cutoff and loses none.
+A document is rejected if the rate of any rule lies above its stratum's cutoff.
+Cutoffs come from labelled holdout rows.  For each stratum one fixed sequence
+of cutoffs, the same for all rules together, is tested from the loosest to the
+tightest: the hypothesis "more than ALPHA of the good documents are rejected"
+is itself rejected only if the exact binomial tail of what the holdout shows is
+at most DELTA / strata; the sequence ends at the first cutoff that fails.
+Testing in a fixed order needs no further correction along the sequence, and
+the division by the number of strata corrects for testing each, so with
+probability 1 - DELTA no stratum loses more than ALPHA of its good documents.
+A stratum with too few labels gets no cutoff and loses none: (1 - ALPHA)**n
+must come down to DELTA / strata, which takes 217 good labels where there are
+four strata and none of the good is lost.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shape
@@ -67,33 +70,34 @@ def choose(histogram: np.ndarray, alpha: float, delta: float) -> float:
     return best
 
 
+def level() -> Column:
+    """How many of CUTOFFS the worst rate of a document lies above."""
+    worst = F.greatest(*rates().values())
+    return F.size(F.filter(F.array(*map(F.lit, CUTOFFS)), lambda c: worst > c))
+
+
+def stratum_of(name: str) -> Column:
+    """A stratum's name; null is a stratum of its own, apart from the empty text."""
+    return F.when(F.col(name).isNull(), "null").otherwise(F.concat(F.lit("="), F.col(name).cast("string")))
+
+
 def calibrate(work: Workspace, features: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row for each stratum: stratum, n_good and a cutoff for each rule (infinite: none).
+    """One row for each stratum: stratum, n_good and cutoff (infinite: none).
 
-    What is brought together is a histogram of rules by cutoffs for each
-    stratum, counted on the map side before it is exchanged.  The good labels
-    of all holdout rows take part; rows without a label don't.
+    What is brought together is a histogram of cutoffs for each stratum,
+    counted on the map side before it is exchanged.  The good labels of all
+    holdout rows take part; rows without a label don't.
     """
-    named = rates()
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
-    above = lambda rate: F.size(F.filter(F.array(*map(F.lit, CUTOFFS)), lambda c: rate > c))
-    bins = (
-        features.join(good, "doc_id", "left_semi")
-        .select(F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), above(rate).alias("bin")) for r, rate in named.items()])).alias("x"))
-        .groupBy("stratum", "x.rule", "x.bin").agg(F.count("*").alias("n"))
-    )
-    bins, names = work.keep(bins, "bins"), list(named)
+    bins = features.join(good, "doc_id", "left_semi").groupBy(stratum_of(stratum).alias("stratum"), level().alias("bin")).agg(F.count("*").alias("n"))
+    bins = work.keep(bins, "bins")
     strata = max(1, bins.select("stratum").distinct().count())
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = {"stratum": pdf.stratum.iloc[0], "n_good": int(pdf[pdf.rule == names[0]].n.sum())}
-        for rule in names:
-            own = pdf[pdf.rule == rule]
-            histogram = np.bincount(own.bin, weights=own.n, minlength=len(CUTOFFS) + 1).astype(int)
-            row[rule] = choose(histogram, alpha / len(names), delta / len(names) / strata)
-        return pd.DataFrame([row])
+        histogram = np.bincount(pdf.bin, weights=pdf.n, minlength=len(CUTOFFS) + 1).astype(int)
+        return pd.DataFrame([(pdf.stratum.iloc[0], int(pdf.n.sum()), choose(histogram, alpha, delta / strata))], columns=["stratum", "n_good", "cutoff"])
 
-    return bins.groupBy("stratum").applyInPandas(run, "stratum string, n_good long, " + ", ".join(f"{r} double" for r in names))
+    return bins.groupBy("stratum").applyInPandas(run, "stratum string, n_good long, cutoff double")
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -102,7 +106,8 @@ def apply_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, alpha:
     One pass over the texts; its counts are written and read again for the
     cutoffs and the verdicts.  Null and empty texts have no words and fail the
     base; a null lang is a stratum of its own; rows with a null doc_id are
-    judged but teach nothing; repeated rows are judged each.
+    judged but teach nothing; repeated rows are judged each; a rate equal to
+    the cutoff passes; an empty table gives an empty result.
     """
     work = Workspace(spark, "rules")
     features = work.keep(shape.measure(docs, "lang"), "features")
@@ -110,7 +115,6 @@ def apply_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, alpha:
     limits = work.keep(calibrate(work, features.filter(holdout), labels, "lang", alpha, delta), "cutoffs")
     work.drop("bins")
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    broken = F.coalesce(*[F.when(rate > F.col(f"limit_{r}"), F.lit(r)) for r, rate in rates().items()])
-    limits = limits.select("stratum", *[F.col(r).alias(f"limit_{r}") for r in rates()])
-    judged = features.withColumn("stratum", F.coalesce("lang", F.lit(""))).join(limits, "stratum", "left")
+    broken = F.coalesce(*[F.when(rate > F.col("cutoff"), F.lit(r)) for r, rate in rates().items()])
+    judged = features.withColumn("stratum", stratum_of("lang")).join(limits.select("stratum", "cutoff"), "stratum", "left")
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & broken.isNull()).alias("kept"), broken.alias("failed_rule"))
