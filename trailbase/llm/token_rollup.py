@@ -9,8 +9,10 @@ sums, so batches commute and nothing is counted again.
 Committing a batch writes its own small totals to a folder named after the
 batch, counted on the map side before the exchange.  The folder's success mark
 is the commit: a batch that is committed is not written again, and one that
-died half-way is written anew.  The totals are the sum over all committed
-batches, each of which is read every time; batches are not folded together.
+died half-way is written anew.  A batch sent again with other content is an
+error.  ``compact`` folds all committed batches into one folder, with a list of
+their names and fingerprints, by which they are still known when sent again;
+the totals are the sum of the last such folder and of the batches since.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ WORDS = r"[^\x20\x09-\x0D]+"
 VERSIONS = {"words-1": WORDS, "words-2": r"[\p{L}\p{N}]+|[^\x20\x09-\x0D\p{L}\p{N}]"}
 
 
+TOTALS = "source string, lang string, version string, n_docs long, n_tokens long"
+
+
 def count_tokens(docs: DataFrame, version: str) -> DataFrame:
     """doc_id, source, lang, version and n_tokens of whole texts; null texts have none."""
     n = F.coalesce(F.regexp_count("text", F.lit(VERSIONS[version])), F.lit(0)).cast("long")
@@ -52,7 +57,9 @@ class TokenRollup:
 
     Null keys are keys of their own; rows of a batch that repeat count each;
     an empty batch commits and changes nothing.  Totals that have come back to
-    no documents and no tokens are left out.
+    no documents and no tokens are left out.  Writers of one batch at the same
+    time write the same content; ``compact`` is for one caller at a time, as
+    batches may be committed beside it but not folded twice.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -63,29 +70,72 @@ class TokenRollup:
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
-        """Add a batch once; False if it was committed before."""
+        """Add a batch once; False if it was committed before with the same totals."""
         if not re.fullmatch(r"[A-Za-z0-9_-]+", batch):
             raise ValueError("a batch is named by letters, digits, _ and -")
-        if self._exists(f"batch={batch}/_SUCCESS"):
-            return False
         part = deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        known = self._known()
+        if batch in known or self._exists(f"batch={batch}/_SUCCESS"):
+            before = known.get(batch) or self._fingerprint(self._read(f"batch={batch}"))
+            if before != self._fingerprint(part):
+                raise ValueError(f"batch {batch} was committed with other content")
+            return False
         part.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
         return True
 
-    def batches(self) -> list[str]:
-        """Names of committed batches."""
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch=*/_SUCCESS")
+    def _read(self, *names: str) -> DataFrame:
+        paths = [f"{self.path}/{n}" for n in names]
+        return self.spark.read.schema(TOTALS).parquet(*paths) if paths else self.spark.createDataFrame([], TOTALS)
+
+    @staticmethod
+    def _fingerprint(part: DataFrame) -> str:
+        """What tells the totals of one batch from others', whatever the order of their rows."""
+        hashes = F.xxhash64(*KEYS, "n_docs", "n_tokens"), F.hash(*KEYS, "n_docs", "n_tokens")
+        return "/".join(map(str, part.agg(F.count("*"), *[F.bit_xor(h) for h in hashes], F.sum("n_docs"), F.sum("n_tokens")).first()))
+
+    def _names(self, kind: str, mark: str) -> list[str]:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}=*/{mark}_SUCCESS")
         found = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(where)
-        return sorted(f.getPath().getParent().getName().removeprefix("batch=") for f in found or [])
+        return sorted(str(f.getPath()).rpartition(f"{kind}=")[2].partition("/")[0] for f in found or [])
+
+    def _folded(self) -> int:
+        """The number of the last folder of folded batches that is complete; 0 if there is none."""
+        return max(map(int, self._names("folded", "known/")), default=0)
+
+    def _known(self) -> dict[str, str]:
+        """Names and fingerprints of folded batches."""
+        n = self._folded()
+        return {r["batch"]: r["fingerprint"] for r in self.spark.read.parquet(f"{self.path}/folded={n}/known").collect()} if n else {}
+
+    def batches(self) -> list[str]:
+        """Names of committed batches, folded or not."""
+        return sorted({*self._known(), *self._names("batch", "")})
 
     def totals(self) -> DataFrame:
         """source, lang, version, n_docs and n_tokens over all committed batches."""
-        paths = [f"{self.path}/batch={b}" for b in self.batches()]
-        schema = "source string, lang string, version string, n_docs long, n_tokens long"
-        rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        n, known = self._folded(), self._known()
+        rows = self._read(*([f"folded={n}/totals"] if n else []), *(f"batch={b}" for b in self._names("batch", "") if b not in known))
         summed = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return summed.filter("n_docs != 0 or n_tokens != 0")
 
+    def compact(self) -> int:
+        """Fold all committed batches into one folder and delete theirs; returns how many batches it stands for.
+
+        The list of names is written last and is the commit: a caller that dies
+        before leaves all as it was, and one that dies after leaves batch folders
+        that the list names and nobody reads.
+        """
+        n, known = self._folded(), self._known()
+        new = [b for b in self._names("batch", "") if b not in known]
+        names = known | {b: self._fingerprint(self._read(f"batch={b}")) for b in new}
+        if new:
+            self.totals().write.mode("overwrite").parquet(f"{self.path}/folded={n + 1}/totals")
+            self.spark.createDataFrame(sorted(names.items()), "batch string, fingerprint string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/folded={n + 1}/known")
+        files = self.spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for gone in [*(f"batch={b}" for b in self._names("batch", "") if b in names), *(f"folded={i}" for i in map(int, self._names("folded", "known/")) if i < self._folded())]:
+            files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{gone}"), True)
+        return len(names)
+
 
 def replay(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The totals after four batches over a whole table, one of them sent twice.
@@ -93,7 +143,11 @@ def replay(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame
     All documents come in under words-1; those labelled toxic are deleted;
     those labelled as of low quality are revised to words-2; the deletions
     are sent again and change nothing; and all documents left are counted
-    under words-2 too by a last batch of those not revised.
+    under words-2 too by a last batch of those not revised.  The batches are
+    folded together before that last one.  Null texts count no tokens; null
+    sources and languages are keys of their own; repeated rows count each;
+    labels with a null doc_id mark nothing, and of several labels of a
+    document toxic ones and low quality prevail.  Empty tables give no totals.
     """
     work = Workspace(spark, "rollup")
     rollup = TokenRollup(spark, f"{work.path}/totals")
@@ -110,6 +164,7 @@ def replay(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame
     revised = counted.filter(~gone & low)
     rollup.commit("revisions", revisions(as_counts(revised, "words-1"), as_counts(revised, "words-2")))
     rollup.commit("deletes", removed)
+    rollup.compact()
     rollup.commit("second-version", inserts(as_counts(counted.filter(~gone & ~low), "words-2")))
     return rollup.totals()
 
