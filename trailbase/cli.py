@@ -10,12 +10,14 @@ from __future__ import annotations
 import argparse
 import datetime
 import importlib
+import logging
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import urls
-from .operators import analytics, analyze, html, rank, store
+from .operators import analytics, analyze, feedback, html, rank, store
 from .plans import rounds
 from .settings import Settings
 from .sources import seeds
@@ -34,21 +36,33 @@ def run(spark: SparkSession, prompt: str, pages: DataFrame, root: str, limits: r
     goal, run_id = analyze.enhance(prompt, model, now), now.strftime("%Y%m%d_%H%M%S")
     runs = store.RunStore(spark, root)
     records = html.page_records(pages, F.lit(now)).withColumn("reg_domain", urls.reg_domain(urls.host_of(F.col("canonical"))))
-    start = seeds.manual(spark, seed_urls) if seed_urls else seeds.from_text_column(pages, F.col("url"))
+    start = seeds.manual(spark, seed_urls) if seed_urls else seeds.from_column(pages, F.col("url"))
     items, _ = rounds.ingest_seeds(start, limits=limits)
 
+    limits = replace(limits, since=goal.since)
+
     def score(found: DataFrame) -> DataFrame:
         return rank.rule_scored(found, list(goal.keywords))
 
-    visited, audit, why = rounds.Walk(spark, records, _candidates(pages), score, limits).run(items)
-    fetched = records.drop("reg_domain").join(visited.select("url_key", "round"), "url_key").withColumn("fetched_seq", F.col("round")).withColumn("seq", F.col("round").cast("long"))
+    def judge(found: DataFrame) -> DataFrame:
+        """What the model makes of a round's pages, kept for the run's analyses; what it costs is taken as four characters a token."""
+        rows = analyze.analyze(found, goal, model)
+        names = found.select("url_key", F.col("canonical").alias("url"), F.col("reg_domain").alias("domain"), "title", F.ceil(F.length(F.coalesce("plain_text", F.lit(""))) / 4).cast("long").alias("tokens"))
+        judged = rows.filter("outcome = 'ok'").join(names, "url_key")
+        return judged.select("url_key", "url", "domain", "title", "classification", "relevance_score", "hub_score", "topics", "endorsed_links", "tokens")
+
+    walk = rounds.Walk(spark, records, _candidates(pages), score, limits, judge=judge if model is not None else None, priors=runs.priors())
+    visited, audit, why = walk.run(items)
+    logging.getLogger("trailbase").info("walk.ended run=%s why=%s pages=%d", run_id, why, visited.count())
+    fetched = records.drop("reg_domain").join(visited.select("url_key", "round"), "url_key").withColumn("fetched_seq", F.col("round")).orderBy("round")
     runs.append("crawl_goals", run_id, spark.createDataFrame([(goal.goal_id, goal.prompt, goal.statement, list(goal.keywords), 1)], "goal_id string, prompt string, goal_statement string, keywords array<string>, seq long"))
     runs.append("crawl_tasks", run_id, spark.createDataFrame([(run_id, goal.goal_id, "COMPLETED", why, 1)], "task_id string, goal_id string, state string, stopping_reason string, seq long"))
     runs.append("pages", run_id, fetched)
     runs.append("events", run_id, store.walk_events(run_id, visited, audit, why))
-    runs.append("links", run_id, audit.withColumn("candidate_id", F.concat_ws("-", "source_url_key", "url_key")).withColumn("seq", F.col("round").cast("long")))
+    runs.append("links", run_id, audit.withColumn("candidate_id", F.concat_ws("-", "source_url_key", "url_key")).orderBy("round"))
     if model is not None:
         runs.append("analyses", run_id, analyze.analyze(fetched, goal, model))
+        runs.add_priors(run_id, feedback.prior_deltas(walk.judgements(walk.last_round())))
     return run_id, why
 
 
@@ -97,10 +111,8 @@ def main(argv: list[str] | None = None) -> None:
     else:
         task = runs.read("crawl_goals", args.run).first()
         goal = analyze.Goal(task["prompt"], task["goal_statement"], tuple(task["keywords"]))
-        try:
-            known = runs.read("analyses", args.run)
-        except Exception:  # no analysis has been stored yet
-            known = spark.createDataFrame([], "url_key string, goal_id string, prompt_version string, model string")
+        none = "url_key string, goal_id string, prompt_version string, model string"
+        known = runs.read("analyses", args.run) if runs.has("analyses") else spark.createDataFrame([], none)
         found = analyze.replay(runs.read("pages", args.run), known, goal, model)
         runs.append("analyses", args.run, found)
         print(f"{runs.read('analyses', args.run).count()} analyses")

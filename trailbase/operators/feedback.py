@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from .running import last_rows, running
+from .store import add_up
 
 RECENT, HUBS, TOPICS, DOMAIN_WINDOW, RELEVANCE_WINDOW = 10, 5, 20, 3, 20
+PRIOR_SUMS = ("times_relevant", "times_irrelevant", "sum_relevance")
 HUB_FLOOR, BOOST, PENALTY, HUB_BOOST = 0.5, 1.2, 0.6, 1.5
 
 
@@ -73,6 +75,12 @@ def prior_deltas(judged: DataFrame) -> DataFrame:
     return judged.groupBy(F.col("domain").alias("reg_domain")).agg(F.count_if(good).alias("times_relevant"), F.count_if(~good).alias("times_irrelevant"), F.sum("relevance_score").alias("sum_relevance"))
 
 
+def priors(judged: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Stored priors and what these judgements add to them."""
+    delta = prior_deltas(judged)
+    return delta if stored is None else add_up(stored, delta, ("reg_domain",), PRIOR_SUMS)
+
+
 def prior_averages(priors: DataFrame) -> DataFrame:
     seen = F.col("times_relevant") + F.col("times_irrelevant")
     return priors.filter(seen > 0).select("reg_domain", scores.round4(F.col("sum_relevance") / seen).alias("average"))
@@ -93,12 +101,13 @@ def steer(candidates: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def summary(judged: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """One row: relevant pages, hub domains, topics and priors, as lists of bounded length but for the priors, which are a table of their own."""
+    """One row: relevant pages, hub domains and topics, as lists of bounded length, pages seen, and the prior of each domain judged here or stored."""
     recent = recent_relevant(judged).agg(F.array_sort(F.collect_list(F.struct("seq", "url", "title", "relevance_score"))).alias("relevant_pages"), F.lit(1).alias("one"))
     hubs = top_hubs(judged).agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("hub_score"), "first_seq", "domain"))), lambda x: x["domain"]).alias("hub_domains"), F.lit(1).alias("one"))
     topics = top_topics(judged).agg(F.collect_list("topic").alias("topics"), F.lit(1).alias("one"))
     seen = judged.agg(F.count("*").alias("pages_seen"), F.lit(1).alias("one"))
-    return seen.join(recent, "one").join(hubs, "one").join(topics, "one").drop("one")
+    known = prior_averages(priors(judged, stored)).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reg_domain", "average")))).alias("domain_priors"), F.lit(1).alias("one"))
+    return seen.join(recent, "one").join(hubs, "one").join(topics, "one").join(known, "one").drop("one")
 
 
 def relevance_window(judged: DataFrame, threshold: float = 0.7, n: int = RELEVANCE_WINDOW) -> DataFrame:

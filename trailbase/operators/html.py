@@ -8,6 +8,8 @@ and truncated pages yield what could be read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import json
 
 from html.parser import HTMLParser
@@ -15,6 +17,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import dates, urls
 
@@ -172,16 +175,26 @@ def main_text(page: Page) -> str | None:
                 out.append(text)
     return "\n".join(out) or None
 
-def extract_page(html: str | None) -> dict:
-    """Everything that one parse gives: status OK, DEGRADED (no main text; all text instead) or FAILED."""
+PARTS = ("plain_text", "dates", "links")
+
+
+def extract_page(html: str | None, parts: tuple[str, ...] = PARTS) -> dict:
+    """The title and the parts wanted of one parse; with the text its status: OK, DEGRADED (no main text; all text instead) or FAILED."""
     page = Page(html or "")
     title = page.first("title")
+    out = {"title": (joined(title) or None) if title else None, "plain_text": None, "dates": None, "status": None, "links": None}
+    if "dates" in parts:
+        out["dates"] = stated_dates(page)
+    if "links" in parts:
+        out["links"] = page_links(page)
+    if "plain_text" not in parts:
+        return out
     text = main_text(page)
     status = "OK" if text else "DEGRADED"
     text = text or "\n".join(page.root.texts()) or None
     if page.failed and text is None:
         status = "FAILED"
-    return {"title": (joined(title) or None) if title else None, "plain_text": text, "dates": stated_dates(page), "status": status, "links": page_links(page)}
+    return out | {"plain_text": text, "status": status}
 
 LINK = "struct<href: string, anchor: string, snippet: string, parent_heading: string, position: int>"
 _LINK = pa.struct([("href", pa.string()), ("anchor", pa.string()), ("snippet", pa.string()), ("parent_heading", pa.string()), ("position", pa.int32())])
@@ -190,28 +203,34 @@ def decode(html: Column) -> Column:
     """Bytes as UTF-8, or else as Latin-1, which never fails."""
     return F.when(F.is_valid_utf8(html), F.decode(html, "UTF-8")).otherwise(F.decode(html, "ISO-8859-1"))
 
-def parse_pages(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """The columns ``keep``, and title, plain_text, dates, status and links of the column html, one row for each page."""
+def parse_pages(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), parts: tuple[str, ...] = PARTS, extract: Callable[[str | None, tuple[str, ...]], dict] = extract_page) -> DataFrame:
+    """The columns ``keep``, and title, plain_text, dates, status and links of the column html, one row for each page.
+
+    Parts not wanted are null and cost nothing.  ``extract`` makes them out of a
+    page's HTML; bytes are decoded first.
+    """
+    if isinstance(pages.schema["html"].dataType, T.BinaryType):
+        pages = pages.withColumn("html", decode(F.col("html")))
     kept = pages.select(*keep, "html")
     schema = kept.drop("html").schema.add("title", "string").add("plain_text", "string")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + f", dates array<string>, status string, links array<{LINK}>"
 
     def run(batches):
         for batch in batches:
-            rows = [extract_page(h) for h in batch.column(batch.num_columns - 1).to_pylist()]
+            rows = [extract(h, parts) for h in batch.column(batch.num_columns - 1).to_pylist()]
             column = lambda k, t: pa.array([r[k] for r in rows], t)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column("title", pa.string()), column("plain_text", pa.string()), column("dates", pa.list_(pa.string())), column("status", pa.string()), column("links", pa.list_(_LINK))], names=[*batch.schema.names[:-1], "title", "plain_text", "dates", "status", "links"])
 
     return kept.mapInArrow(run, ddl)
 
-def page_records(pages: DataFrame, now: Column) -> DataFrame:
+def page_records(pages: DataFrame, now: Column, extract: Callable[[str | None, tuple[str, ...]], dict] = extract_page) -> DataFrame:
     """Parsed pages as records: the title falls back to the canonical URL; the date is the first stated one that parses."""
     canonical = urls.canonical_url(F.col("url"))
     published = F.element_at(F.filter(F.transform("dates", lambda d: dates.parse_date(d, now)), lambda t: t.isNotNull()), 1)
     text = F.coalesce("plain_text", F.lit(""))
-    return parse_pages(pages).select("page_id", urls.fingerprint(canonical).alias("url_key"), canonical.alias("canonical"), F.coalesce("title", canonical).alias("title"), "plain_text", urls.fingerprint(text).alias("text_hash"), F.length(text).alias("text_len"), F.when(F.size("dates") > 0, published).alias("published_at"), "status")
+    return parse_pages(pages, parts=("plain_text", "dates"), extract=extract).select("page_id", urls.fingerprint(canonical).alias("url_key"), canonical.alias("canonical"), F.coalesce("title", canonical).alias("title"), "plain_text", urls.fingerprint(text).alias("text_hash"), F.length(text).alias("text_len"), F.when(F.size("dates") > 0, published).alias("published_at"), "status")
 
 def page_links_table(pages: DataFrame) -> DataFrame:
     """One row for each link: page_id, base_url, title, link_count, href, anchor, snippet, parent_heading and position."""
-    parsed = parse_pages(pages)
+    parsed = parse_pages(pages, parts=("links",))
     return parsed.select("page_id", F.col("url").alias("base_url"), "title", F.size("links").alias("link_count"), F.explode("links").alias("link")).select("page_id", "base_url", "title", "link_count", "link.*")

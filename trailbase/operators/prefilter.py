@@ -54,8 +54,8 @@ def drop_reason(rules: list[tuple[str, Column]]) -> Column:
     return reason
 
 
-def with_reason(candidates: DataFrame, depth_limit: int = 5, domain_budget: int = 50, blacklist: tuple[str, ...] = DEFAULT_BLACKLIST, negative_anchor: bool = False, allowed: DataFrame | None = None, seen: DataFrame | None = None, done: DataFrame | None = None) -> DataFrame:
-    """Candidates with drop_reason (null: stays).
+def with_reason(candidates: DataFrame, depth_limit: int = 5, domain_budget: int = 50, blacklist: tuple[str, ...] = DEFAULT_BLACKLIST, negative_anchor: bool = False, allowed: DataFrame | None = None, seen: DataFrame | None = None, done: DataFrame | None = None, rules: list[tuple[str, Column]] | None = None) -> DataFrame:
+    """Candidates with drop_reason (null: stays), by ``rules`` or else the default ones.
 
     allowed: reg_domain; seen: url_key; done: reg_domain and domain_done.  Each
     is joined by key, so none has to fit the driver; ``robots_allows`` is used
@@ -67,4 +67,4 @@ def with_reason(candidates: DataFrame, depth_limit: int = 5, domain_budget: int
     out = out.withColumn("domain_done", F.lit(0)) if done is None else out.join(done.select("reg_domain", "domain_done"), "reg_domain", "left")
     if "robots_allows" not in out.columns:
         out = out.withColumn("robots_allows", F.lit(True))
-    return out.withColumn("drop_reason", drop_reason(default_rules(blacklist, negative_anchor))).drop("depth_limit", "domain_budget", "in_scope", "seen", "domain_done", "robots_allows")
+    return out.withColumn("drop_reason", drop_reason(default_rules(blacklist, negative_anchor) if rules is None else rules)).drop("depth_limit", "domain_budget", "in_scope", "seen", "domain_done", "robots_allows")

@@ -131,6 +131,11 @@ def ask(prompts: DataFrame, model: Callable[[str], str], attempts: int = 2) -> D
     return prompts.select("chunk", "prompt").mapInPandas(run, "chunk string, content string, attempt int, error string")
 
 
+def answered(answers: DataFrame) -> DataFrame:
+    """Answers that came without an error and hold JSON."""
+    return answers.filter(F.col("error").isNull() & F.try_parse_json(json_text.json_block(F.col("content"))).isNotNull())
+
+
 def ranking_prompts(candidates: DataFrame, goal: str, seen: list[str] | None = None) -> DataFrame:
     """(chunk, prompt): the goal, up to five lines on pages seen, and the cards of a chunk's candidates, CHUNK of them at most."""
     head = "\n".join([f"Goal: {goal}", *(["Seen:", *(seen or [])[:5]] if seen else [])])
@@ -159,19 +164,26 @@ def cached_vectors(texts: DataFrame, cache: DataFrame, embedder: Callable, dims:
     return wanted.select("content_hash").join(known.unionByName(new), "content_hash"), new
 
 
-def plan(candidates: DataFrame, keywords: list[str], goal: DataFrame | None = None, model: Callable[[str], str] | None = None, prompt_goal: str = "") -> DataFrame:
+def plan(candidates: DataFrame, keywords: list[str], goal: DataFrame | Callable[[], DataFrame] | None = None, model: Callable[[str], str] | None = None, prompt_goal: str = "") -> DataFrame:
     """The funnel that the settings ask for: rules alone, rules and a model, or rules, similarity and perhaps a model.
 
     Without vectors the rules drop below 0.35, or 0.25 before a model; with
     vectors they drop nothing and the first KEEP stay.  A later stage sees the
-    survivors of those before it.
+    survivors of those before it.  Where it fails, what came before stands: a
+    chunk that the model gave no answer to keeps its scores, and so do all
+    candidates if their vectors can't be read (``goal`` raises).
     """
     if goal is None:
         decisions = rule_rank(candidates, keywords, 0.25 if model else THRESHOLD)
     else:
-        rules = rule_rank(candidates, keywords, 0.0)
-        decisions = blend(rules, similarity_rank(candidates, goal))
+        try:
+            vector = goal() if callable(goal) else goal
+        except Exception:  # a service may fail in any way
+            vector = None
+        rules = rule_rank(candidates, keywords, (0.25 if model else THRESHOLD) if vector is None else 0.0)
+        decisions = rules if vector is None else blend(rules, similarity_rank(candidates, vector))
     if model is not None:
         asked = chunked(survivors(candidates, decisions))
-        decisions = merge(decisions, answer_decisions(asked, ask(ranking_prompts(asked, prompt_goal), model)))
+        answers = answered(ask(ranking_prompts(asked, prompt_goal), model))
+        decisions = merge(decisions, answer_decisions(asked.join(answers.select("chunk"), "chunk", "left_semi"), answers))
     return decisions

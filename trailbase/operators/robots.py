@@ -7,6 +7,7 @@ from urllib.robotparser import RobotFileParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 THRESHOLD, COOLDOWN, MOST_BACKOFF, TTL_HOURS = 5, 600, 300, 24
 
@@ -20,10 +21,11 @@ def backoff(attempt: Column, most: int = 60) -> Column:
     return F.least(F.pow(F.lit(2.0), attempt), F.lit(float(most)))
 
 
-def robots_flags(candidates: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
-    """Candidates with robots_allows: what their domain's robots.txt says; true where there is none.
+def robots_flags(candidates: DataFrame, rules: DataFrame, agent: str = "*", circuits: DataFrame | None = None) -> DataFrame:
+    """Candidates with robots_allows: what their domain's robots.txt says; true where there is none, false while its circuit is open.
 
-    rules: domain and raw.  Each batch reads a domain's file once.
+    rules: domain and raw; circuits: domain and closed (``circuit_allows``).
+    Each batch reads a domain's file once.
     """
 
     def run(batches):
@@ -41,7 +43,11 @@ def robots_flags(candidates: DataFrame, rules: DataFrame, agent: str = "*") -> D
             yield batch.drop(columns="robots_raw").assign(robots_allows=allowed)
 
     joined = candidates.join(rules.select("domain", F.col("raw").alias("robots_raw")), "domain", "left").select(*candidates.columns, "robots_raw")
-    return joined.mapInPandas(run, candidates.schema.add("robots_allows", "boolean"))
+    flagged = joined.mapInPandas(run, T.StructType([*candidates.schema.fields, T.StructField("robots_allows", T.BooleanType())]))
+    if circuits is None:
+        return flagged
+    closed = flagged.join(circuits.select("domain", "closed"), "domain", "left")
+    return closed.withColumn("robots_allows", F.col("robots_allows") & F.coalesce("closed", F.lit(True))).select(*flagged.columns)
 
 
 def stale(fetched_at: Column, now: Column, hours: int = TTL_HOURS) -> Column:

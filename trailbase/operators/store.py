@@ -6,9 +6,13 @@ and a view of the latest row, so writers never rewrite what others read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import delete_at_exit, keep, shared_folder
+
 #: The tables of a run and their keys; events and errors only grow.
 KEYS = {"crawl_goals": ("goal_id",), "crawl_tasks": ("task_id",), "pages": ("page_id",), "links": ("candidate_id",), "rank_decisions": ("candidate_id", "ranker"), "analyses": ("url_key", "goal_id", "prompt_version", "model"), "frontier_snapshots": ("snapshot_id",), "robots_cache": ("domain",), "events": (), "errors": ()}
 EVENTS = ("TASK_CREATED", "TASK_STARTED", "TASK_STOPPED", "TASK_COMPLETED", "URL_DISCOVERED", "CANDIDATE_FILTERED", "CANDIDATE_BUFFERED", "CANDIDATE_DROPPED", "URL_ENQUEUED", "URL_FETCHED", "PAGE_EXTRACTED", "PAGE_ANALYZED", "RANK_BATCH")
@@ -45,23 +49,52 @@ class RunStore:
         self.spark, self.root = spark, root.rstrip("/")
 
     def append(self, table: str, run_id: str, rows: DataFrame) -> None:
-        """Add rows of a run; rows without seq get one that grows across batches, and a seq_row that grows within the batch."""
+        """Add rows of a run; rows without seq get one of their own that grows within the batch and past every batch before.
+
+        The batch is written once to the shared folder, so that its rows are
+        numbered by the counts of its tasks and no task has to see them all.
+        """
         if table not in KEYS:
             raise ValueError(f"no such table: {table}")
         if "seq" not in rows.columns:
-            rows = rows.withColumn("seq", F.unix_micros(F.current_timestamp()) * 1000).withColumn("seq_row", F.monotonically_increasing_id())
+            rows = self._numbered(table, rows)
         rows.write.mode("append").parquet(f"{self.root}/{table}/run_id={run_id}")
 
+    def _numbered(self, table: str, rows: DataFrame) -> DataFrame:
+        path = shared_folder(self.spark, "batch")
+        delete_at_exit(self.spark, path)
+        batch = keep(rows.withColumn("row_", F.monotonically_increasing_id()), f"{path}/rows").withColumn("task_", F.shiftright("row_", 33))
+        sizes = batch.groupBy("task_").agg(F.count("*").alias("n"))
+        before = sizes.withColumn("before_", F.sum("n").over(Window.orderBy("task_").rowsBetween(Window.unboundedPreceding, -1))).drop("n")
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
+        last = self.spark.read.parquet(f"{self.root}/{table}").agg(F.max("seq")).first()[0] if where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where) else None
+        first = max(time.time_ns() // 1000, (last or 0) + 1)
+        number = F.lit(first) + F.coalesce("before_", F.lit(0)) + F.col("row_").bitwiseAND((1 << 33) - 1)
+        return batch.join(before.hint("merge"), "task_").withColumn("seq", number).drop("row_", "task_", "before_")
+
     def read(self, table: str, run_id: str | None = None) -> DataFrame:
         """Current rows: the latest of each key, or all of an append-only table; one run's partition alone if named."""
         rows = self.spark.read.option("basePath", f"{self.root}/{table}").option("mergeSchema", "true").parquet(f"{self.root}/{table}")
         rows = rows if run_id is None else rows.filter(F.col("run_id") == run_id)
         if not KEYS[table]:
             return rows
-        if "seq_row" not in rows.columns:
-            return latest(rows, ("run_id", *KEYS[table]))
-        ordered = rows.withColumn("order_", F.struct("seq", F.coalesce("seq_row", F.lit(0))))
-        return latest(ordered, ("run_id", *KEYS[table]), "order_").drop("order_")
+        return latest(rows, ("run_id", *KEYS[table]))
+
+    def has(self, table: str, run_id: str | None = None) -> bool:
+        """Whether a table, or a run's part of it, has been written."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}" + ("" if run_id is None else f"/run_id={run_id}"))
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+
+    def priors(self) -> DataFrame:
+        """Priors of domains: what all runs have added, summed."""
+        if not self.has("domain_priors"):
+            return self.spark.createDataFrame([], "reg_domain string, times_relevant long, times_irrelevant long, sum_relevance double")
+        rows = self.spark.read.parquet(f"{self.root}/domain_priors")
+        return rows.groupBy("reg_domain").agg(*[F.sum(c).alias(c) for c in ("times_relevant", "times_irrelevant", "sum_relevance")])
+
+    def add_priors(self, run_id: str, deltas: DataFrame) -> None:
+        """Flush what a run adds to the priors, once for each run."""
+        deltas.write.mode("overwrite").parquet(f"{self.root}/domain_priors/run_id={run_id}")
 
     def latest_run(self, task_id: str) -> str | None:
         """The newest run that has the task."""
@@ -70,15 +103,15 @@ class RunStore:
 
 
 def walk_events(task_id: str, visited: DataFrame, audit: DataFrame, why: str) -> DataFrame:
-    """The event log of a walk: task_id, type, key, payload and seq (by round)."""
-    event = lambda rows, kind, key, payload: rows.select(F.lit(task_id).alias("task_id"), F.lit(kind).alias("type"), F.col(key).alias("key"), payload.alias("payload"), F.col("round").cast("long").alias("seq"))
+    """The event log of a walk: task_id, type, key, payload and round; ``RunStore.append`` numbers them in the order of their rounds."""
+    event = lambda rows, kind, key, payload: rows.select(F.lit(task_id).alias("task_id"), F.lit(kind).alias("type"), F.col(key).alias("key"), payload.alias("payload"), F.col("round").cast("long").alias("round"))
     reason = F.to_json(F.struct("drop_reason", "source_url_key"))
     ends = visited.agg(F.min("round").alias("first"), F.max("round").alias("last"))
     frame = ends.select(F.explode(F.array(F.struct(F.lit("TASK_STARTED").alias("type"), F.coalesce("first", F.lit(0)).alias("round")), F.struct(F.lit("TASK_COMPLETED").alias("type"), F.coalesce("last", F.lit(0)).alias("round")))).alias("e"))
-    frame = frame.select(F.lit(task_id).alias("task_id"), "e.type", F.lit(None).cast("string").alias("key"), F.to_json(F.struct(F.lit(why).alias("reason"))).alias("payload"), F.col("e.round").cast("long").alias("seq"))
+    frame = frame.select(F.lit(task_id).alias("task_id"), "e.type", F.lit(None).cast("string").alias("key"), F.to_json(F.struct(F.lit(why).alias("reason"))).alias("payload"), F.col("e.round").cast("long").alias("round"))
     found = event(audit, "URL_DISCOVERED", "url_key", reason)
     kept, dropped = event(audit.filter("drop_reason is null"), "CANDIDATE_BUFFERED", "url_key", reason), event(audit.filter("drop_reason is not null"), "CANDIDATE_FILTERED", "url_key", reason)
-    return found.union(kept).union(dropped).union(event(visited, "URL_FETCHED", "url_key", F.to_json(F.struct("depth", "priority")))).union(frame)
+    return found.union(kept).union(dropped).union(event(visited, "URL_FETCHED", "url_key", F.to_json(F.struct("depth", "priority")))).union(frame).orderBy("round")
 
 
 def export(analyses: DataFrame, pages: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def html_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT page_id, replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&amp;', '&') AS title FROM pages WHERE regexp_matches(html, '<title>[^<]*[^<\\s][^<]*</title>')")
 def html_title(spark: SparkSession, d: str) -> DataFrame:
-    return html.parse_pages(table(spark, d, "pages")).filter("title is not null").select("page_id", "title")
+    return html.parse_pages(table(spark, d, "pages"), parts=()).filter("title is not null").select("page_id", "title")
 
 
 @query()
@@ -279,12 +279,15 @@ def buffer_evict(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {JUDGED_SQL}, r AS (SELECT domain, seq, ts, CASE classification WHEN 'IRRELEVANT' THEN 429 WHEN 'NAVIGATION' THEN 503 WHEN 'RELEVANT' THEN 200 ELSE 404 END AS status FROM judged),
-runs AS (SELECT *, count(*) FILTER (status = 200) OVER (PARTITION BY domain ORDER BY ts, seq) AS run FROM r)
-SELECT domain, seq, status, count(*) FILTER (status IN (429, 503)) OVER (PARTITION BY domain, run ORDER BY ts, seq) AS fails FROM runs""")
+runs AS (SELECT *, count(*) FILTER (status = 200) OVER (PARTITION BY domain ORDER BY ts, seq) AS run FROM r),
+counted AS (SELECT *, count(*) FILTER (status IN (429, 503)) OVER (PARTITION BY domain, run ORDER BY ts, seq) AS fails FROM runs),
+gated AS (SELECT *, CASE WHEN status IN (429, 503) THEN ts + to_seconds(least(power(2, fails), 300)::BIGINT) END AS gate, CASE WHEN status IN (429, 503) AND fails >= 5 THEN ts + INTERVAL 600 SECOND END AS opened FROM counted)
+SELECT domain, seq, status, fails, strftime(last_value(gate IGNORE NULLS) OVER so_far, '%Y-%m-%d %H:%M:%S') AS next_allowed, strftime(last_value(opened IGNORE NULLS) OVER so_far, '%Y-%m-%d %H:%M:%S') AS open_until
+FROM gated WINDOW so_far AS (PARTITION BY domain ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def circuit_breaker(spark: SparkSession, d: str) -> DataFrame:
     kind = F.col("classification")
     status = F.when(kind == "IRRELEVANT", 429).when(kind == "NAVIGATION", 503).when(kind == "RELEVANT", 200).otherwise(404)
-    return robots.circuit_states(judgements(spark, d).select("domain", "seq", "ts", status.alias("status"))).select("domain", "seq", "status", "fails")
+    return robots.circuit_states(judgements(spark, d).select("domain", "seq", "ts", status.alias("status"))).select("domain", "seq", "status", "fails", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("next_allowed", "open_until")])
 
 
 _EDGES = f"""{LINKS_SQL}, n AS (SELECT count(*) AS n FROM pages), edges AS (
@@ -321,4 +324,4 @@ def crawl_rounds(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT DISTINCT substr(sha256({canonical_sql('url')}), 1, 16) AS url_key, 1.0::DOUBLE AS priority, 0 AS depth FROM pages WHERE NOT regexp_matches({canonical_sql('url')}, '{prefilter.EXTENSION_PATTERN}') AND NOT regexp_matches({canonical_sql('url')}, '{prefilter.PATH_PATTERN}')")
 def seed_items(spark: SparkSession, d: str) -> DataFrame:
     """The pages' own URLs as seeds."""
-    return rounds.ingest_seeds(seeds.from_text_column(table(spark, d, "pages"), F.col("url")))[0].select("url_key", "priority", "depth")
+    return rounds.ingest_seeds(seeds.from_column(table(spark, d, "pages"), F.col("url")))[0].select("url_key", "priority", "depth")

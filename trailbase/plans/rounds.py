@@ -1,13 +1,19 @@
 """The goal-driven walk over a link graph, in rounds of DataFrame operations.
 
-A round pops the best items, takes their pages and links, filters, scores and
-pushes.  State lies in tables that each round writes to the shared folder, so
-lineage stays short and a lost executor costs a task.  Rounds of one item are
-strict best-first; larger ones trade order for parallel work.
+A round pops the best items, takes their pages and links, judges the pages,
+filters the links by the rules, robots and circuits, scores and steers them by
+what has been judged so far, and pushes them; links that a judged page endorses
+go in at full priority.  Links are written once, dealt out by their source page;
+each round appends its own pages, judgements and audit, and writes the frontier
+anew.  State is read from those tables, so lineage stays short, a lost executor
+costs a task, and a walk that broke off resumes.  Rounds of one item are strict
+best-first; larger ones trade order for parallel work.
 """
 
 from __future__ import annotations
 
+import datetime
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators import feedback, prefilter, stop
-from ..shared import keep, shared_folder
+from ..operators import feedback, prefilter, rank, robots, stop
+from ..shared import delete_at_exit, keep, shared_folder
 
 
 @dataclass(frozen=True)
@@ -26,6 +32,10 @@ class Limits:
     domain_budget: int = 50
     round_size: int = 50
     most_rounds: int = 1000
+    max_tokens: int = 0
+    max_duration: int = 0
+    since: datetime.datetime | None = None
+    relevance_threshold: float = 0.7
 
 
 def ingest_seeds(seeds: DataFrame, allowed: DataFrame | None = None, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
@@ -35,90 +45,197 @@ def ingest_seeds(seeds: DataFrame, allowed: DataFrame | None = None, limits: Lim
     return judged.filter("drop_reason is null").select("url_key", "reg_domain", F.lit(1.0).alias("priority"), F.lit(0).alias("depth")), judged
 
 
-def endorsed_items(judged: DataFrame, depths: DataFrame, seen: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Links that judged pages endorse, as items of priority 1, one deeper than the page they are on."""
+def endorsed_items(judged: DataFrame, depths: DataFrame, seen: DataFrame, limits: Limits = Limits(), flags: Callable[[DataFrame], DataFrame] = lambda found: found, **given) -> DataFrame:
+    """Links that judged pages endorse, as items of priority 1, one deeper than the page they are on.
+
+    They pass the same rules as others: ``flags`` adds robots_allows, and what
+    else is given goes to the rules.
+    """
     links = feedback.endorsed(judged).withColumn("u", urls.url_struct(F.col("href"), F.col("source_url"))).select("source_url", "u.*", F.lit("").alias("anchor"))
     found = links.join(depths.select(F.col("url").alias("source_url"), F.col("depth").alias("from_depth")), "source_url", "left").withColumn("depth", F.coalesce("from_depth", F.lit(0)) + 1).drop("from_depth")
-    kept = prefilter.with_reason(found, limits.depth_limit, limits.domain_budget, seen=seen).filter("drop_reason is null")
+    kept = prefilter.with_reason(flags(found), limits.depth_limit, limits.domain_budget, seen=seen, **given).filter("drop_reason is null")
     return kept.groupBy("url_key").agg(F.min("canonical").alias("canonical"), F.min("reg_domain").alias("reg_domain"), F.min("depth").alias("depth")).withColumn("priority", F.lit(1.0))
 
 
+JUDGEMENT = "url_key string, url string, domain string, title string, classification string, relevance_score double, hub_score double, topics array<string>, endorsed_links array<string>, tokens long"
+
+
 class Walk:
-    """pages: url_key, reg_domain; links: source_url_key and the columns of a candidate (url_key, raw, canonical, domain, reg_domain, anchor)."""
+    """A walk over pages and links.
+
+    pages: url_key, reg_domain, perhaps published_at and what ``judge`` needs.
+    links: source_url_key and the columns of a candidate (url_key, raw,
+    canonical, domain, reg_domain, anchor).
+    score: candidates to candidates with a priority.
+    judge: the pages of a round to rows of JUDGEMENT (domain: the registered one).
+    robots: domain and raw; responses: what ``robots.circuit_states`` takes.
+    priors: stored priors of domains; allowed: reg_domain; rules: instead of the default ones.
+    """
+
+    def __init__(self, spark: SparkSession, pages: DataFrame, links: DataFrame, score: Callable[[DataFrame], DataFrame], limits: Limits = Limits(), path: str | None = None, judge: Callable[[DataFrame], DataFrame] | None = None, robots: DataFrame | None = None, responses: DataFrame | None = None, priors: DataFrame | None = None, allowed: DataFrame | None = None, rules: list | None = None, clock: Callable[[], float] = time.time):
+        self.spark, self.pages, self.score, self.limits, self.judge = spark, pages, score, limits, judge
+        self.robots, self.responses, self.stored, self.allowed, self.rules, self.clock = robots, responses, priors, allowed, rules, clock
+        self.path, self.began, self.fatal = path or shared_folder(spark, "walk"), clock(), ""
+        if path is None:
+            delete_at_exit(spark, self.path)
+        if not self._done("links"):
+            self._delete("links")
+            keep(links.repartition(F.col("source_url_key")).sortWithinPartitions("source_url_key"), f"{self.path}/links")
+        self.links = self._read("links")
 
-    def __init__(self, spark: SparkSession, pages: DataFrame, links: DataFrame, score: Callable[[DataFrame], DataFrame], limits: Limits = Limits(), path: str | None = None):
-        self.spark, self.pages, self.links, self.score, self.limits = spark, pages, links, score, limits
-        self.path = path or shared_folder(spark, "walk")
+    def _where(self, name: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         return keep(df, f"{self.path}/{name}")
 
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+    def _read(self, *names: str) -> DataFrame:
+        return self.spark.read.parquet(*(f"{self.path}/{n}" for n in names))
+
+    def _exists(self, name: str) -> bool:
+        files, where = self._where(name)
+        return files.exists(where)
 
     def _done(self, name: str) -> bool:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+        return self._exists(f"{name}/_SUCCESS")
+
+    def _delete(self, name: str) -> None:
+        files, where = self._where(name)
+        files.delete(where, True)
+
+    def _rounds(self, kind: str, n: int, schema: str) -> DataFrame:
+        """What rounds 1 to n have appended."""
+        return self._read(*(f"{kind}{i}" for i in range(1, n + 1))) if n else self.spark.createDataFrame([], schema)
+
+    def visited(self, n: int) -> DataFrame:
+        return self._rounds("popped", n, "url_key string, reg_domain string, depth int, priority double, round int")
+
+    def audit(self, n: int) -> DataFrame:
+        return self._rounds("judged", n, "source_url_key string, url_key string, depth int, drop_reason string, round int").select("source_url_key", "url_key", "depth", "drop_reason", "round")
+
+    def judgements(self, n: int) -> DataFrame:
+        """Judgements of rounds 1 to n, in the order of seq."""
+        return self._rounds("feedback", n if self.judge is not None else 0, f"{JUDGEMENT}, task_id string, seq long")
 
     def last_round(self) -> int:
         """The last round that is complete in the walk's folder; -1 if there is none."""
-        n = -1
-        while self._done(f"frontier{n + 1}"):
-            n += 1
-        return n
+        files, where = self._where("frontier*/_SUCCESS")
+        found = files.globStatus(where)
+        return max((int(f.getPath().getParent().getName().removeprefix("frontier")) for f in found or []), default=-1)
+
+    def request_stop(self) -> None:
+        """Have the walk end before its next round, from any process that sees its folder."""
+        files, where = self._where("STOP")
+        files.create(where).close()
 
     def resume(self) -> tuple[DataFrame, DataFrame, str]:
         """Go on after the last complete round of a walk that broke off; a half-written round is done again."""
         n = self.last_round()
         if n < 0:
             raise ValueError(f"no walk in {self.path}")
-        for name in ("popped", "visited", "judged", "frontier"):
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}{n + 1}")
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-        audits = [self._read(f"judged{i}").select("source_url_key", "url_key", "depth", "drop_reason", F.lit(i).alias("round")) for i in range(1, n + 1)]
-        return self._go(n, self._read(f"frontier{n}"), self._read(f"visited{n}"), audits)
+        for name in ("popped", "judged", "feedback", "frontier"):
+            self._delete(f"{name}{n + 1}")
+        self._delete("STOP")
+        return self._go(n, self._read(f"frontier{n}"))
 
     def run(self, seeds: DataFrame) -> tuple[DataFrame, DataFrame, str]:
-        """(visited: url_key, round, depth, priority; audit: every candidate met with its drop_reason; why the walk ended).
+        """(visited: url_key, reg_domain, depth, priority, round; audit: every candidate met with its drop_reason; why the walk ended).
 
         seeds: url_key, reg_domain, priority, depth.
         """
-        visited = self._keep(self.spark.createDataFrame([], "url_key string, reg_domain string, depth int, priority double, round int"), "visited0")
         frontier = self._keep(seeds.select("url_key", "reg_domain", F.col("priority").cast("double").alias("priority"), F.col("depth").cast("int").alias("depth"), F.lit(0).alias("round_added")).dropDuplicates(["url_key"]), "frontier0")
-        return self._go(0, frontier, visited, [])
+        return self._go(0, frontier)
+
+    def _counters(self, n: int, fetched: int, waiting: int) -> DataFrame:
+        """One row of what the stop conditions look at."""
+        limits, tokens, judged, relevant, streak = self.limits, 0, 0, 0, 0
+        if self.judge is not None and n:
+            seen = self.judgements(n)
+            tokens = seen.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+            judged, relevant = seen.orderBy(F.desc("seq")).limit(stop.WINDOW).agg(F.count("*"), F.count_if(F.col("relevance_score") >= limits.relevance_threshold)).first()
+        if limits.since is not None and n and "published_at" in self.pages.columns:
+            dated = self.visited(n).join(self.pages.select("url_key", "published_at"), "url_key").select(F.lit("walk").alias("task_id"), (F.col("round").cast("long") * (1 << 32) + F.pmod(F.xxhash64("url_key"), F.lit(1 << 32))).alias("seq"), "published_at")
+            last = feedback.stale_streak(dated, F.lit(limits.since)).orderBy(F.desc("seq")).first()
+            streak = last["streak"] if last else 0
+        state = "STOPPING" if self._exists("STOP") else "RUNNING"
+        row = (limits.max_pages, fetched, limits.max_tokens, int(tokens), limits.max_duration, int(self.clock() - self.began), limits.since, int(streak), self.fatal, state, int(judged), int(relevant), waiting, 0, 0)
+        return self.spark.createDataFrame([row], "max_pages int, fetched int, max_tokens long, tokens_used long, max_duration long, elapsed long, since timestamp, stale_streak int, fatal_error string, state string, judged int, relevant int, frontier_size int, buffer_size int, in_flight int")
+
+    def _flags(self, found: DataFrame) -> DataFrame:
+        """Candidates with robots_allows, as far as there are rules or responses."""
+        if self.robots is None and self.responses is None:
+            return found
+        closed = None if self.responses is None else robots.circuit_allows(robots.circuit_states(self.responses), F.timestamp_micros(F.lit(int(self.clock() * 1e6))))
+        rules = self.robots if self.robots is not None else self.spark.createDataFrame([], "domain string, raw string")
+        return robots.robots_flags(found, rules, circuits=closed)
+
+    def priors(self, n: int) -> DataFrame:
+        """Averages of stored priors and of this walk's judgements, hubs raised: reg_domain and domain_prior."""
+        seen = self.judgements(n)
+        hubs = seen.filter(F.col("hub_score") >= feedback.HUB_FLOOR).select(F.col("domain").alias("reg_domain"))
+        return rank.domain_prior(feedback.prior_averages(feedback.priors(seen, self.stored)), hubs)
 
-    def _go(self, n: int, frontier: DataFrame, visited: DataFrame, audits: list[DataFrame]) -> tuple[DataFrame, DataFrame, str]:
-        limits, fetched = self.limits, visited.count()
+    def _ranked(self, found: DataFrame, n: int) -> DataFrame:
+        """Candidates scored, with the priors of their domains where any are known, and steered by the judgements so far."""
+        if self.judge is None and self.stored is None:
+            return self.score(found)
+        scored = self.score(found.drop("domain_prior").join(self.priors(n), "reg_domain", "left"))
+        if self.judge is None:
+            return scored
+        by_key = self.judgements(n).withColumn("url", F.col("url_key"))
+        return feedback.steer(scored.withColumn("source_url", F.col("source_url_key")), by_key).drop("source_url")
+
+    def _judged(self, best: DataFrame, n: int) -> None:
+        """Judge a round's pages; a judge that fails ends the walk."""
+        if self.judge is None:
+            return
+        names = [f.split()[0] for f in JUDGEMENT.split(", ")]
+        rows = self.judge(self.pages.join(best.select("url_key"), "url_key", "left_semi"))
+        if "tokens" not in rows.columns:
+            rows = rows.withColumn("tokens", F.lit(0).cast("long"))
+        ordered = rows.select(*names).withColumns({"task_id": F.lit("walk"), "seq": F.lit(n).cast("long") * (1 << 32) + F.pmod(F.xxhash64("url_key"), F.lit(1 << 32))})
+        try:
+            self._keep(ordered, f"feedback{n}")
+        except Exception as e:  # the service behind the judge may fail in any way
+            self.fatal = f"{type(e).__name__}: {e}"[:500]
+            self._delete(f"feedback{n}")
+            self._keep(self.spark.createDataFrame([], ordered.schema), f"feedback{n}")
+
+    def _go(self, n: int, frontier: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+        limits, fetched = self.limits, self.visited(n).count()
         while True:
             waiting = frontier.count()
-            counters = self.spark.createDataFrame([(limits.max_pages, fetched, waiting)], "max_pages int, fetched int, frontier_size int")
-            counters = counters.selectExpr("*", "0 as max_tokens", "0 as tokens_used", "0 as max_duration", "0 as elapsed", "cast(null as timestamp) as since", "0 as stale_streak", "'' as fatal_error", "'RUNNING' as state", "0 as judged", "0 as relevant", "0 as buffer_size", "0 as in_flight")
-            why = stop.stop_reasons(counters).first()["stop_reasons"] or ("ROUNDS" if n >= limits.most_rounds else None)
+            why = stop.stop_reasons(self._counters(n, fetched, waiting)).first()["stop_reasons"] or ("ROUNDS" if n >= limits.most_rounds else None)
             if why:
                 break
-            n += 1
-            done = visited.groupBy("reg_domain").agg(F.count("*").alias("domain_done"))
-            size = min(limits.round_size, limits.max_pages - fetched)
-            best = self._keep(self._pop(frontier, done, size), f"popped{n}")
+            done = self.visited(n).groupBy("reg_domain").agg(F.count("*").alias("domain_done"))
+            size = min(limits.round_size, limits.max_pages - fetched) if limits.max_pages > 0 else limits.round_size
+            best = self._keep(self._pop(frontier, done, size).select("url_key", "reg_domain", "depth", "priority", F.lit(n + 1).alias("round")), f"popped{n + 1}")
             popped = best.count()
             if not popped:
+                self._delete(f"popped{n + 1}")
                 why = "FRONTIER_DRAINED"
                 break
-            fetched += popped
-            visited = self._keep(visited.unionByName(best.select("url_key", "reg_domain", "depth", "priority", F.lit(n).alias("round"))), f"visited{n}")
+            n, fetched = n + 1, fetched + popped
+            self._judged(best, n)
             rest = frontier.join(best.select("url_key"), "url_key", "left_anti")
             found = self.links.join(best.select(F.col("url_key").alias("source_url_key"), F.col("depth").alias("from_depth")), "source_url_key").withColumn("depth", F.col("from_depth") + 1).drop("from_depth")
+            visited = self.visited(n)
             seen = visited.select("url_key").union(rest.select("url_key"))
-            judged = self._keep(prefilter.with_reason(found, limits.depth_limit, limits.domain_budget, seen=seen, done=visited.groupBy("reg_domain").agg(F.count("*").alias("domain_done"))), f"judged{n}")
-            audits.append(judged.select("source_url_key", "url_key", "depth", "drop_reason", F.lit(n).alias("round")))
-            fresh = self.score(judged.filter("drop_reason is null"))
-            fresh = fresh.groupBy("url_key").agg(F.max_by(F.struct("reg_domain", "depth", "priority"), "priority").alias("c")).select("url_key", "c.*", F.lit(n).alias("round_added"))
+            done = visited.groupBy("reg_domain").agg(F.count("*").alias("domain_done"))
+            judged = self._keep(prefilter.with_reason(self._flags(found), limits.depth_limit, limits.domain_budget, allowed=self.allowed, seen=seen, done=done, rules=self.rules).withColumn("round", F.lit(n)), f"judged{n}")
+            fresh = self._ranked(judged.filter("drop_reason is null").drop("round"), n).select("url_key", "reg_domain", "depth", "priority")
+            if self.judge is not None:
+                own = self._read(f"feedback{n}")
+                depths = own.select("url_key", "url").join(best.select("url_key", "depth"), "url_key").select("url", "depth")
+                fresh = fresh.unionByName(endorsed_items(own, depths, seen, limits, self._flags, allowed=self.allowed, done=done, rules=self.rules).select("url_key", "reg_domain", "depth", "priority"))
+            fresh = fresh.groupBy("url_key").agg(F.max_by(F.struct("reg_domain", "depth", "priority"), F.struct("priority", -F.col("depth"))).alias("c")).select("url_key", "c.*", F.lit(n).alias("round_added"))
             reachable = fresh.join(self.pages.select("url_key"), "url_key", "left_semi")
             frontier = self._keep(rest.unionByName(reachable.select(*rest.columns)), f"frontier{n}")
-        audit = audits[0] if audits else self.spark.createDataFrame([], "source_url_key string, url_key string, depth int, drop_reason string, round int")
-        for more in audits[1:]:
-            audit = audit.unionByName(more)
-        return visited, audit, why
+            if n > 1:
+                self._delete(f"frontier{n - 2}")
+        return self.visited(n), self.audit(n), why
 
     def _pop(self, frontier: DataFrame, done: DataFrame, n: int) -> DataFrame:
         order = Window.partitionBy("reg_domain").orderBy(F.desc("priority"), "round_added", "url_key")

@@ -44,4 +44,4 @@ class Settings:
         return replace(cls(**values), **{k: v for k, v in given.items() if v is not None})
 
     def limits(self) -> Limits:
-        return Limits(self.max_pages, self.depth_limit, self.domain_budget, self.round_size)
+        return Limits(self.max_pages, self.depth_limit, self.domain_budget, self.round_size, max_tokens=self.max_tokens, max_duration=self.max_duration, relevance_threshold=self.relevance_threshold)

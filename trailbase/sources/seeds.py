@@ -21,6 +21,11 @@ def manual(spark: SparkSession, seeds: str | list[str]) -> DataFrame:
     return _candidates(spark.createDataFrame([(p,) for p in parts], "raw string"))
 
 
+def from_column(rows: DataFrame, column: Column) -> DataFrame:
+    """From a column with one URL in each row; commas belong to it."""
+    return _candidates(rows.select(column.alias("raw")).filter("raw is not null"))
+
+
 def from_text_column(rows: DataFrame, column: Column) -> DataFrame:
     """From a column of comma-separated URLs."""
     return _candidates(rows.select(F.explode(F.split(column, ",")).alias("raw")))
