@@ -71,6 +71,16 @@ def test_funnel(spark):
     asked = rank.plan(found, ["rust", "compiler"], None, lambda p: '{"rankings": [{"id": "c1", "priority": 0.9}]}', "rust").collect()
     assert {r.candidate_id: r.priority for r in asked}["c1"] == 0.9
 
+    # A stage that fails leaves what came before it.
+    def broken(*_):
+        raise OSError("no service")
+
+    by_rule = {r.candidate_id: (r.priority, r.dropped, r.ranker) for r in rank.plan(found, ["rust", "compiler"]).collect()}
+    assert {r.candidate_id: (r.priority, r.dropped, r.ranker) for r in rank.plan(found, ["rust", "compiler"], broken).collect()} == by_rule
+    for model in (broken, lambda p: "no JSON here"):
+        kept = {r.candidate_id: (r.priority, r.ranker) for r in rank.plan(found, ["rust", "compiler"], None, model, "rust").collect()}
+        assert kept == {k: (p, r) for k, (p, _, r) in by_rule.items()}
+
 
 def test_vector_cache(spark):
     texts = spark.createDataFrame([("h1", "a"), ("h2", "b"), ("h1", "a")], "content_hash string, text string")
@@ -155,6 +165,31 @@ def test_hubs_topics_recent_and_priors(spark):
     assert {r.reg_domain: r.priority for r in steered.collect()} == {"d0": 0.75, "q": 0.5}
 
 
+def test_summary_adds_stored_priors(spark):
+    rows = judged(spark, [("a", "RELEVANT", 0.9, 0.0, []), ("a", "IRRELEVANT", 0.1, 0.0, []), ("b", "HUB", 0.5, 0.0, [])])
+    stored = spark.createDataFrame([("a", 2, 0, 2.0), ("z", 0, 4, 0.4)], "reg_domain string, times_relevant long, times_irrelevant long, sum_relevance double")
+    assert feedback.summary(rows).first().domain_priors == {"a": 0.5, "b": 0.5}
+    assert feedback.summary(rows, stored).first().domain_priors == {"a": 0.75, "b": 0.5, "z": 0.1}
+
+
+def test_own_rules_replace_the_default_ones(spark):
+    rows = spark.createDataFrame([("https://e.com/a.pdf", "k1"), ("https://e.com/b", "k2")], "canonical string, url_key string")
+    out = prefilter.with_reason(rows, rules=[("odd", F.col("url_key") == "k2")])
+    assert {r.url_key: r.drop_reason for r in out.collect()} == {"k1": None, "k2": "odd"}
+
+
+def test_appended_rows_have_growing_numbers_of_their_own(spark, tmp_path):
+    from trailbase.operators.store import RunStore
+
+    runs = RunStore(spark, f"file://{tmp_path}/store")
+    for batch in range(2):
+        runs.append("events", f"r{batch}", spark.range(5000).repartition(3).selectExpr("id", f"{batch} as batch", "'t' as task_id"))
+    rows = runs.read("events")
+    first, second = (rows.filter(f"batch = {b}").agg(F.count_distinct("seq"), F.min("seq"), F.max("seq")).first() for b in (0, 1))
+    assert first[0] == second[0] == 5000 and first[2] - first[1] == 4999 and second[1] > first[2]
+    assert runs.has("events", "r1") and not runs.has("pages")
+
+
 def test_domain_prior_floor(spark):
     prior = rank.domain_prior(spark.createDataFrame([("a", 0.9), ("b", 0.2), ("", 1.0)], "reg_domain string, average double"), spark.createDataFrame([("b",), ("hub",)], "reg_domain string"))
     assert {r.reg_domain: r.domain_prior for r in prior.collect()} == {"a": 0.9, "b": 0.75, "hub": 0.75}

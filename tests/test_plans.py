@@ -1,4 +1,6 @@
 import datetime
+import hashlib
+from collections import Counter
 
 import duckdb
 import pandas as pd
@@ -59,6 +61,117 @@ def test_mini_web_walk(spark):
     assert visited.count() == 2 and why == "BUDGET_PAGES"
 
 
+def star(spark, n, extra=()):
+    """A start page that leads to n pages of one site each, and further links."""
+    rows = [("s", f"p{i:02}", f"https://d{i:02}.org/p", f"d{i:02}.org") for i in range(n)] + list(extra)
+    links = spark.createDataFrame([(a, b, u, u, d, d, "") for a, b, u, d in rows], "source_url_key string, url_key string, raw string, canonical string, domain string, reg_domain string, anchor string")
+    old = datetime.datetime(2020, 1, 1)
+    pages = spark.createDataFrame([("s", "https://s.org/", "s.org", None)] + [(b, u, d, old) for _, b, u, d in rows], "url_key string, canonical string, reg_domain string, published_at timestamp").dropDuplicates(["url_key"])
+    return pages, links, spark.createDataFrame([("s", "s.org", 1.0, 0)], "url_key string, reg_domain string, priority double, depth int")
+
+
+def judge_as(classification, relevance=0.0, hub=0.0, endorsed=(), tokens=10):
+    def judge(pages):
+        text = "array<string>"
+        return pages.select(
+            "url_key", F.col("canonical").alias("url"), F.col("reg_domain").alias("domain"), F.lit("t").alias("title"), F.lit(classification).alias("classification"), F.lit(relevance).alias("relevance_score"),
+            F.lit(hub).alias("hub_score"), F.array().cast(text).alias("topics"), F.when(F.col("url_key") == "s", F.array(*map(F.lit, endorsed))).otherwise(F.array()).cast(text).alias("endorsed_links"), F.lit(tokens).cast("long").alias("tokens"),
+        )
+
+    return judge
+
+
+def failing_judge(pages):
+    fail = F.udf(lambda x: 1 / 0, "string")
+    return judge_as("RELEVANT")(pages).withColumn("title", fail("title"))
+
+
+STOPS = {
+    "BUDGET_TOKENS": (dict(max_tokens=10), judge_as("RELEVANT"), 1),
+    "TIME_HORIZON": (dict(since=datetime.datetime(2026, 1, 1)), None, 25),
+    "FATAL": ({}, failing_judge, 1),
+    "DIMINISHING_RETURNS": ({}, judge_as("IRRELEVANT"), 25),
+    "BUDGET_TIME": (dict(max_duration=50), None, 1),
+    "USER_REQUESTED": ({}, None, 0),
+}
+
+
+@pytest.mark.parametrize("reason", sorted(STOPS))
+def test_each_stop_reason_ends_a_walk(spark, reason):
+    more, judge, fetched = STOPS[reason]
+    pages, links, start = star(spark, 30)
+    now = iter(range(0, 10_000, 30))
+    walk = rounds.Walk(spark, pages, links, lambda df: df.withColumn("priority", F.lit(0.5)), rounds.Limits(round_size=24, **more), judge=judge, clock=lambda: next(now) if reason == "BUDGET_TIME" else 0.0)
+    if reason == "USER_REQUESTED":
+        walk.request_stop()
+    visited, _, why = walk.run(start)
+    assert why == reason and visited.count() == fetched
+    if reason == "FATAL":
+        assert "division by zero" in walk.fatal
+
+
+def test_a_walk_is_steered_by_what_it_judges(spark):
+    """Hubs raise their links, endorsed links go first, robots and open circuits keep links out."""
+    end = hashlib.sha256(b"https://end.org/x").hexdigest()[:16]
+    extra = [("s", "rob", "https://rob.org/private/x", "rob.org"), ("s", "open", "https://open.org/x", "open.org"), ("s", end, "https://end.org/x", "end.org")]
+    pages, links, start = star(spark, 3, extra)
+    links = links.withColumn("domain_prior", F.lit(None).cast("double"))
+    robots = spark.createDataFrame([("rob.org", "User-agent: *\nDisallow: /private/")], "domain string, raw string")
+    responses = spark.createDataFrame([("open.org", datetime.datetime(2026, 1, 1), i, 503) for i in range(5)], "domain string, ts timestamp, seq int, status int")
+    priors = spark.createDataFrame([("d01.org", 3, 1, 3.2)], "reg_domain string, times_relevant long, times_irrelevant long, sum_relevance double")
+    score = lambda df: df.withColumn("priority", F.coalesce("domain_prior", F.lit(0.2)))
+    at = datetime.datetime(2026, 1, 1, 0, 1, tzinfo=datetime.UTC).timestamp()
+    walk = rounds.Walk(spark, pages, links, score, rounds.Limits(round_size=1, max_pages=3), judge=judge_as("HUB", 0.9, 0.9, ["https://end.org/x", "https://rob.org/private/x"]), robots=robots, responses=responses, priors=priors, clock=lambda: at)
+    visited, audit, why = walk.run(start)
+    assert [(r.url_key, r.priority) for r in visited.orderBy("round").collect()] == [("s", 1.0), ("p01", 1.2), (end, 1.0)] and why == "BUDGET_PAGES"
+    assert {r.url_key: r.drop_reason for r in audit.filter("round = 1").collect()} == {"p00": None, "p01": None, "p02": None, end: None, "rob": "robots", "open": "robots"}
+    assert {r.reg_domain: r.domain_prior for r in walk.priors(walk.last_round()).collect()} == {"s.org": 0.9, "end.org": 0.9, "d01.org": 0.82}
+
+
+def replay_walk(edges, n_pages, limits):
+    """The walk of crawl_rounds in plain Python."""
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+    frontier, visited, number = {0: (1.0, 0, 0)}, {}, 0
+    domain = lambda x: x % 7 if x else 0
+    done = lambda: Counter(domain(x) for x in visited)
+    while frontier and len(visited) < limits.max_pages:
+        before, nth, order = done(), Counter(), []
+        for x in sorted(frontier, key=lambda x: (-frontier[x][0], frontier[x][1], f"n{x}")):
+            nth[domain(x)] += 1
+            if nth[domain(x)] + before[domain(x)] <= limits.domain_budget:
+                order.append(x)
+        best = order[: min(limits.round_size, limits.max_pages - len(visited))]
+        if not best:
+            break
+        number += 1
+        for x in best:
+            visited[x] = (*frontier.pop(x), number)
+        seen, after, fresh = {*visited, *frontier}, done(), {}
+        for x in best:
+            depth = visited[x][2] + 1
+            for y in out.get(x, ()):
+                if y not in seen and depth <= limits.depth_limit and after[domain(y)] < limits.domain_budget and 0 <= y < n_pages:
+                    fresh[y] = min(fresh.get(y, depth), depth)
+        frontier |= {y: (y * 37 % 100 / 100.0, number, d) for y, d in fresh.items()}
+    return {f"n{x}": (p, d, r) for x, (p, _, d, r) in visited.items()}
+
+
+def test_crawl_rounds_equals_a_replay(spark):
+    from trailbase.plans import crawl_queries
+
+    edges = [tuple(r) for r in crawl_queries._edges(spark, SF).collect()]
+    n = spark.read.parquet(f"{SF}/pages.parquet").count()
+    got = {r.url_key: (r.priority, r.depth, r.round) for r in registry.queries()["crawl_rounds"](spark, SF).collect()}
+    assert got == replay_walk(edges, n, rounds.Limits()) and len(got) > 20
+
+
+def test_seeds_of_a_column_keep_their_commas(spark):
+    rows = spark.createDataFrame([("https://e.com/a,b",), (None,), (" ",)], "u string")
+    assert [r.canonical for r in seeds.from_column(rows, F.col("u")).collect()] == ["https://e.com/a,b"]
+
+
 def test_seeds(spark, tmp_path):
     assert sorted(r.canonical for r in seeds.manual(spark, "https://E.com/a, ,http://b.org").collect()) == ["http://b.org/", "https://e.com/a"]
     (tmp_path / "a.json").write_text('{"seeds": ["https://e.com", 7, " "], "allowed_domains": ["E.com"]}')

@@ -62,9 +62,8 @@ def domain_multipliers(judged: DataFrame, n: int = DOMAIN_WINDOW) -> DataFrame:
 
 
 def rolling_verdicts(judged: DataFrame, n: int = DOMAIN_WINDOW) -> DataFrame:
-    """The multiplier of each judgement's domain just after it."""
-    frame = Window.partitionBy("domain").orderBy("seq").rowsBetween(1 - n, Window.currentRow)
-    counted = judged.withColumns({"seen": F.count("*").over(frame), "good": F.count_if(is_good(F.col("classification"))).over(frame)})
+    """The multiplier of each judgement's domain just after it; a domain's history is ordered in chunks, so that none has to fit a task."""
+    counted = last_rows(judged, "domain", "seq", n, {"seen": F.lit(True), "good": is_good(F.col("classification"))})
     full = F.col("seen") >= n
     return counted.withColumn("multiplier", F.when(full & (F.col("good") == n), BOOST).when(full & (F.col("good") == 0), PENALTY).otherwise(1.0))
 
