@@ -1,8 +1,16 @@
+import itertools
+import zlib
+
 import duckdb
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from trailbase.llm import queries
+from trailbase.llm import queries, ranker
+
+from .test_pairs import brute_components
+from .test_texts import brute_secrets
 
 TABLES = "documents labels".split()
 SF = "/root/testdata/sf0.001"
@@ -28,6 +36,47 @@ def test_run_packs_what_the_stages_kept(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "near-duplicate dedup", "secret scan", "best-fit packing"]
 
 
+def test_run_equals_brute_force(spark):
+    """Every decision again in plain Python, on the scores of the classifier (which has tests of its own)."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = {r.doc_id for r in ranker.score_documents(spark, docs, queries.table(spark, SF, "labels")).filter("predicted = 1").collect()}
+    rows = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect() if r.doc_id in good}
+    last = {text: i for i, text in sorted(rows.items())}
+    left = sorted((i, text) for text, i in last.items())
+    component = brute_components(left, 5)
+    library = Tokenizer.from_file(queries.tokenizer("byte_bpe_50k.json"))
+    want = set()
+    for i, text in left:
+        if component[i][1] != i:
+            continue
+        out, seen = [], 0
+        for a, b, _ in brute_secrets(text):
+            if a >= seen:
+                out += [text[seen:a], "[SECRET]"]
+            seen = max(seen, b)
+        ids = [*library.encode("".join([*out, text[seen:]]), add_special_tokens=False).ids, 0]
+        first = len(ids) % 2048 or 2048
+        cuts = [0, *range(first, len(ids) + 1, 2048)] if len(ids) > 2048 else [0, len(ids)]
+        want |= {(i, n, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for n, (a, b) in enumerate(itertools.pairwise(cuts))}
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    sequences = {}
+    for r in sorted(got, key=lambda r: r.offset):
+        assert r.offset == sequences.get(r.sequence_id, 0)
+        sequences[r.sequence_id] = r.offset + r.length
+    assert max(sequences.values()) <= 2048 and len(sequences) <= -(-sum(r.length for r in got) // 2048) + 1
+
+
+def test_stages_on_odd_tables(spark, docs, odd_docs, no_docs):
+    """Nulls, repeated rows, clashing columns and an empty table pass every stage; columns stay and no row is made."""
+    for table in (docs, odd_docs, no_docs):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, table, SF)
+            assert out.columns == table.columns, name
+            assert out.count() <= table.count(), name
+        assert corpus_pipeline.pack(spark, table, SF).select("doc_id").distinct().count() == table.select("doc_id").distinct().count()
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()

@@ -369,7 +369,9 @@ def digest_documents(docs: DataFrame, model_path: str) -> DataFrame:
 
     One pass and no exchange.  Null and empty texts: one id (the end), and the
     digest of the empty text.  Null doc_ids stay null; repeated rows are
-    repeated in the result.
+    repeated in the result; an empty table gives an empty one.  A very long text
+    is encoded whole, in memory that grows with it; the table of words met is
+    bounded by their number and their characters.
     """
 
     def run(batches):

@@ -21,42 +21,52 @@ def tokenizer(name: str) -> str:
 
 
 def op1_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents: two-word shingles, similarity 0.8 or more."""
     return near_dup.components(spark, table(spark, sf_dir), 2, 80)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents and what they decode to, as digests."""
     return piece_codec.digest_documents(table(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
 
 
 def op3_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts among all documents."""
     return radix_dedup.exact_groups(spark, table(spark, sf_dir))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 ids."""
     return packing.pack(spark, table(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 50-byte strings that an earlier one has."""
     return suffix_dedup.remove(spark, table(spark, sf_dir))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of all documents, and whether the rules keep them."""
     return rules.apply_rules(spark, table(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals of all documents after batches of inserts, deletes and revisions."""
     return token_rollup.replay(spark, table(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op8_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
     return ranker.score_documents(spark, table(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op9_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 20-word windows that occur earlier."""
     return suffix_tree_dedup.remove(spark, table(spark, sf_dir))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
     return secrets.report(table(spark, sf_dir))
 
 

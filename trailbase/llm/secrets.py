@@ -139,7 +139,13 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """The scan as counts and digests: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_checked."""
+    """The scan as counts and digests: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_checked.
+
+    One row for each row of docs, as in ``scan``: null, empty and clean texts
+    have no spans and the digest of the empty text; rows with a null doc_id and
+    repeated rows are reported each; spans with one start go by kind; very long
+    texts are scanned whole; an empty table gives an empty result.
+    """
     shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return scan(docs).select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(shown(F.filter("spans", lambda s: s["kind"] != "checked")), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"), count("checked"))
@@ -148,7 +154,9 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """All rows and columns of docs, with every secret in text replaced by ``mark``; n_chars, if there, follows the text.
 
-    Overlapping spans are replaced as one.  Null and clean texts stay as they are.
+    Overlapping spans are replaced as one.  Null, empty and clean texts stay as
+    they are; rows with a null doc_id and repeated rows are treated like others;
+    columns of any name stay; an empty table gives an empty result.
     """
     fields = docs.columns
     place = fields.index("text")
