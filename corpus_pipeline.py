@@ -3,7 +3,13 @@
 Each stage is a function of (spark, docs, sf_dir) that works on every row the
 stage before it kept; ``run`` writes each result as Parquet and reads it again
 as the next one's input.  All stages but the last return the columns of
-``documents``.
+``documents``, whatever else these are called.
+
+Null texts count as empty ones, and null and empty texts pass all stages that
+the classifier lets them reach: they equal each other (the largest doc_id
+stays), are near copies of nothing, hold no secret, and are one id to pack.
+Rows with a null doc_id are no copy of anything.  Rows that repeat a doc_id and
+its text are kept or dropped together; an empty table gives an empty result.
 """
 
 from __future__ import annotations
