@@ -73,9 +73,19 @@ def steered_priorities(spark: SparkSession, d: str) -> DataFrame:
     return feedback.steer(items, judged).select("seq", "priority")
 
 
-@query()
+@query(f"""WITH {JUDGED_SQL}, recent AS (SELECT url, seq FROM judged WHERE classification = 'RELEVANT' ORDER BY seq DESC LIMIT 10),
+hubs AS (SELECT domain, max(hub_score) AS best, min(seq) AS first FROM judged WHERE hub_score >= 0.5 GROUP BY domain ORDER BY best DESC, first LIMIT 5),
+often AS (SELECT topic, count(*) AS n, min(seq) AS first FROM judged GROUP BY topic ORDER BY n DESC, first LIMIT 20),
+priors AS (SELECT domain, floor(sum(relevance_score) / count(*) * 10000 + 0.5) / 10000 AS average FROM judged GROUP BY domain)
+SELECT (SELECT count(*) FROM judged) AS pages_seen, (SELECT string_agg(url, ',' ORDER BY seq) FROM recent) AS relevant_pages, (SELECT string_agg(domain, ',' ORDER BY best DESC, first) FROM hubs) AS hub_domains,
+(SELECT string_agg(topic, ',' ORDER BY n DESC, first) FROM often) AS topics, (SELECT count(*) FROM priors) AS n_priors, (SELECT domain FROM priors ORDER BY average DESC, domain LIMIT 1) AS best_prior""")
 def feedback_summary(spark: SparkSession, d: str) -> DataFrame:
-    return feedback.summary(judgements(spark, d))
+    """The steering summary, its lists as text and of the priors the best."""
+    best = F.array_sort(F.transform(F.map_entries("domain_priors"), lambda x: F.struct((-x["value"]).alias("v"), x["key"].alias("k"))))[0]["k"]
+    return feedback.summary(judgements(spark, d)).select(
+        "pages_seen", F.array_join(F.col("relevant_pages.url"), ",").alias("relevant_pages"), F.array_join("hub_domains", ",").alias("hub_domains"),
+        F.array_join("topics", ",").alias("topics"), F.size("domain_priors").cast("long").alias("n_priors"), best.alias("best_prior"),
+    )
 
 
 _WINDOW = "w AS (SELECT seq, count(*) OVER f AS judged_n, count(*) FILTER (relevance_score >= 0.7) OVER f AS relevant_n FROM judged WINDOW f AS (ORDER BY seq ROWS 19 PRECEDING))"
