@@ -1,14 +1,16 @@
 """Near-duplicate groups, exact dedup and repeat removal against brute force."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from trailbase.llm import flat, near_dup, radix_dedup, repeats, suffix_dedup, suffix_tree_dedup
+from trailbase.llm import near_dup, radix_dedup, repeats, suffix_dedup, suffix_tree_dedup
 from trailbase.llm.components import connected_components
 from trailbase.llm.workspace import Workspace
 
@@ -51,6 +53,69 @@ def test_near_dup_large_group_of_chained_copies(spark):
     assert got == {i: c for i, (_, c) in brute_components(rows, 2).items()}
 
 
+def shared_passage(n, own, seed=0):
+    """Texts that share 95 words and have 30 of their own, dealt from ``own`` words; every tenth is a near copy of the one before."""
+    draw = random.Random(seed)
+    head = [f"s{i}" for i in range(95)]
+    rows = []
+    for i in range(n):
+        words = [*head, *(f"o{draw.randrange(own)}" for _ in range(30))] if i % 10 else [*rows[-1][1].split()[:-1], "x"] if rows else head
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("own", [40, 100_000])
+def test_near_dup_splits_hot_keys(spark, monkeypatch, own):
+    """Keys of more than TILE rows are split by leading shingles and, if those are common too, into tiles."""
+    monkeypatch.setattr(near_dup, "TILE", 12)
+    monkeypatch.setattr(near_dup, "SPLIT", 8)
+    rows = shared_passage(120, own)
+    got = {r.doc_id: r.component_id for r in near_dup.components(spark, spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(rows, 2).items()}
+
+
+def test_rows_that_share_a_passage_alone_meet_no_more(spark):
+    """What is left of a hot key's rows does not grow with the square of their number."""
+    for n in (200, 800):
+        docs = spark.createDataFrame(shared_passage(n, 1 << 40), "doc_id long, text string")
+        search = near_dup._Search(Workspace(spark, "test"), docs.select(docs.doc_id.alias("row_"), "text"), 2, 80, False)
+        rows = docs.selectExpr("doc_id as id", "doc_id as component")
+        assert search.leading(rows, f"n{n}").count() <= 6 * n  # 25 for each row of a near pair, a fifth of all
+
+
+def test_near_dup_recall_at_the_limit(spark):
+    """Pairs of similarity 0.80 to 0.85, each alone: none may be lost."""
+    draw = random.Random(8)
+    rows = []
+    for i in range(1500):
+        words = [f"w{draw.randrange(10**9)}" for _ in range(100)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words, *(f"t{i}_{j}" for j in range(18 + i % 7))]))]
+    want = {i: c for i, t in rows for c in [i - i % 2]}
+    alike = lambda i: len(shingle_set(rows[i][1], 2)) / len(shingle_set(rows[i + 1][1], 2))
+    assert all(0.8 <= alike(i) <= 0.85 for i in range(0, 3000, 2))
+    got = {r.doc_id: r.component_id for r in near_dup.components(spark, spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()}
+    assert sum(got[i] == want[i] for i in want) >= 0.999 * len(want)
+
+
+def thue_morse(n):
+    """A word of n letters and its complement: polynomial hashes modulo a power of two can't tell them apart."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_long_words_of_like_hashes_differ(spark, n):
+    one, other = thue_morse(n)
+    rows = [(1, f"x {one} y"), (2, f"x {other} y"), (3, f"x {one} y z"), (4, " ".join([one, other] * 30)), (5, " ".join([other, one] * 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.components(spark, docs, 2, 80).collect()}
+    assert got == brute_components(rows, 2)
+    bytes_ = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove(spark, docs).collect()}
+    assert bytes_ == brute_bytes(rows, 50)
+    words = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in suffix_tree_dedup.remove(spark, docs).collect()}
+    assert words == brute_words(rows, 20)
+
+
 def test_near_dup_odd_rows_and_empty(spark, odd_docs, no_docs):
     out = near_dup.components(spark, odd_docs, 2, 80).collect()
     assert len(out) == odd_docs.count()
@@ -154,54 +219,76 @@ def test_suffix_tree_dedup_equals_brute_force(spark, docs, rows):
     assert got[21][1] > 250  # a text that repeats itself
 
 
-def test_hot_anchors_are_spread(spark, docs, rows, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT", 0)
+@pytest.mark.parametrize("single", [1, 10**6])
+def test_hot_leads_go_window_by_window(spark, docs, rows, monkeypatch, single):
+    """Every lead and prefix is too common for one task: suffixes are dealt out by all of their symbols."""
+    monkeypatch.setattr(repeats, "MOST_SINGLE", single)
+    monkeypatch.setattr(suffix_dedup.Ranges, "segments", lambda self, symbols, anchor: np.full(len(anchor), -1))
+    monkeypatch.setattr(suffix_tree_dedup.Prefixes, "segments", lambda self, symbols, anchor: np.full(len(anchor), -1))
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove(spark, docs).collect()}
     assert got == brute_bytes(rows, 50)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in suffix_tree_dedup.remove(spark, docs).collect()}
+    assert got == brute_words(rows, 20)
 
 
-def agreeing(symbols):
-    """Two unlike rows that share an anchor and the upper 32 bits of their hash."""
-    hashes = flat.SpanHash(symbols.reshape(-1))(np.arange(len(symbols)) * symbols.shape[1], np.arange(1, len(symbols) + 1) * symbols.shape[1]) >> np.uint64(32)
-    order = np.argsort(hashes, kind="stable")
-    return [(a, b) for a, b in zip(order[:-1].tolist(), order[1:].tolist(), strict=True) if hashes[a] == hashes[b] and (symbols[a] != symbols[b]).any()]
-
-
-def least_gram(values, gram):
-    """The row of values whose hash as an anchor is least."""
-    spans = flat.SpanHash(values.reshape(-1))
-    at = np.arange(len(values)) * gram
-    return int(np.argmin(flat.mix((spans.sums[at + gram] - spans.sums[at]) * spans.inverse[at])))
-
-
-def test_unlike_segments_of_one_anchor_stay_though_32_bits_agree(spark):
-    draw = np.random.default_rng(5)
-    grams = draw.integers(97, 123, (200_000, 16), np.uint8)
-    data = draw.integers(97, 123, (400_000, 50), np.uint8)
-    data[:, 17:33] = grams[least_gram(flat.BYTE_VALUE[grams], 16)]
-    pairs = agreeing(flat.BYTE_VALUE[data])
-    rows = [(n, data[i].tobytes().decode()) for n, i in enumerate(i for pair in pairs for i in pair)]
-    got = suffix_dedup.remove(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(pairs) > 5 and [r.doc_id for r in got if r.n_removed] == []
-
-    names = [f"w{i}" for i in range(1000)]
-    raw = np.frombuffer("".join(names).encode(), np.uint8)
-    at = np.cumsum([0, *map(len, names)])
-    value = flat.SpanHash(flat.BYTE_VALUE[raw])(at[:-1], at[1:])
-    grams, words = draw.integers(0, 1000, (200_000, 6)), draw.integers(0, 1000, (400_000, 20))
-    words[:, 7:13] = grams[least_gram(value[grams], 6)]
-    pairs = agreeing(value[words])
-    rows = [(n, " ".join(names[w] for w in words[i])) for n, i in enumerate(i for pair in pairs for i in pair)]
-    got = suffix_tree_dedup.remove(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(pairs) > 5 and [r.doc_id for r in got if r.n_removed] == []
-
-
-def test_both_hashes_tell_segments_apart():
-    data = np.frombuffer(("ab" * 40 + "ba" * 40 + "abba" * 30).encode(), np.uint8)
-    windows = repeats.Windows(12, 5, words=False, same_document=False)
-    _, place, count, _, _, whole = windows.segments(*windows.symbols(data, np.array([0, len(data)])))
-    content = [data[p : p + c + 11].tobytes() for p, c in zip(place.tolist(), count.tolist(), strict=True)]
-    assert whole.dtype == np.uint64 and len(set(content)) == len(set(whole[:, 0].tolist())) == len(set(whole[:, 1].tolist()))
+def test_equal_windows_go_to_one_bucket_and_common_ones_are_split():
+    draw = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [" ".join([*(f"w{draw.randrange(10**6)}" for _ in range(30)), passage, *(f"w{draw.randrange(10**6)}" for _ in range(30))]) for _ in range(300)]
+    raw = [t.encode() for t in texts]
+    data, at = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    for words, length, gram, kind in ((False, 50, 16, "ranges"), (True, 20, 6, "prefixes")):
+        windows = repeats.Windows(length, gram, words, False)
+        symbols = windows.symbols(data, at)
+        doc, place, count, off, _, _ = windows.segments(symbols)
+        begin, off, count = symbols.first[doc] + place, off.astype(np.int64), count.astype(np.int64)
+        if kind == "ranges":
+            sample = sorted(k.ljust(58, b"\0") for k in suffix_dedup.keys(symbols.raw, begin, off, length).tolist())
+            router = suffix_dedup.Ranges(sample, 16, length)
+        else:
+            sample = sorted(r.tobytes() for r in suffix_tree_dedup.prefix_hashes(symbols.values, begin, off, length, suffix_tree_dedup.depths(length, gram)).T)
+            router = suffix_tree_dedup.Prefixes(sample, 400, length, gram)
+        whole = router.segments(symbols, begin + off)
+        assert (whole < 0).any() and (whole >= 0).any()
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        first, off = np.repeat(begin, count) + step, np.repeat(off, count) - step
+        dest = np.where(np.repeat(whole, count) >= 0, np.repeat(whole, count), router.windows(symbols, first, off))
+        where = {}
+        for f, d in zip(first.tolist(), dest.tolist(), strict=True):
+            where.setdefault(symbols.raw[symbols.edge[f] : symbols.edge[f + length]].tobytes(), set()).add(d)
+        assert all(len(d) == 1 for d in where.values())
+        if kind == "ranges":
+            assert np.bincount(dest, minlength=16).max() < 0.5 * len(dest)
+
+
+def test_common_anchors_send_one_mark(spark, monkeypatch):
+    """Of an anchor that several documents of a task share, one mark meets the others' and not its segments."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [f"{' '.join(f'a{i}_{j}' for j in range(25))} {passage} {' '.join(f'b{i}_{j}' for j in range(25))}" for i in range(200)]
+    part = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array(texts)], names=["key", "text"])
+    for windows, key in ((repeats.Windows(50, 16, False, False), 58), (repeats.Windows(20, 6, True, True), 8)):
+        run = repeats._anchors(windows, 4, lambda symbols, begin, off, key=key: [b"x" * key] * len(begin))
+        out = pa.Table.from_batches(list(run(iter([part])))).to_pydict()
+        marks = sum(len(repeats.restore([b])[0]) for k, b in zip(out["kind"], out["blob"], strict=True) if k == repeats.KNOWN)
+        opened = sum(len(repeats.restore([b])[0]) for k, b in zip(out["kind"], out["blob"], strict=True) if k == repeats.OPEN)
+        assert 0 < marks < 60 and opened >= 200
+
+
+@given(st.lists(st.lists(st.integers(0, 2), min_size=4, max_size=4), max_size=30))
+@settings(deadline=None)
+def test_tree_nodes(suffixes):
+    symbols = np.array([x for s in suffixes for x in s], np.int64)
+    tree = suffix_tree_dedup.SuffixTree(symbols, np.arange(len(suffixes)) * 4, 4)
+    rows = [tuple(s) for s in suffixes]
+    deep = {}
+    for leaf, node in zip(tree.leaves.tolist(), tree.node.tolist(), strict=True):
+        deep.setdefault(node, []).append(leaf)
+    want = {r: [i for i, x in enumerate(rows) if x == r] for r in set(rows)}
+    assert sorted(map(sorted, deep.values())) == sorted(v for v in want.values() if len(v) > 1)
+    # Internal nodes are the prefixes after which the suffixes go on differently.
+    branching = [p for d in range(4) for p in {r[:d] for r in rows} if len({r[d] for r in rows if r[:d] == p}) > 1]
+    assert sorted(tree.node_depth.tolist()) == sorted(map(len, branching))
+    assert all(a < b for a, b in zip(tree.node_depth[tree.parent[tree.parent >= 0]].tolist(), tree.node_depth[tree.parent >= 0].tolist(), strict=True))
 
 
 def test_repeats_odd_rows_and_empty(spark, odd_docs, no_docs):
@@ -218,15 +305,15 @@ def test_segments_cover_each_window_once(texts):
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     at = np.cumsum([0, *map(len, texts)])
     windows = repeats.Windows(12, 5, words=False, same_document=False)
-    doc, place, count, off, _, _ = windows.segments(*windows.symbols(data, at))
+    doc, place, count, off, _, _ = windows.segments(windows.symbols(data, at))
     seen = [(int(d), int(p) + k) for d, p, c in zip(doc, place, count, strict=True) for k in range(int(c))]
     assert sorted(seen) == [(d, p) for d, t in enumerate(texts) for p in range(len(t) - 11)]
 
 
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 3)), max_size=40))
-def test_refine_finds_equal_rows(rows):
+def test_multikey_finds_equal_rows(rows):
     table = np.array(rows, np.int64).reshape(-1, 2)
-    left, group = repeats.refine((lambda own, c=c: table[own, c] for c in range(2)), len(table))
+    left, group = suffix_dedup.multikey((lambda own, c=c: table[own, c] for c in range(2)), len(table))
     by = {}
     for i, g in zip(left.tolist(), group.tolist(), strict=True):
         by.setdefault(g, set()).add(i)

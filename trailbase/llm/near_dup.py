@@ -6,20 +6,30 @@
    are the parity of what the two samples don't share, so their number tells
    high similarities apart much more finely than the count of equal samples
    of so few bytes would.
-2. Rows with equal sets are one class, and only its least doc_id goes on.
+2. Rows of the same words in the same order are one class, told by a 256-bit
+   digest of them, and only its least doc_id goes on.
 3. Within a band key every class is compared with the key's least class alone:
    as many pairs as rows, however large the group.
 4. Groups are the connected components of the pairs that hold on whole sets.
-5. A key whose classes fell into several components is looked at once more:
-   only classes of different components are compared, sketch against sketch,
-   in tiles of at most TILE by TILE rows, so that no key has to fit a task, and
-   each pair in the first of the keys that it shares alone.  Whole sets go to
-   the tiles whose sketches left something open, once for each row and not for
-   each pair, and the links that hold there join components.  A link within
-   one component can't change it, so no link that shares a key with its
-   partner is lost.
-
-A pair of similarity 0.8 shares no key with probability (1 - 0.8**5)**32 =
+5. A key whose classes fell into several components is looked at once more.
+   One of at most SPLIT rows is a tile: its classes of different components are
+   compared inside one task, sketch against sketch, and no pair leaves it.
+6. A larger one is split first.  Its rows are given the whole sets' shingles in
+   one order, rarest first.  Two sets of the similarity miss at most a fifth of
+   each other, so the first shingle that they share lies in the first fifth of
+   both (and one more): rows meet again by those leading shingles alone, of
+   which those that no other row has are left out.  A row with more such
+   shingles than the fifth links with nothing and is done.  No link is lost.
+   The rows of one such shingle are a tile again, or several if more than TILE.
+7. Whole texts go to the tiles whose sketches left something open, once for each
+   row and not for each pair, and the links that hold there join components.
+   A link within one component can't change it, so no link that shares a key
+   with its partner is lost.
+
+Shingles are hashed to find candidates; every link is confirmed on the words
+themselves.
+
+A pair of similarity 0.8 shares no band key with probability (1 - 0.8**5)**32 =
 3e-6.  A sketch rules out a pair of that similarity with a probability below
 1e-7 (see ``most_differing``).
 """
@@ -42,7 +52,9 @@ from . import flat
 from .components import connected_components
 from .workspace import Workspace, documents, ids_are_unique, width
 
-ROWS, BANDS, SKETCH_BITS, TILE = 5, 32, 512, 256
+ROWS, BANDS, SKETCH_BITS, SPLIT, TILE = 5, 32, 512, 64, 1024
+#: So many of a row's earlier keys are looked at to leave a pair to the first key that it shares; beyond them it is only looked at again.
+EARLIER = 32
 PERMUTATIONS = ROWS * BANDS
 _A = (flat.mix(np.arange(1, PERMUTATIONS + 1, dtype=flat.U64) * flat.U64(0x2545F4914F6CDD1D)) >> flat.U64(32)).astype(np.uint32) | np.uint32(1)
 _B = (flat.mix(np.arange(1, PERMUTATIONS + 1, dtype=flat.U64) * flat.U64(0x9FB21C651E98DF25)) >> flat.U64(32)).astype(np.uint32)
@@ -87,25 +99,41 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def most_differing(similarity: float) -> int:
-    """The most bits in which sketches of two sets of at least this similarity may differ, but for one pair in ten millions.
+def most_differing(similarity: float, lost: float = 1e-7) -> int:
+    """The most bits in which sketches of two sets of at least this similarity differ, but for a share ``lost`` of such pairs.
 
-    Of the samples, Binomial(PERMUTATIONS, 1 - similarity) differ; 5.5 standard
-    deviations above their mean, each flips two bits at random, of which on
-    average the n / 2 * (1 - (1 - 2 / n) ** flips) remain odd, again 5.5
-    standard deviations of at most sqrt(n) / 2 above.
+    Of the samples Binomial(PERMUTATIONS, 1 - similarity) differ, and each of
+    these flips two bits at random.  The distribution of the number of odd bits
+    is carried along flip by flip, so the limit is exact and not a bound.
     """
-    p = 1 - similarity
-    flips = 2 * (PERMUTATIONS * p + 5.5 * math.sqrt(PERMUTATIONS * p * (1 - p)) + 2)
-    mean = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** flips)
-    return min(SKETCH_BITS, math.ceil(mean + 5.5 * math.sqrt(min(mean, SKETCH_BITS / 4))))
+    p, n = 1 - similarity, SKETCH_BITS
+    at = np.arange(n + 1)
+    odd, total = np.zeros(n + 1), np.zeros(n + 1)
+    odd[0] = 1.0
+    for differing in range(PERMUTATIONS + 1):
+        total += math.comb(PERMUTATIONS, differing) * p**differing * similarity ** (PERMUTATIONS - differing) * odd
+        for _ in range(2):
+            odd = np.r_[0.0, (odd * (n - at) / n)[:-1]] + np.r_[(odd * at / n)[1:], 0.0]
+    beyond = 1 - np.cumsum(total)
+    return int(np.flatnonzero(beyond <= lost)[0])
+
+
+def word_set(text: str, k: int) -> set:
+    """The distinct k-word shingles themselves, A-Z lower-cased; fewer words are one shingle."""
+    words = text.encode().lower().split()
+    return set(zip(*(words[i:] for i in range(k)), strict=False)) if len(words) >= k else {tuple(words)} if words else set()
+
+
+def word_key(text: bytes) -> bytes:
+    """A digest of all words in their order, A-Z lower-cased."""
+    return hashlib.blake2b(b" ".join(text.lower().split()), digest_size=32).digest()
 
 
 _SIGNED = "n_shingles long, set_key binary, sketch array<long>, bands array<long>"
 
 
 def sign(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of docs without their text, with the size, a 128-bit key, the odd sketch and the band keys of their shingle sets."""
+    """Rows of docs without their text, with the size, a 256-bit key of their words, the odd sketch and the band keys of their shingle sets."""
 
     def run(batches):
         for part, data, at in flat.pieces(batches):
@@ -116,7 +144,8 @@ def sign(docs: DataFrame, k: int) -> DataFrame:
                 samples = minhash([sets[i] for i in some])
                 for i, s, b in zip(some, odd_sketch(samples).tolist(), band_keys(samples).tolist(), strict=True):
                     sketch[i], bands[i] = s, b
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            raw = data.tobytes()
+            keys = [word_key(raw[at[i] : at[i + 1]]) if len(s) else None for i, s in enumerate(sets)]
             columns = [c for c, f in zip(part.columns, part.schema.names, strict=True) if f != "text"]
             names = [f for f in part.schema.names if f != "text"]
             words = pa.list_(pa.int64())
@@ -125,13 +154,19 @@ def sign(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.drop("text").schema.fields, *T.StructType.fromDDL(_SIGNED).fields]))
 
 
-def _whole_sets(docs: DataFrame, k: int) -> DataFrame:
-    def run(batches):
-        for part, data, at in flat.pieces(batches):
-            sets = [s.view(np.int64) for s in shingles(data, at, k)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "members"])
-
-    return docs.mapInArrow(run, "id long, members array<long>")
+def _confirm_pairs(batches: Iterator[pa.RecordBatch], k: int, percent: int):
+    """Of pairs with both texts, sorted by the first, those that hold on the sets of words."""
+    last, held = None, set()
+    for batch in batches:
+        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        keep = []
+        for text, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            if text != last:
+                last, held = text, word_set(text, k)
+            own = word_set(other, k)
+            both = len(held & own)
+            keep.append(100 * both >= percent * (len(held) + len(own) - both))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, h in zip(a, keep, strict=True) if h], pa.int64()), pa.array([x for x, h in zip(b, keep, strict=True) if h], pa.int64())], names=["a", "b"])
 
 
 class _Search:
@@ -148,21 +183,20 @@ class _Search:
         near = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a")
         return near.filter(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")).filter(differing <= self.most).select("a", "b")
 
-    def sets(self, wanted: DataFrame, name: str) -> DataFrame:
-        """Whole sets (id, members), made again for the wanted ids alone."""
+    def texts(self, wanted: DataFrame) -> DataFrame:
+        """Whole texts (id, text) of the wanted ids alone."""
         rows = self.docs.select(F.col("row_").alias("id"), "text").join(wanted.hint("merge"), "id", "left_semi")
-        rows = rows.dropDuplicates(["id", "text"]) if self.repeated else rows
-        return self.work.keep(_whole_sets(rows, self.k), name)
+        return rows.dropDuplicates(["id", "text"]) if self.repeated else rows
 
     def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
         """Pairs whose whole sets have the similarity."""
+        k, percent = self.k, self.percent
         pairs = self.work.keep(pairs, f"{name}-candidates")
-        sets = self.sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-sets")
-        side = lambda x: sets.select(F.col("id").alias(x), F.col("members").alias(f"m_{x}"))
-        both = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a").withColumn("shared", F.size(F.array_intersect("m_a", "m_b")))
-        held = both.filter(100 * F.col("shared") >= self.percent * (F.size("m_a") + F.size("m_b") - F.col("shared"))).select("a", "b")
-        held = self.work.keep(held, f"{name}-links")
-        self.work.drop(f"{name}-candidates", f"{name}-sets")
+        texts = self.work.keep(self.texts(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), f"{name}-texts")
+        side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t_{x}"))
+        both = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a").select("a", "b", "t_a", "t_b")
+        held = self.work.keep(both.mapInArrow(lambda batches: _confirm_pairs(batches, k, percent), "a long, b long"), f"{name}-links")
+        self.work.drop(f"{name}-candidates", f"{name}-texts")
         return held
 
     def stars(self, keyed: DataFrame) -> DataFrame:
@@ -171,17 +205,68 @@ class _Search:
         least = self.work.keep(keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n"), "least")
         return keyed.join(least.hint("merge"), "key").filter("id != a").select("a", F.col("id").alias("b")).distinct()
 
+    def leading(self, rows: DataFrame, name: str) -> DataFrame:
+        """The keys (key, id, component, before) by which rows meet that may hold the similarity: shingles, rarest first.
+
+        Every text of a row has a number of its own, as an id may stand for
+        several.  At most a fifth (100 - percent) of a row's shingles can be
+        missing in a partner; those that no other row has always are.
+        """
+        k, percent = self.k, self.percent
+
+        def run(batches):
+            for part, data, at in flat.pieces(batches):
+                sets = [s.view(np.int64) for s in shingles(data, at, k)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "tokens"])
+
+        sets = self.texts(rows.select("id")).select("id", "text").mapInArrow(run, "id long, tokens array<long>")
+        sets = self.work.keep(sets.withColumn("row", F.monotonically_increasing_id()), f"{name}-tokens")
+        spread = lambda rows: rows.select("row", F.explode("tokens").alias("token"))
+        counts = self.work.keep(spread(sets).groupBy("token").agg(F.count("*").alias("n"), F.min("row").alias("row")), f"{name}-tokens-n")
+        # A shingle met once names its row, so rows with too many of their own are done before anything is joined by shingle.
+        own = counts.filter("n = 1").groupBy("row").agg(F.count("*").alias("n_own"))
+        spare = F.size("tokens") - F.floor((F.size("tokens") * percent + 99) / 100) - F.coalesce("n_own", F.lit(0))
+        left = self.work.keep(sets.join(own.hint("merge"), "row", "left").withColumn("spare", spare.cast("int")).drop("n_own").filter("spare >= 0"), f"{name}-spare")
+        met = spread(left).join(counts.filter("n > 1").select("token", "n").hint("merge"), "token").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("met"))
+        lead = met.join(left.select("row", "id", "spare").hint("merge"), "row")
+        lead = lead.select("id", F.expr("slice(met.token, 1, spare + 1)").alias("lead")).join(rows.hint("merge"), "id")
+        short = F.transform("lead", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+        keyed = lead.select("id", "component", short.alias("short"), F.posexplode("lead").alias("at", "key"))
+        return keyed.select("key", "id", "component", F.slice("short", F.lit(1), F.least("at", F.lit(EARLIER))).alias("before"))
+
+    def opened(self, rows: DataFrame, name: str) -> DataFrame:
+        """Rows (key, id, component, ...) of the keys with several components, with the number of rows in the key's main component and in others."""
+        # Of a key, the component of its least class is the main one; the rows of others are few in a large group.
+        main = F.min(F.struct("id", "component")).alias("least")
+        keys = rows.groupBy("key").agg(main, F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
+        keys = self.work.keep(keys.select("key", F.col("least.component").alias("main"), F.col("least.id").alias("least_id")), f"{name}-keys")
+        rows = self.work.keep(rows.join(keys.hint("merge"), "key").withColumn("in_main", F.col("component") == F.col("main")).drop("main"), f"{name}-open")
+        sizes = self.work.keep(rows.groupBy("key").agg(F.count_if("in_main").alias("n_main"), F.count_if(~F.col("in_main")).alias("n_other")), f"{name}-sizes")
+        self.work.drop(f"{name}-keys")
+        return rows.join(sizes.hint("merge"), "key")
+
     def across(self, classes: DataFrame, components: DataFrame, name: str) -> DataFrame:
         """Links between classes that share a key but no component, one at least for each two components of a tile that have any."""
         labelled = classes.join(components.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        slim = labelled.select(F.posexplode("bands").alias("band", "key"), "id", "component")
-        # Of a key, the component of its least class is the main one; the rows of others are few in a large group.
-        main = F.min(F.struct("id", "component")).alias("least")
-        open_ = slim.groupBy("key").agg(main, F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
-        open_ = self.work.keep(open_.select("key", F.col("least.component").alias("main"), F.col("least.id").alias("least_id")), f"{name}-keys")
-        rows = self.work.keep(slim.join(open_.hint("merge"), "key").withColumn("in_main", F.col("component") == F.col("main")), f"{name}-open")
-        sizes = rows.groupBy("key").agg(F.ceil(F.sum(F.col("in_main").cast("int")) / TILE).cast("int").alias("mains"), F.ceil(F.sum((~F.col("in_main")).cast("int")) / TILE).cast("int").alias("others"))
-        rows = rows.join(self.work.keep(sizes, f"{name}-sizes").hint("merge"), "key").withColumn("part", F.pmod(F.xxhash64("id"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+        rows = self.opened(labelled.select(F.posexplode("bands").alias("band", "key"), "id", "component"), f"{name}-band")
+        # A band key's least class was compared with all others already.
+        rows = rows.withColumn("done", F.col("id") == F.col("least_id")).withColumn("before", F.lit(None).cast("array<int>"))
+        large = F.col("n_main") + F.col("n_other") > SPLIT
+        hot = self.work.keep(rows.filter(large).select("id", "component").distinct(), f"{name}-hot")
+        columns = ["key", "id", "component", "in_main", "done", "band", "before", "n_main", "n_other"]
+        tiles = rows.filter(~large).select(columns)
+        if not hot.isEmpty():
+            lists = self.opened(self.work.keep(self.leading(hot, name), f"{name}-lists"), f"{name}-lead")
+            tiles = tiles.union(lists.withColumn("done", F.lit(False)).withColumn("band", F.lit(0)).select(columns))
+        links = self.work.keep(self.tiles(tiles, classes, name), f"{name}-links")
+        self.work.drop(*(f"{name}-{x}" for x in ("band-open", "band-sizes", "hot", "tokens", "tokens-n", "spare", "lists", "lead-open", "lead-sizes", "tiles")))
+        return links
+
+    def tiles(self, rows: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+        """Links found in tiles of at most about TILE by TILE rows."""
+        parts = lambda x: F.ceil(F.col(x) / TILE).cast("int")
+        rows = rows.withColumn("mains", parts("n_main")).withColumn("others", parts("n_other"))
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
         # A tile (x, y) holds part x of the others against part y: of the main component if y < mains, else part y - mains >= x of the others.
         tile = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
         upto = lambda n: F.sequence(F.lit(0), n - 1)
@@ -191,19 +276,16 @@ class _Search:
         rows = rows.withColumn("tile", F.explode(F.when(F.col("in_main"), as_main).otherwise(F.concat(as_first, as_second))))
         # Band keys by 31 bits: enough to tell whether two rows share an earlier one.
         details = classes.select("id", "n_shingles", "sketch", F.transform("bands", lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands"))
-        rows = rows.join(details.hint("merge"), "id")
-        rows = rows.select(F.xxhash64("key", "tile.x", "tile.y").alias("tile"), "id", (F.col("tile.y") < F.col("mains")).alias("mixed"), "in_main", "least_id", "component", "n_shingles", "band", "sketch", "bands")
-        n, most, percent = width(self.work.spark), self.most, self.percent
+        rows = rows.join(details.hint("merge"), "id").withColumn("before", F.coalesce("before", F.slice("bands", F.lit(1), F.col("band"))))
+        rows = rows.select(F.xxhash64("key", "tile.x", "tile.y").alias("tile"), "id", (F.col("tile.y") < F.col("mains")).alias("mixed"), "in_main", "done", "component", "n_shingles", "sketch", "before")
+        n, most, percent, k = width(self.work.spark), self.most, self.percent, self.k
         by_tile = lambda df: df.repartition(n, "tile").sortWithinPartitions("tile", F.col("id").asc_nulls_first())
         left = self.work.keep(by_tile(rows).mapInArrow(lambda batches: by_key(batches, lambda t: _sketch_tile(t, most, percent)), "tile long, id long, component long, pairs binary"), f"{name}-tiles")
         rows_left = left.filter("id is not null")
-        sets = self.sets(rows_left.select("id").distinct(), f"{name}-sets")
-        met = rows_left.select("tile", "id", "component").join(sets.hint("merge"), "id").select("tile", "id", "component", "members", F.lit(None).cast("binary").alias("pairs"))
-        lists = left.filter("id is null").select("tile", "id", "component", F.lit(None).cast("array<long>").alias("members"), "pairs")
-        links = by_tile(met.unionByName(lists)).mapInArrow(lambda batches: by_key(batches, lambda t: _confirm_tile(t, percent)), "a long, b long")
-        links = self.work.keep(links.distinct(), f"{name}-links")
-        self.work.drop(*(f"{name}-{x}" for x in ("keys", "open", "sizes", "tiles", "sets")))
-        return links
+        met = rows_left.select("tile", "id", "component").join(self.texts(rows_left.select("id").distinct()).hint("merge"), "id").select("tile", "id", "component", "text", F.lit(None).cast("binary").alias("pairs"))
+        lists = left.filter("id is null").select("tile", "id", "component", F.lit(None).cast("string").alias("text"), "pairs")
+        links = by_tile(met.unionByName(lists)).mapInArrow(lambda batches: by_key(batches, lambda t: _confirm_tile(t, k, percent)), "a long, b long")
+        return links.distinct()
 
 
 def by_key(batches, one: Callable[[pa.Table], Iterator[pa.RecordBatch]]):
@@ -236,20 +318,24 @@ def _matrix(table: pa.Table, name: str) -> np.ndarray:
 
 def _sketch_tile(table: pa.Table, most: int, percent: int):
     """Rows of one tile with a partner of another component that sizes and sketches allow, and the list of those pairs."""
-    ids, component, n, main = (_numbers(table, c) for c in ("id", "component", "n_shingles", "in_main"))
-    mixed, least, band = table.column("mixed")[0].as_py(), table.column("least_id")[0].as_py(), table.column("band")[0].as_py()
-    sketch, bands = _matrix(table, "sketch").view(flat.U64), _matrix(table, "bands")
+    ids, component, n, main, done = (_numbers(table, c) for c in ("id", "component", "n_shingles", "in_main", "done"))
+    mixed, before = table.column("mixed")[0].as_py(), [x.values.to_numpy() for x in table.column("before")]
+    who, earlier = np.repeat(np.arange(len(ids)), list(map(len, before))), np.concatenate(before)
+    order = np.argsort(earlier, kind="stable")
+    who, earlier = who[order], earlier[order]
+    sketch = _matrix(table, "sketch").view(flat.U64)
     found_i, found_j = [], []
-    for i in range(len(ids) - 1):
-        if ids[i] == least:  # compared with all in the first round
-            continue
+    for i in np.flatnonzero(~done[:-1]).tolist():
         j = np.arange(i + 1, len(ids))
-        ok = (component[j] != component[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))
+        ok = (component[j] != component[i]) & ~done[j] & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))
         j = j[ok & (main[j] != main[i])] if mixed else j[ok]
         if len(j):
             j = j[np.bitwise_count(sketch[j] ^ sketch[i]).sum(1, dtype=np.int64) <= most]
-        if len(j) and band:  # a pair is this tile's if no earlier band has it
-            j = j[~(bands[j, :band] == bands[i, :band]).any(1)]
+        if len(j) and len(before[i]):  # a pair is this tile's if no earlier key has it
+            met = np.zeros(len(ids), bool)
+            for low, high in zip(np.searchsorted(earlier, before[i]).tolist(), np.searchsorted(earlier, before[i], "right").tolist(), strict=True):
+                met[who[low:high]] = True
+            j = j[~met[j]]
         if len(j):
             found_i.append(np.full(len(j), i))
             found_j.append(j)
@@ -262,12 +348,13 @@ def _sketch_tile(table: pa.Table, most: int, percent: int):
         yield pa.RecordBatch.from_arrays([pa.array([tile] * (size + 1)), pa.array([*rows.tolist(), None], pa.int64()), pa.array([*(of[x] for x in rows.tolist()), None], pa.int64()), pa.array([*[None] * size, pairs], pa.binary())], names=["tile", "id", "component", "pairs"])
 
 
-def _confirm_tile(table: pa.Table, percent: int):
-    """Of one tile's pairs, links on whole sets; of those that join the same two components, one."""
+def _confirm_tile(table: pa.Table, k: int, percent: int):
+    """Of one tile's pairs, links on whole sets of words; of those that join the same two components, one."""
     listed = table.filter(pa.compute.is_valid(table.column("pairs")))
     rows = table.filter(pa.compute.is_valid(table.column("id")))
     place = np.frombuffer(zstandard.ZstdDecompressor().decompress(listed.column("pairs")[0].as_py()), np.uint16).reshape(2, -1)
-    members = [m.values.to_numpy() for m in rows.column("members")]
+    number: dict[tuple, int] = {}
+    members = [np.array([number.setdefault(s, len(number)) for s in word_set(t.as_py(), k)], np.int64) for t in rows.column("text")]
     # An id that stands for several texts has a set for each.
     ids = _numbers(rows, "id")
     own, first = np.unique(ids, return_index=True)
@@ -291,7 +378,7 @@ def _confirm_tile(table: pa.Table, percent: int):
 
 
 def overlap_counter(members: list[np.ndarray], most_bytes: int = 64 << 20) -> Callable[[int, int], int]:
-    """How many members two sets share: by bitmaps over the members of all, or by merging where those would be too large."""
+    """How many members two sets share: by bitmaps over the members of all, or by merging where those would be too large; both count the same."""
     every, place = np.unique(np.concatenate(members), return_inverse=True)
     words = -(-len(every) // 64)
     if 8 * words * len(members) > most_bytes:
