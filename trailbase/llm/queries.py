@@ -1,4 +1,4 @@
-"""Queries over the documents table, one for each operator here, and SQL for those that SQL can express."""
+"""Queries over the documents, embeddings and conversations tables, one for each operator here, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup, packing, piece_codec, radix_dedup, ranker, rules, secrets, suffix_dedup, suffix_tree_dedup, token_rollup
+from . import chat_format, near_dup, packing, piece_codec, prefix_trie, radix_dedup, ranker, rules, secrets, suffix_dedup, suffix_tree_dedup, token_rollup, weighted_lloyd
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -70,9 +70,27 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir))
 
 
+def op11_weighted_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen clusters of all embeddings after three rounds."""
+    return weighted_lloyd.cluster(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the trie of all rebuilt conversations."""
+    return prefix_trie.family_trie(spark, table(spark, sf_dir, "conversations"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted and read back."""
+    return chat_format.with_marked(spark, table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_radix_dedup": radix_dedup.ORACLE_SQL, "op7_token_rollup": token_rollup.ORACLE_SQL}
+    return {
+        "op3_radix_dedup": radix_dedup.ORACLE_SQL, "op7_token_rollup": token_rollup.ORACLE_SQL, "op11_weighted_lloyd": weighted_lloyd.oracle_sql(),
+        "op12_prefix_trie": prefix_trie.ORACLE_SQL, "op13_chat_format": chat_format.ORACLE_SQL,
+    }
