@@ -207,6 +207,26 @@ def test_fetch_policy():
     assert waits[0] == 7.0 and 2.0 in waits and 4.0 in waits
 
 
+def test_fetch_reads_dates_and_relative_targets():
+    now = datetime.datetime(2026, 1, 1, 12, tzinfo=datetime.UTC)
+    assert fetch.retry_after("Thu, 01 Jan 2026 12:00:30 GMT", now) == 30.0 and fetch.retry_after("Thu, 01 Jan 2026 11:00:00 GMT", now) == 0.0
+    assert [fetch.retry_after(x, now) for x in ("12", " 3 ", None, "", "soon", "-4", "1.5", "99999-99")] == [12.0, 3.0, *[fetch.RETRY_AFTER] * 6]
+    moved = {"https://e.com/a/b": "../c?x", "https://e.com/c?x": "//f.org/d", "https://f.org/d": "/end", "https://e.com/loop": "loop#", "https://e.com/bad": "http://[x"}
+    asked = []
+
+    def client(url):
+        asked.append(url)
+        return fetch.Response(302, {"location": moved[url]}, b"") if url in moved else fetch.Response(200, {}, b"here")
+
+    one = fetch.fetch_one(client, "https://e.com/a/b", lambda s: None)
+    assert (one["final_url"], one["redirects"], one["html"]) == ("https://f.org/end", 3, b"here")
+    assert asked == ["https://e.com/a/b", "https://e.com/c?x", "https://f.org/d", "https://f.org/end"]
+    assert fetch.fetch_one(client, "https://e.com/loop", lambda s: None)["outcome"] == "failed"
+    assert fetch.fetch_one(client, "https://e.com/bad", lambda s: None)["attempts"] == 1
+    dated = [fetch.Response(429, {"retry-after": "Wed, 21 Oct 2015 07:28:00 GMT"}, b""), fetch.Response(200, {}, b"ok")]
+    assert fetch.fetch_one(lambda url: dated.pop(0), "https://e.com/", lambda s: None)["html"] == b"ok"
+
+
 def test_fetch_table(spark):
     rows = spark.createDataFrame([("k", "https://e.com/")], "url_key string, canonical string")
     assert fetch.fetch(rows, lambda: lambda url: fetch.Response(200, {}, url.encode())).first().html == b"https://e.com/"

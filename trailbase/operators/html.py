@@ -20,21 +20,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dates, urls
+from . import content
 
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 SILENT = ("script", "style", "noscript", "template")
-BESIDE = ("nav", "footer", "aside", "header", "form")
-BLOCKS = ("p", "li", "td", "th", "pre", "blockquote", "dd", "dt", *HEADINGS)
 #: Where pages state their date, in order of trust.
 DATE_META = (("property", "article:published_time"), ("property", "og:published_time"), ("property", "article:modified_time"), ("name", "date"), ("name", "pubdate"), ("name", "publish_date"), ("name", "publication_date"), ("name", "DC.date.issued"), ("itemprop", "datePublished"))
 SNIPPET = 200
 
 class Node:
-    __slots__ = ("attrs", "children", "parent", "tag")
+    __slots__ = ("attrs", "children", "heading", "parent", "tag")
 
     def __init__(self, tag: str, attrs: dict, parent):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        #: The nearest heading that this element is or lies in.
+        self.heading = self if tag in HEADINGS else parent.heading if parent is not None else None
 
     def texts(self, silent: bool = False):
         """Non-blank texts below, trimmed, in order; walked without recursion."""
@@ -58,6 +59,9 @@ class Page(HTMLParser):
         self.root = self.at = Node("", {}, None)
         self.elements: list[Node] = []
         self.failed = False
+        cut = html.rfind("<")
+        if cut > html.rfind(">") and (html[cut + 1 : cut + 2].isalpha() or html[cut + 1 : cut + 2] in ("/", "!")):
+            html = html[:cut]  # a tag that the page's end cut off
         try:
             self.feed(html)
             self.close()
@@ -105,18 +109,22 @@ def joined(node: Node, sep: str = "") -> str:
 def page_links(page: Page) -> list[dict]:
     """href, anchor, snippet, parent_heading and position of each link with a target, in one pass over the document."""
     out, heading, position = [], None, 0
+    headings: dict[Node, str] = {}
+    snippets: dict[Node, str | None] = {}
     for node in page.elements:
         if node.tag in HEADINGS:
-            heading = joined(node) or heading
+            headings[node] = joined(node)
+            heading = headings[node] or heading
         elif node.tag == "a" and "href" in node.attrs:
             position += 1
             href = (node.attrs["href"] or "").strip()
             if href:
-                above, own = node.parent, None
-                while above is not None and own is None:
-                    own = joined(above) or None if above.tag in HEADINGS else None
-                    above = above.parent
-                out.append({"href": href, "anchor": joined(node) or None, "snippet": snippet(node.parent), "parent_heading": own or heading, "position": position})
+                above = node.heading
+                while above is not None and not headings[above]:
+                    above = above.parent.heading
+                if node.parent not in snippets:
+                    snippets[node.parent] = snippet(node.parent)
+                out.append({"href": href, "anchor": joined(node) or None, "snippet": snippets[node.parent], "parent_heading": headings[above] if above else heading, "position": position})
     return out
 
 def snippet(node: Node) -> str | None:
@@ -162,39 +170,26 @@ def linked_date(blob: str) -> str:
             open_ += node
     return ""
 
-def main_text(page: Page) -> str | None:
-    """Text of the blocks outside navigation, footers and the like; null if there is none."""
-    out = []
-    for node in page.elements:
-        if node.tag in BLOCKS:
-            above, beside = node, False
-            while above is not None and not beside:
-                beside = above.tag in BESIDE or (above is not node and above.tag in BLOCKS)
-                above = above.parent
-            if not beside and (text := joined(node, " ")):
-                out.append(text)
-    return "\n".join(out) or None
-
-PARTS = ("plain_text", "dates", "links")
+PARTS = ("plain_text", "markdown", "dates", "links")
 
 
 def extract_page(html: str | None, parts: tuple[str, ...] = PARTS) -> dict:
-    """The title and the parts wanted of one parse; with the text its status: OK, DEGRADED (no main text; all text instead) or FAILED."""
+    """The title and the parts wanted of one parse; with the text its Markdown and status: OK, DEGRADED (no content found; all text instead) or FAILED."""
     page = Page(html or "")
     title = page.first("title")
-    out = {"title": (joined(title) or None) if title else None, "plain_text": None, "dates": None, "status": None, "links": None}
+    out = {"title": (joined(title) or None) if title else None, "plain_text": None, "markdown": None, "dates": None, "status": None, "links": None}
     if "dates" in parts:
         out["dates"] = stated_dates(page)
     if "links" in parts:
         out["links"] = page_links(page)
-    if "plain_text" not in parts:
+    if "plain_text" not in parts and "markdown" not in parts:
         return out
-    text = main_text(page)
+    text, markdown = content.main_content(page.root)
     status = "OK" if text else "DEGRADED"
     text = text or "\n".join(page.root.texts()) or None
     if page.failed and text is None:
         status = "FAILED"
-    return out | {"plain_text": text, "status": status}
+    return out | {"plain_text": text, "markdown": markdown or text, "status": status}
 
 LINK = "struct<href: string, anchor: string, snippet: string, parent_heading: string, position: int>"
 _LINK = pa.struct([("href", pa.string()), ("anchor", pa.string()), ("snippet", pa.string()), ("parent_heading", pa.string()), ("position", pa.int32())])
@@ -204,7 +199,7 @@ def decode(html: Column) -> Column:
     return F.when(F.is_valid_utf8(html), F.decode(html, "UTF-8")).otherwise(F.decode(html, "ISO-8859-1"))
 
 def parse_pages(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), parts: tuple[str, ...] = PARTS, extract: Callable[[str | None, tuple[str, ...]], dict] = extract_page) -> DataFrame:
-    """The columns ``keep``, and title, plain_text, dates, status and links of the column html, one row for each page.
+    """The columns ``keep``, and title, plain_text, markdown, dates, status and links of the column html, one row for each page.
 
     Parts not wanted are null and cost nothing.  ``extract`` makes them out of a
     page's HTML; bytes are decoded first.
@@ -212,14 +207,14 @@ def parse_pages(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), pa
     if isinstance(pages.schema["html"].dataType, T.BinaryType):
         pages = pages.withColumn("html", decode(F.col("html")))
     kept = pages.select(*keep, "html")
-    schema = kept.drop("html").schema.add("title", "string").add("plain_text", "string")
+    schema = kept.drop("html").schema.add("title", "string").add("plain_text", "string").add("markdown", "string")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + f", dates array<string>, status string, links array<{LINK}>"
 
     def run(batches):
         for batch in batches:
             rows = [extract(h, parts) for h in batch.column(batch.num_columns - 1).to_pylist()]
-            column = lambda k, t: pa.array([r[k] for r in rows], t)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column("title", pa.string()), column("plain_text", pa.string()), column("dates", pa.list_(pa.string())), column("status", pa.string()), column("links", pa.list_(_LINK))], names=[*batch.schema.names[:-1], "title", "plain_text", "dates", "status", "links"])
+            column = lambda k, t: pa.array([r.get(k) for r in rows], t)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column("title", pa.string()), column("plain_text", pa.string()), column("markdown", pa.string()), column("dates", pa.list_(pa.string())), column("status", pa.string()), column("links", pa.list_(_LINK))], names=[*batch.schema.names[:-1], "title", "plain_text", "markdown", "dates", "status", "links"])
 
     return kept.mapInArrow(run, ddl)
 
@@ -228,7 +223,7 @@ def page_records(pages: DataFrame, now: Column, extract: Callable[[str | None, t
     canonical = urls.canonical_url(F.col("url"))
     published = F.element_at(F.filter(F.transform("dates", lambda d: dates.parse_date(d, now)), lambda t: t.isNotNull()), 1)
     text = F.coalesce("plain_text", F.lit(""))
-    return parse_pages(pages, parts=("plain_text", "dates"), extract=extract).select("page_id", urls.fingerprint(canonical).alias("url_key"), canonical.alias("canonical"), F.coalesce("title", canonical).alias("title"), "plain_text", urls.fingerprint(text).alias("text_hash"), F.length(text).alias("text_len"), F.when(F.size("dates") > 0, published).alias("published_at"), "status")
+    return parse_pages(pages, parts=("plain_text", "markdown", "dates"), extract=extract).select("page_id", urls.fingerprint(canonical).alias("url_key"), canonical.alias("canonical"), F.coalesce("title", canonical).alias("title"), "plain_text", "markdown", urls.fingerprint(text).alias("text_hash"), F.length(text).alias("text_len"), F.when(F.size("dates") > 0, published).alias("published_at"), "status")
 
 def page_links_table(pages: DataFrame) -> DataFrame:
     """One row for each link: page_id, base_url, title, link_count, href, anchor, snippet, parent_heading and position."""

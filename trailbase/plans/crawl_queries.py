@@ -67,7 +67,22 @@ def html_title(spark: SparkSession, d: str) -> DataFrame:
     return html.parse_pages(table(spark, d, "pages"), parts=()).filter("title is not null").select("page_id", "title")
 
 
-@query()
+_TEXT = "trim(regexp_replace(regexp_replace(replace({}, '&quot;', '\"'), '&amp;?', '&', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g'), ' ')"
+_INLINE = "regexp_replace({}, '([\\\\`*_\\[\\]<])', '\\\\\\1', 'g')"
+_LINE = "regexp_replace(regexp_replace({}, '^(#{{1,6}}|[>+-])( |$)', '\\\\\\1\\2'), '^([0-9]+)([.)] )', '\\1\\\\\\2')"
+
+
+@query(f"""WITH pieces AS (
+  SELECT page_id, unnest(string_split_regex(replace(replace(regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1), '<h1>', '<h1>' || chr(1)), '<b>', chr(2)), '<[^>]*>')) AS piece,
+         generate_subscripts(string_split_regex(replace(replace(regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1), '<h1>', '<h1>' || chr(1)), '<b>', chr(2)), '<[^>]*>'), 1) AS i FROM pages),
+blocks AS (SELECT page_id, i, starts_with(piece, chr(1)) AS head, starts_with(piece, chr(2)) AS bold, {_TEXT.format("ltrim(piece, chr(1) || chr(2))")} AS text FROM pieces),
+texts AS (SELECT page_id, string_agg(text, chr(10) ORDER BY i) AS plain_text,
+    string_agg(CASE WHEN head THEN '# ' || {_LINE.format(_INLINE.format("text"))} WHEN bold THEN '**' || {_INLINE.format("text")} || '**' ELSE {_LINE.format(_INLINE.format("text"))} END, chr(10) || chr(10) ORDER BY i) AS markdown
+  FROM blocks WHERE text <> '' GROUP BY page_id),
+titled AS (SELECT page_id, url, {canonical_sql("url")} AS canonical, nullif({_TEXT.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")}, '') AS title FROM pages)
+SELECT page_id, substr(sha256(canonical), 1, 16) AS url_key, canonical, coalesce(title, canonical) AS title, plain_text, markdown, substr(sha256(plain_text), 1, 16) AS text_hash,
+       CAST(length(plain_text) AS INTEGER) AS text_len, CAST(NULL AS TIMESTAMP) AS published_at, 'OK' AS status
+FROM titled JOIN texts USING (page_id)""")
 def html_page_records(spark: SparkSession, d: str) -> DataFrame:
     return html.page_records(table(spark, d, "pages"), F.to_timestamp(F.lit(NOW)))
 

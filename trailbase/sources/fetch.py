@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
+import email.utils
 import time
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,8 +25,21 @@ Client = Callable[[str], Response]
 RESULT = "url_key string, final_url string, status int, outcome string, attempts int, redirects int, html binary, error string"
 
 
+def retry_after(stated: str | None, now: datetime.datetime | None = None) -> float:
+    """Seconds to wait by a Retry-After header: a number of seconds, or a date; what is neither counts as RETRY_AFTER."""
+    stated = (stated or "").strip()
+    if stated.isascii() and stated.isdigit():
+        return float(stated)
+    try:
+        until = email.utils.parsedate_to_datetime(stated)
+    except (TypeError, ValueError):
+        return RETRY_AFTER
+    until = until if until.tzinfo else until.replace(tzinfo=datetime.UTC)
+    return max(0.0, (until - (now or datetime.datetime.now(datetime.UTC))).total_seconds())
+
+
 def fetch_one(client: Client, url: str, sleep: Callable[[float], None] = time.sleep) -> dict:
-    """Follow redirects (no loops), try again after 429, 5xx and errors of the line, give up on other 4xx."""
+    """Follow redirects, relative ones too (no loops), try again after 429, 5xx and errors of the line, give up on other 4xx and on targets that are no URL."""
     attempts, wait, error, status = 0, 0.0, None, None
     while attempts < MOST_ATTEMPTS:
         if attempts:
@@ -32,7 +48,7 @@ def fetch_one(client: Client, url: str, sleep: Callable[[float], None] = time.sl
         try:
             answer = client(at)
             while answer.status in (301, 302, 303, 307, 308) and answer.headers.get("location"):
-                at = answer.headers["location"]
+                at = urljoin(at, answer.headers["location"])
                 if at in met or len(met) > MOST_REDIRECTS:
                     return {"final_url": at, "status": answer.status, "outcome": "failed", "attempts": attempts, "redirects": len(met) - 1, "html": None, "error": "redirect loop"}
                 met.add(at)
@@ -40,11 +56,13 @@ def fetch_one(client: Client, url: str, sleep: Callable[[float], None] = time.sl
         except OSError as e:
             error = str(e)
             continue
+        except ValueError as e:  # a target that can't be read as a URL
+            return {"final_url": at, "status": status, "outcome": "failed", "attempts": attempts, "redirects": len(met) - 1, "html": None, "error": str(e)}
         status, error = answer.status, None
         if status < 400:
             return {"final_url": at, "status": status, "outcome": "ok", "attempts": attempts, "redirects": len(met) - 1, "html": answer.body, "error": None}
         if status == 429:
-            wait = float(answer.headers.get("retry-after", RETRY_AFTER))
+            wait = retry_after(answer.headers.get("retry-after"))
         elif status < 500:
             break
     return {"final_url": url, "status": status, "outcome": "failed", "attempts": attempts, "redirects": 0, "html": None, "error": error or f"status {status}"}
