@@ -2,7 +2,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from trailbase.operators import analytics, evals, feedback, frontier, prefilter, rank, robots, stop, store
+from trailbase.operators import analytics, circuits, evals, feedback, frontier, prefilter, rank, robots, stop, store
 
 T0 = datetime.datetime(2026, 1, 1)
 
@@ -121,21 +121,22 @@ def test_buffer(spark):
 
 def test_circuit(spark):
     rows = [("d", T0 + datetime.timedelta(seconds=10 * i), i, s) for i, s in enumerate([429, 429, 404, 429, 200, 429])]
-    states = robots.circuit_states(spark.createDataFrame(rows, "domain string, ts timestamp, seq long, status int"), threshold=3)
+    responses = spark.createDataFrame(rows, "domain string, ts timestamp, seq long, status int")
+    states = circuits.circuit_states(responses, threshold=3)
     assert [r.fails for r in states.orderBy("seq").collect()] == [1, 2, 2, 3, 0, 1]
     own = (0, 0.0, 0.0)
     for _, ts, _, status in rows:
-        own = robots.breaker_step(own, status, ts.timestamp(), threshold=3)
+        own = circuits.breaker_step(own, status, ts.timestamp(), threshold=3)
     last = states.orderBy(F.desc("seq")).first()
     assert own[0] == last.fails and own[1] == last.next_allowed.timestamp() and own[2] == last.open_until.timestamp()
-    closed = lambda s: robots.circuit_allows(states, F.lit(T0 + datetime.timedelta(seconds=s))).first().closed
+    closed = lambda s: circuits.circuit_allows(circuits.circuits_now(responses, threshold=3), F.lit(T0 + datetime.timedelta(seconds=s))).first().closed
     assert not closed(60) and closed(700)
 
 
 def test_robots_rules(spark):
     rows = spark.createDataFrame([("e.com", "https://e.com/admin/secret"), ("e.com", "https://e.com/about"), ("x.org", "https://x.org/admin")], "domain string, canonical string")
     rules = spark.createDataFrame([("e.com", "User-agent: *\nDisallow: /admin")], "domain string, raw string")
-    assert {r.canonical: r.robots_allows for r in robots.robots_flags(rows, rules).collect()} == {"https://e.com/admin/secret": False, "https://e.com/about": True, "https://x.org/admin": True}
+    assert {r.canonical: r.robots_allows for r in robots.robots_flags(rows, robots.rules_relation(rules)).collect()} == {"https://e.com/admin/secret": False, "https://e.com/about": True, "https://x.org/admin": True}
     status = spark.createDataFrame([(s,) for s in (200, 301, 404, 429, 503)], "s int").select(robots.status_class(F.col("s")).alias("c"))
     assert [r.c for r in status.collect()] == ["ok", "redirect", "failed", "retry", "retry"]
 

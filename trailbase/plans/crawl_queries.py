@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, json_text, scores, text, urls
-from ..operators import frontier, html, prefilter, rank, robots
+from ..operators import circuits, frontier, html, prefilter, rank, robots
 from ..sources import seeds
 from . import rounds
 from .tables import JUDGED_SQL, KEYWORDS, LINKS_SQL, NOW, candidates, canonical_sql, host_sql, judgements, reg_domain_sql, table
@@ -125,7 +125,7 @@ def prefilter_every_rule(spark: SparkSession, d: str) -> DataFrame:
     allowed = found.select("reg_domain").distinct().filter(F.col("reg_domain").rlike("[.](com|net)$") | F.col("reg_domain").isin(*_BLACK))
     seen = found.filter("page_id % 5 = 0 and position = 1").select("url_key")
     done = found.groupBy("reg_domain").agg(F.countDistinct("page_id").alias("domain_done"))
-    judged = prefilter.with_reason(robots.robots_flags(found, rules), domain_budget=3, blacklist=_BLACK, negative_anchor=True, allowed=allowed, seen=seen, done=done)
+    judged = prefilter.with_reason(robots.robots_flags(found, robots.rules_relation(rules)), domain_budget=3, blacklist=_BLACK, negative_anchor=True, allowed=allowed, seen=seen, done=done)
     return judged.select("candidate", F.coalesce("drop_reason", F.lit("kept")).alias("reason"))
 
 
@@ -302,7 +302,7 @@ FROM gated WINDOW so_far AS (PARTITION BY domain ORDER BY ts, seq ROWS BETWEEN U
 def circuit_breaker(spark: SparkSession, d: str) -> DataFrame:
     kind = F.col("classification")
     status = F.when(kind == "IRRELEVANT", 429).when(kind == "NAVIGATION", 503).when(kind == "RELEVANT", 200).otherwise(404)
-    return robots.circuit_states(judgements(spark, d).select("domain", "seq", "ts", status.alias("status"))).select("domain", "seq", "status", "fails", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("next_allowed", "open_until")])
+    return circuits.circuit_states(judgements(spark, d).select("domain", "seq", "ts", status.alias("status"))).select("domain", "seq", "status", "fails", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("next_allowed", "open_until")])
 
 
 _EDGES = f"""{LINKS_SQL}, n AS (SELECT count(*) AS n FROM pages), edges AS (

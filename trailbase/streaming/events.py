@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import robots
+from ..operators import circuits
 
 LATE = "10 minutes"
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -61,7 +61,7 @@ def circuit_breaker(responses: DataFrame, **limits) -> DataFrame:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         own = tuple(state.get) if state.exists else (0, 0.0, 0.0)
         rows = pd.concat(list(batches)).sort_values("ts")
-        own = robots.breaker_frame({key[0]: own}, rows, **limits)[key[0]]
+        own = circuits.breaker_frame({key[0]: own}, rows, **limits)[key[0]]
         state.update(own)
         yield pd.DataFrame({"domain": [key[0]], "fails": [own[0]], "next_allowed": [own[1]], "open_until": [own[2]]})
 
