@@ -346,6 +346,34 @@ def test_cutoffs_keep_their_promise(spark):
     assert caught == {"en": 1.0, None: 1.0, "": 1.0, "xx": 0.0}  # a hundred labels prove nothing
 
 
+def test_copies_teach_once(spark):
+    """A good text repeated 400 times, in rows or under doc_ids of its own, is one trial and proves no cutoff."""
+    for spread in (False, True):
+        rows = [(4 * i if spread else 0, "en", plain(0, False)) for i in range(400)] + [(10_001 + 4 * i, "en", plain(i, True)) for i in range(100)]
+        docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+        labels = spark.createDataFrame([(i, 1) for i in {r[0] for r in rows[:400]}], "doc_id long, quality int")
+        assert rules.apply_rules(spark, docs, labels).filter("not kept").count() == 0
+
+
+@given(st.lists(st.integers(0, 260), min_size=3, max_size=3), st.sampled_from([0.01, 0.02, 0.3]), st.sampled_from([0.0125, 0.05]))
+@settings(max_examples=60, deadline=None)
+def test_choose_equals_exact_fractions(counts, alpha, delta):
+    from fractions import Fraction
+    from math import comb
+
+    places = (0, len(rules.CUTOFFS) // 2, len(rules.CUTOFFS))
+    histogram = np.zeros(len(rules.CUTOFFS) + 1, int)
+    for place, n in zip(places, counts, strict=True):
+        histogram[place] += n
+    n, p, best = int(histogram.sum()), Fraction(alpha), float("inf")
+    for k, cutoff in enumerate(rules.CUTOFFS):
+        lost = sum(int(h) for b, h in enumerate(histogram) if b >= len(rules.CUTOFFS) - k)
+        if n == 0 or sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(lost + 1)) > Fraction(delta):
+            break
+        best = cutoff
+    assert rules.choose(histogram, alpha, delta) == best
+
+
 def test_null_and_empty_strata_are_apart(spark):
     """Junk is good where lang is null and bad where it is empty: only the latter gets a cutoff."""
     rows = [(i, None if i % 2 else "", plain(i, i % 4 < 2)) for i in range(4000)]

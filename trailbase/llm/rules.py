@@ -9,6 +9,8 @@ at most DELTA / strata; the sequence ends at the first cutoff that fails.
 Testing in a fixed order needs no further correction along the sequence, and
 the division by the number of strata corrects for testing each, so with
 probability 1 - DELTA no stratum loses more than ALPHA of its good documents.
+A text is one trial of its stratum, however many rows or doc_ids have it, as
+copies say nothing new; it is good if all labels that it has are.
 A stratum with too few labels gets no cutoff and loses none: (1 - ALPHA)**n
 must come down to DELTA / strata, which takes 217 good labels where there are
 four strata and none of the good is lost.
@@ -84,12 +86,14 @@ def stratum_of(name: str) -> Column:
 def calibrate(work: Workspace, features: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row for each stratum: stratum, n_good and cutoff (infinite: none).
 
-    What is brought together is a histogram of cutoffs for each stratum,
-    counted on the map side before it is exchanged.  The good labels of all
+    Labelled rows meet by their text's digest and become one trial; what is
+    brought together then is a histogram of cutoffs for each stratum.  Both are
+    reduced on the map side before they are exchanged.  The labels of all
     holdout rows take part; rows without a label don't.
     """
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
-    bins = features.join(good, "doc_id", "left_semi").groupBy(stratum_of(stratum).alias("stratum"), level().alias("bin")).agg(F.count("*").alias("n"))
+    verdicts = labels.groupBy("doc_id").agg(F.min("quality").alias("q"))
+    trials = features.join(verdicts, "doc_id").groupBy(stratum_of(stratum).alias("stratum"), "digest_").agg(F.min("q").alias("q"), F.max(level()).alias("bin"))
+    bins = trials.filter("q = 1").groupBy("stratum", "bin").agg(F.count("*").alias("n"))
     bins = work.keep(bins, "bins")
     strata = max(1, bins.select("stratum").distinct().count())
 
@@ -106,11 +110,13 @@ def apply_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, alpha:
     One pass over the texts; its counts are written and read again for the
     cutoffs and the verdicts.  Null and empty texts have no words and fail the
     base; a null lang is a stratum of its own; rows with a null doc_id are
-    judged but teach nothing; repeated rows are judged each; a rate equal to
-    the cutoff passes; an empty table gives an empty result.
+    judged but teach nothing; repeated rows are judged each, and teach once; a
+    rate equal to the cutoff passes; texts of any length are counted whole; an
+    empty table gives an empty result; further columns do no harm.
     """
     work = Workspace(spark, "rules")
-    features = work.keep(shape.measure(docs, "lang"), "features")
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    features = work.keep(shape.measure(docs.select("doc_id", "text", "lang", digest.alias("digest_")), "lang", "digest_"), "features")
     holdout = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
     limits = work.keep(calibrate(work, features.filter(holdout), labels, "lang", alpha, delta), "cutoffs")
     work.drop("bins")
