@@ -54,7 +54,7 @@ def run(spark: SparkSession, prompt: str, pages: DataFrame, root: str, limits: r
     walk = rounds.Walk(spark, records, _candidates(pages), score, limits, judge=judge if model is not None else None, priors=runs.priors())
     visited, audit, why = walk.run(items)
     logging.getLogger("trailbase").info("walk.ended run=%s why=%s pages=%d", run_id, why, visited.count())
-    fetched = records.drop("reg_domain").join(visited.select("url_key", "round"), "url_key").withColumn("fetched_seq", F.col("round")).orderBy("round")
+    fetched = walk.pages.drop("reg_domain").join(visited.select("url_key", "round"), "url_key").withColumn("fetched_seq", F.col("round")).orderBy("round")
     runs.append("crawl_goals", run_id, spark.createDataFrame([(goal.goal_id, goal.prompt, goal.statement, list(goal.keywords), 1)], "goal_id string, prompt string, goal_statement string, keywords array<string>, seq long"))
     runs.append("crawl_tasks", run_id, spark.createDataFrame([(run_id, goal.goal_id, "COMPLETED", why, 1)], "task_id string, goal_id string, state string, stopping_reason string, seq long"))
     runs.append("pages", run_id, fetched)
@@ -62,7 +62,7 @@ def run(spark: SparkSession, prompt: str, pages: DataFrame, root: str, limits: r
     runs.append("links", run_id, audit.withColumn("candidate_id", F.concat_ws("-", "source_url_key", "url_key")).orderBy("round"))
     if model is not None:
         runs.append("analyses", run_id, analyze.analyze(fetched, goal, model))
-        runs.add_priors(run_id, feedback.prior_deltas(walk.judgements(walk.last_round())))
+        runs.add_priors(run_id, feedback.prior_deltas(walk.judgements()))
     return run_id, why
 
 

@@ -6,7 +6,7 @@ import os
 from dataclasses import dataclass, fields, replace
 from pathlib import Path
 
-from .operators import frontier, rank, robots
+from .operators import circuits, frontier, rank, robots
 from .plans.rounds import Limits
 
 PREFIX = "TRAILBASE_"
@@ -26,8 +26,8 @@ class Settings:
     blend_weight: float = rank.BLEND_WEIGHT
     buffer_capacity: int = frontier.CAPACITY
     aging_window: int = frontier.AGING_WINDOW
-    circuit_threshold: int = robots.THRESHOLD
-    circuit_cooldown: int = robots.COOLDOWN
+    circuit_threshold: int = circuits.THRESHOLD
+    circuit_cooldown: int = circuits.COOLDOWN
     robots_ttl_hours: int = robots.TTL_HOURS
 
     @classmethod
@@ -44,4 +44,4 @@ class Settings:
         return replace(cls(**values), **{k: v for k, v in given.items() if v is not None})
 
     def limits(self) -> Limits:
-        return Limits(self.max_pages, self.depth_limit, self.domain_budget, self.round_size, max_tokens=self.max_tokens, max_duration=self.max_duration, relevance_threshold=self.relevance_threshold)
+        return Limits(self.max_pages, self.depth_limit, self.domain_budget, self.round_size, max_tokens=self.max_tokens, max_duration=self.max_duration, relevance_threshold=self.relevance_threshold, buffer_capacity=self.buffer_capacity)
