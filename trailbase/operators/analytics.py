@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import selection
+
 
 def class_histogram(analyses: DataFrame) -> DataFrame:
     return analyses.groupBy("classification").agg(F.count("*").alias("n"))
@@ -51,8 +53,8 @@ def top_domains(pages: DataFrame, n: int = 10) -> DataFrame:
 
 
 def nearest_rank(values: DataFrame, column: str, points: dict[str, float]) -> DataFrame:
-    """Values at floor(share * n) of the sorted column."""
-    return values.agg(*[F.expr(f"percentile_disc({p}) within group (order by {column})").alias(k) for k, p in points.items()])
+    """The least value that so many of the column's values don't pass, for each share."""
+    return selection.discrete_percentiles(values, [], column, points)
 
 
 def log_fields(lines: DataFrame) -> DataFrame:

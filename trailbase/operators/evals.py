@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .running import running
+from .selection import percentiles  # noqa: F401  a metric like the others here
 
 NDCG_AT, PRECISION_AT, RECALL_AT = (5, 10, 50), (5, 10), (60, 100)
 
@@ -42,11 +43,6 @@ def metrics(rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def percentiles(rows: DataFrame, by: list[str], value: str, points: dict[str, float]) -> DataFrame:
-    """Exact percentiles with linear interpolation."""
-    return rows.groupBy(*by).agg(*[F.percentile(value, F.lit(p)).alias(k) for k, p in points.items()], F.max(value).alias("max"))
-
-
 def grid(rows: DataFrame, name: str, values: list) -> DataFrame:
     """Each row once for each value of a parameter, a bounded list."""
     return rows.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
