@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,21 +119,17 @@ def stop_reasons(spark: SparkSession, d: str) -> DataFrame:
     return stop.stop_reasons(counters).select("task", "stop_reasons")
 
 
-def _name(kind: str) -> str:
-    return f"{kind}_{uuid.uuid4().hex}"
-
-
 @query("SELECT event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY event_type")
 def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
-    return stream.run_to_table(stream.counts_by_type(stream.event_stream(spark, d)), _name("counts"), "complete")
+    return stream.run_to_folder(stream.counts_by_type(stream.event_stream(spark, d)), "complete")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_hourly(spark: SparkSession, d: str) -> DataFrame:
-    out = stream.run_to_table(stream.windowed(stream.event_stream(spark, d)), _name("hourly"), "complete")
+    out = stream.run_to_folder(stream.windowed(stream.event_stream(spark, d)), "complete")
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query(f"WITH {JUDGED_SQL}, {_LAST} SELECT domain[2:]::BIGINT AS user_id, count(*)::INTEGER AS seen, (count(*) FILTER (good))::INTEGER AS good FROM last WHERE nth <= 3 GROUP BY domain")
 def stream_domain_window(spark: SparkSession, d: str) -> DataFrame:
-    return stream.run_to_table(stream.running_verdicts(stream.event_stream(spark, d)), _name("verdicts"), "update")
+    return stream.run_to_folder(stream.running_verdicts(stream.event_stream(spark, d)), "update", ("user_id",))

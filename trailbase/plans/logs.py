@@ -8,6 +8,9 @@ round writes goes with the round and not with the table.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +33,37 @@ def observed(df: DataFrame, path: str, by: str | None = None, **counts: Column)
     return {"rows": got["rows"], **{k: got[k] for k in counts}, **({"bands": [got[f"band{b}"] for b in range(BANDS)]} if bands else {})}
 
 
+class Manifests:
+    """Numbered JSON files in a folder; one is there whole or not at all, and names what belongs to its number."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _where(self, name: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def last(self) -> int:
+        """The greatest number there is; -1 if there is none."""
+        files, where = self._where("*.json")
+        return max((int(f.getPath().getName().removesuffix(".json")) for f in files.globStatus(where) or []), default=-1)
+
+    def read(self, number: int) -> dict:
+        files, where = self._where(f"{number}.json")
+        stream = files.open(where)
+        text = bytes(stream.readAllBytes()).decode()
+        stream.close()
+        return json.loads(text)
+
+    def commit(self, number: int, told: dict) -> None:
+        """Write under another name and rename."""
+        files, draft = self._where(f"_{number}")
+        out = files.create(draft, True)
+        out.write(bytearray(json.dumps(told).encode()))
+        out.close()
+        files.rename(draft, self._where(f"{number}.json")[1])
+
+
 class Log:
     """A table of segments (name, tier, rows, since: the first round in it) below a folder, each in files by the column ``by`` if that is given."""
 
@@ -58,8 +92,8 @@ class Log:
     def drop_last(self, name: str) -> None:
         self.segments = [s for s in self.segments if s[0] != name]
 
-    def merge(self, round_: int, living=None) -> None:
-        """Merge full tiers; ``living`` leaves out rows of a merged segment that nothing needs any more."""
+    def merge(self, round_: int, living: Callable[[DataFrame, int], DataFrame] | None = None) -> None:
+        """Merge full tiers; ``living`` makes of a merged segment's rows those that are needed on (since: its first round)."""
         while len(self.segments) >= FAN and len({s[1] for s in self.segments[-FAN:]}) == 1:
             old = self.segments[-FAN:]
             tier, since, name = old[0][1] + 1, min(s[3] for s in old), f"{old[-1][0]}.{round_}-{old[0][1] + 1}"

@@ -16,7 +16,6 @@ for parallel work.
 from __future__ import annotations
 
 import datetime
-import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -28,7 +27,7 @@ from ..functions import urls
 from ..operators import circuits, feedback, frontier, prefilter, rank, stop
 from ..operators import robots as robots_rules
 from ..shared import delete_at_exit, keep, shared_folder
-from .logs import Log, band, observed
+from .logs import Log, Manifests, band, observed
 
 
 @dataclass(frozen=True)
@@ -95,6 +94,7 @@ class Walk:
         self.path, self.began, self.fatal = path or shared_folder(spark, "walk"), clock(), ""
         if path is None:
             delete_at_exit(spark, self.path)
+        self.manifests = Manifests(spark, f"{self.path}/rounds")
         self.links = self._once("links", lambda: links.repartition(F.col("source_url_key")).sortWithinPartitions("source_url_key"))
         self.pages = self._once("pages", lambda: pages)
         self.robots = None if robots is None else self._once("robots", lambda: robots_rules.rules_relation(robots))
@@ -153,8 +153,7 @@ class Walk:
 
     def last_round(self) -> int:
         """The last round that is complete in the walk's folder; -1 if there is none."""
-        files, where = self._where("rounds/*.json")
-        return max((int(f.getPath().getName().removesuffix(".json")) for f in files.globStatus(where) or []), default=-1)
+        return self.manifests.last()
 
     def request_stop(self) -> None:
         """Have the walk end before its next round, from any process that sees its folder."""
@@ -162,26 +161,16 @@ class Walk:
         files.create(where).close()
 
     def _commit(self, **told) -> None:
-        """Write the round's manifest under another name and rename it: it is there whole or not at all."""
+        """Write the round's manifest: from now on the round is complete."""
         own = self.state | told | {"queue": self.queue.segments, "taken": self.taken.segments, "feedback": self.feedback.segments, "offered": self.offered.segments}
-        files, draft = self._where(f"draft{self.state['round']}")
-        out = files.create(draft, True)
-        out.write(bytearray(json.dumps(own).encode()))
-        out.close()
-        _, final = self._where(f"rounds/{self.state['round']}.json")
-        files.mkdirs(final.getParent())
-        files.rename(draft, final)
+        self.manifests.commit(self.state["round"], own)
 
     def resume(self) -> tuple[DataFrame, DataFrame, str]:
         """Go on after the last complete round of a walk that broke off; a half-written round is done again."""
         n = self.last_round()
         if n < 0:
             raise ValueError(f"no walk in {self.path}")
-        files, where = self._where(f"rounds/{n}.json")
-        stream = files.open(where)
-        text = bytes(stream.readAllBytes()).decode()
-        stream.close()
-        self._start(json.loads(text))
+        self._start(self.manifests.read(n))
         for name in (f"popped{n + 1}", f"popped{n + 1}.*", f"by_band/segment=added{n + 1}.*", f"feedback{n + 1}", f"feedback{n + 1}.*", f"offered{n + 1}", f"offered{n + 1}.*", f"buffer{n + 1}", f"pool{n + 1}.*", f"judged/{n + 1}", f"judged/{n + 1}.*", "STOP"):
             self._delete(name)
         return self._go()

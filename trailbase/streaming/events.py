@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import circuits
+from ..shared import delete_at_exit, shared_folder
 
 LATE = "10 minutes"
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -46,8 +47,10 @@ def running_verdicts(events: DataFrame, good: tuple[str, ...] = ("purchase", "cl
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values("event_id")
-        last = [*last, *(e in good for e in rows["event_type"])][-n:]
+        newest = pd.DataFrame()
+        for rows in batches:  # of the batch, too, the last n are enough
+            newest = pd.concat([newest, rows]).nlargest(n, "event_id")
+        last = [*last, *(e in good for e in newest.sort_values("event_id")["event_type"])][-n:]
         state.update((last,))
         yield pd.DataFrame({"user_id": [key[0]], "seen": [len(last)], "good": [sum(last)]})
 
@@ -68,6 +71,27 @@ def circuit_breaker(responses: DataFrame, **limits) -> DataFrame:
     return responses.groupBy("domain").applyInPandasWithState(step, "domain string, fails int, next_allowed double, open_until double", "fails int, next_allowed double, open_until double", "update", GroupStateTimeout.NoTimeout)
 
 
+def run_to_folder(stream: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """What the stream's results are now, from files in the shared folder.
+
+    A micro-batch writes a folder of its own, so one that is run again writes
+    the same folder again. In complete mode the last batch is the result; in
+    update mode the last row of each key is.
+    """
+    spark = stream.sparkSession
+    path = shared_folder(spark, "stream")
+    delete_at_exit(spark, path)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch_", F.lit(number)).write.mode("overwrite").parquet(f"{path}/out/{number}")
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.option("recursiveFileLookup", "true").schema(stream.schema.add("batch_", "int")).parquet(f"{path}/out")
+    if mode == "complete":
+        return rows.join(rows.agg(F.max("batch_").alias("batch_")).hint("broadcast"), "batch_").drop("batch_")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch_").alias("r")).select("r.*")
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str) -> DataFrame:
     """All that the stream has now, as a table in memory: for tests and small results."""
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
