@@ -56,7 +56,7 @@ def test_asking_repairs_and_survives_errors(spark):
         return "prose" if model.seen == 1 else "{}"
 
     out = {r.chunk: r for r in rank.ask(spark.createDataFrame([("a", "good"), ("b", "bad")], "chunk string, prompt string").coalesce(1), model).collect()}
-    assert out["a"].content == "{}" and out["a"].attempt == 2 and out["b"].error == "down" and out["b"].content is None
+    assert out["a"].content == "{}" and out["a"].attempt == 2 and out["b"].error == "OSError: down" and out["b"].content is None
 
 
 def test_funnel(spark):

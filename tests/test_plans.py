@@ -319,13 +319,29 @@ def fake_model(prompt):
     return '{"classification": "RELEVANT", "relevance_score": 0.8, "tags": ["t"]}'
 
 
+def fake_embedder(texts):
+    return [[1.0, 0.0] for _ in texts]
+
+
 def test_command_line(spark, tmp_path, capsys):
     from trailbase import cli
 
     root = f"file://{tmp_path}/store"
     page = lambda links: "<title>T</title><p>words here</p>" + "".join(f"<a href='{x}'>go</a>" for x in links)
     spark.createDataFrame([(1, "https://e.com/a", page(["/b", "/n.pdf"])), (2, "https://e.com/b", page(["/a"])), (3, "https://e.com/c", page([]))], "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages")
-    cli.main(["run", "words here", "--store", root, "--pages", f"file://{tmp_path}/pages", "--seeds", "https://e.com/a", "--round-size", "1"])
+    common = ["run", "words here", "--pages", f"file://{tmp_path}/pages", "--seeds", "https://e.com/a", "--round-size", "1"]
+    cli.main([*common, "--store", f"{root}1"])
+    assert ": 1 pages, ended by FRONTIER_DRAINED" in capsys.readouterr().out  # the rules find "go" too poor
+    cli.main([*common, "--store", f"{root}2", "--embedder", "tests.test_plans:fake_embedder", "--model", "tests.test_plans:fake_model"])
+    assert ": 2 pages" in capsys.readouterr().out  # with vectors the nearest stay
+    (tmp_path / "settings").write_text("TRAILBASE_RULE_THRESHOLD=0.0\n")
+    common += ["--settings", str(tmp_path / "settings")]
+    spark.createDataFrame([("e.com", "User-agent: *\nDisallow: /b")], "domain string, raw string").write.parquet(f"file://{tmp_path}/robots")
+    (tmp_path / "black.json").write_text('{"domains": ["e.com"]}')
+    for barred in (["--robots", f"file://{tmp_path}/robots"], ["--blacklist", f"file://{tmp_path}/black.json"]):
+        cli.main([*common, "--store", f"{root}3", *barred])
+        assert ": 1 pages" in capsys.readouterr().out
+    cli.main([*common, "--store", root])
     said = capsys.readouterr().out
     assert "2 pages, ended by FRONTIER_DRAINED" in said
     run_id = said.split(":")[0]

@@ -65,15 +65,15 @@ def enhance(prompt: str, model: Callable[[str], str] | None, now: datetime.datet
     return goal_from_answer(prompt, content, now)
 
 
-def analyze(pages: DataFrame, goal: Goal, model: Callable[[str], str], prompt_version: str = "v1", model_name: str = "", most: int = 3000) -> DataFrame:
+def analyze(pages: DataFrame, goal: Goal, model: Callable[[str], str], prompt_version: str = "v1", model_name: str = "", most: int = 3000, attempts: int = ATTEMPTS) -> DataFrame:
     """Analyses of pages (url_key, canonical, title, plain_text, perhaps markdown), and what failed.
 
-    outcome: ok, empty (no text, not asked) or failed (no JSON in ATTEMPTS).
+    outcome: ok, empty (no text, not asked) or failed (no JSON in so many attempts, one right after the other).
     """
     body = text.first_text(F.col("plain_text"), F.col("markdown") if "markdown" in pages.columns else F.lit(None).cast("string"))
     asked = pages.select("url_key", "canonical", F.coalesce("title", F.lit("")).alias("title"), body.alias("body"))
     prompt = text.analysis_prompt(goal.statement or goal.prompt, F.col("canonical"), F.col("title"), F.col("body"), most)
-    answers = ask(asked.filter("body is not null").select(F.col("url_key").alias("chunk"), prompt.alias("prompt")), model, ATTEMPTS)
+    answers = ask(asked.filter("body is not null").select(F.col("url_key").alias("chunk"), prompt.alias("prompt")), model, attempts)
     data = json_text.json_block(F.col("content"))
     found = asked.join(answers.select(F.col("chunk").alias("url_key"), data.alias("data"), "attempt", "error"), "url_key", "left")
     outcome = F.when(F.col("body").isNull(), "empty").when(F.col("data").isNull(), "failed").otherwise("ok")

@@ -121,7 +121,7 @@ def ask(prompts: DataFrame, model: Callable[[str], str], attempts: int = 2) -> D
                     try:
                         content, error = model(prompt), None
                     except Exception as e:  # a service may fail in any way; the row says how
-                        error = str(e)
+                        error = f"{type(e).__name__}: {e}"
                         continue
                     if content and "{" in content and "}" in content:
                         break
@@ -145,43 +145,73 @@ def ranking_prompts(candidates: DataFrame, goal: str, seen: list[str] | None = N
 
 
 def embed(texts: DataFrame, embedder: Callable[[list[str]], list[list[float]]], batch: int = 100) -> DataFrame:
-    """(content_hash, vector) of (content_hash, text); the embedder gets lists of ``batch`` at most."""
+    """(content_hash, vector, error) of (content_hash, text); the embedder gets lists of ``batch`` at most.
+
+    A batch that it fails on, or gives a wrong number of vectors for, has none
+    and says why; the others are not touched by it.
+    """
 
     def run(batches: Iterator[pd.DataFrame]):
         for rows in batches:
             for low in range(0, len(rows), batch):
                 part = rows.iloc[low : low + batch]
-                yield pd.DataFrame({"content_hash": part["content_hash"], "vector": embedder(part["text"].tolist())})
+                try:
+                    vectors, error = [list(map(float, v)) for v in embedder(part["text"].tolist())], None
+                    if len(vectors) != len(part):
+                        raise ValueError(f"{len(vectors)} vectors of {len(part)} texts")
+                except Exception as e:  # a service may fail in any way; the rows say how
+                    vectors, error = [None] * len(part), f"{type(e).__name__}: {e}"
+                yield pd.DataFrame({"content_hash": part["content_hash"].tolist(), "vector": vectors, "error": error})
+
+    return texts.select("content_hash", "text").mapInPandas(run, "content_hash string, vector array<float>, error string")
 
-    return texts.select("content_hash", "text").mapInPandas(run, "content_hash string, vector array<float>")
+
+def normalised(vector: Column) -> Column:
+    """A vector of length 1, or as it is where it has none."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    return F.when(norm > 0, F.transform(vector, lambda x: (x / norm).cast("float"))).otherwise(vector)
 
 
 def cached_vectors(texts: DataFrame, cache: DataFrame, embedder: Callable, dims: int) -> tuple[DataFrame, DataFrame]:
-    """Vectors of all texts, those of the cache where it has them with ``dims`` dimensions; and the new ones, to be added to it."""
+    """Vectors of all texts, those of the cache where it has them with ``dims`` dimensions; and the new ones, to be added to it. Texts that the embedder failed on are in neither."""
     known = cache.filter(F.size("vector") == dims).select("content_hash", "vector")
     wanted = texts.select("content_hash", "text").dropDuplicates(["content_hash"])
-    new = embed(wanted.join(known, "content_hash", "left_anti"), embedder)
+    new = embed(wanted.join(known, "content_hash", "left_anti"), embedder).filter("vector is not null").drop("error")
     return wanted.select("content_hash").join(known.unionByName(new), "content_hash"), new
 
 
-def plan(candidates: DataFrame, keywords: list[str], goal: DataFrame | Callable[[], DataFrame] | None = None, model: Callable[[str], str] | None = None, prompt_goal: str = "") -> DataFrame:
+def with_vectors(candidates: DataFrame, embedder: Callable[[list[str]], list[list[float]]], batch: int = 100) -> DataFrame:
+    """Candidates with the unit vector of what an embedding sees of them; null where the embedder failed. Equal texts are embedded once."""
+    part = lambda c: F.col(c) if c in candidates.columns else F.lit(None).cast("string")
+    shown = text.embedding_text(part("text"), part("anchor"), part("snippet"), part("parent_heading"), part("source_title"), part("url" if "url" in candidates.columns else "canonical"))
+    seen = candidates.withColumn("text_", shown).withColumn("content_hash", text.content_hash("", F.col("text_")))
+    vectors = embed(seen.select("content_hash", F.col("text_").alias("text")).dropDuplicates(["content_hash"]), embedder, batch)
+    return seen.drop("text_").join(vectors.select("content_hash", normalised(F.col("vector")).alias("vector")), "content_hash", "left").drop("content_hash")
+
+
+def plan(candidates: DataFrame, keywords: list[str], goal: DataFrame | Callable[[], DataFrame] | None = None, model: Callable[[str], str] | None = None, prompt_goal: str = "", threshold: float = THRESHOLD, keep: int = KEEP, weight: float = BLEND_WEIGHT) -> DataFrame:
     """The funnel that the settings ask for: rules alone, rules and a model, or rules, similarity and perhaps a model.
 
-    Without vectors the rules drop below 0.35, or 0.25 before a model; with
-    vectors they drop nothing and the first KEEP stay.  A later stage sees the
-    survivors of those before it.  Where it fails, what came before stands: a
-    chunk that the model gave no answer to keeps its scores, and so do all
-    candidates if their vectors can't be read (``goal`` raises).
+    Without vectors the rules drop below the threshold, or a tenth below it
+    before a model; with vectors they drop nothing and the first ``keep`` stay.
+    A later stage sees the survivors of those before it.  Where it fails, what
+    came before stands: a chunk that the model gave no answer to keeps its
+    scores, a candidate without a vector (``with_vectors`` failed on its batch)
+    keeps what the rules alone say, and so do all if ``goal`` raises.
     """
+    strict = round(threshold - 0.1, 4) if model else threshold
     if goal is None:
-        decisions = rule_rank(candidates, keywords, 0.25 if model else THRESHOLD)
+        decisions = rule_rank(candidates, keywords, strict)
     else:
         try:
             vector = goal() if callable(goal) else goal
         except Exception:  # a service may fail in any way
             vector = None
-        rules = rule_rank(candidates, keywords, (0.25 if model else THRESHOLD) if vector is None else 0.0)
-        decisions = rules if vector is None else blend(rules, similarity_rank(candidates, vector))
+        if vector is None:
+            decisions = rule_rank(candidates, keywords, strict)
+        else:
+            seen, unseen = candidates.filter("vector is not null"), candidates.filter("vector is null")
+            decisions = blend(rule_rank(seen, keywords, 0.0), similarity_rank(seen, vector, keep), weight).unionByName(rule_rank(unseen, keywords, strict))
     if model is not None:
         asked = chunked(survivors(candidates, decisions))
         answers = answered(ask(ranking_prompts(asked, prompt_goal), model))

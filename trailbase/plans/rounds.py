@@ -80,7 +80,8 @@ class Walk:
     links: source_url_key and the columns of a candidate (url_key, raw,
     canonical, domain, reg_domain, anchor; position, where there is a buffer).
     score: candidates to candidates with a priority.
-    judge: the pages of a round to rows of JUDGEMENT (domain: the registered one).
+    judge: the pages of a round to rows of JUDGEMENT (domain: the registered one),
+    of these pages or of earlier ones.
     robots: domain and raw; responses: what ``circuits.circuit_states`` takes:
     an open circuit keeps links out, a gate that is shut keeps items in.
     priors: stored priors of domains; allowed: reg_domain; rules: instead of the default ones.
@@ -225,11 +226,11 @@ class Walk:
         if self.judge is None:
             return 0
         names = [f.split()[0] for f in JUDGEMENT.split(", ")]
-        rows = self.judge(self.pages.join(best.select("url_key"), "url_key", "left_semi"))
-        if "tokens" not in rows.columns:
-            rows = rows.withColumn("tokens", F.lit(0).cast("long"))
-        ordered = rows.select(*names).withColumns({"task_id": F.lit("walk"), "seq": F.lit(n).cast("long") * (1 << 32) + F.pmod(F.xxhash64("url_key"), F.lit(1 << 32))})
         try:
+            rows = self.judge(self.pages.join(best.select("url_key"), "url_key", "left_semi"))
+            if "tokens" not in rows.columns:
+                rows = rows.withColumn("tokens", F.lit(0).cast("long"))
+            ordered = rows.select(*names).withColumns({"task_id": F.lit("walk"), "seq": F.lit(n).cast("long") * (1 << 32) + F.pmod(F.xxhash64("url_key"), F.lit(1 << 32))})
             got = self.feedback.append(ordered, f"feedback{n}", n, tokens=F.coalesce(F.sum("tokens"), F.lit(0)))
         except Exception as e:  # the service behind the judge may fail in any way
             self.fatal = f"{type(e).__name__}: {e}"[:500]
@@ -279,7 +280,7 @@ class Walk:
             endorsed = None
             if self.judge is not None and not self.fatal:
                 mine = self._read(f"feedback{n}")
-                depths = mine.select("url_key", "url").join(best.select("url_key", "depth"), "url_key").select("url", "depth")
+                depths = mine.select("url_key", "url").join(self.taken.read().select("url_key", "depth"), "url_key").select("url", "depth")  # an analysis may come rounds after its page
                 endorsed = endorsed_items(mine, depths, seen, limits, self._flags, allowed=self.allowed, done=done, rules=self.rules).select("url_key", "reg_domain", "depth", "priority")
             added = self._pushed(kept, endorsed, n) if limits.buffer_capacity <= 0 else self._buffered(kept, endorsed, n)
             self.feedback.merge(n)
