@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import feedback, stop
+from ..shared import delete_at_exit, shared_folder
 from ..streaming import events as stream
+from ..streaming import feedback_state
 from .tables import JUDGED_SQL, judgements, table
 
 QUERIES: dict = {}
@@ -33,7 +35,10 @@ def domain_priors(spark: SparkSession, d: str) -> DataFrame:
 _LAST = f"last AS (SELECT domain, {_GOOD} AS good, row_number() OVER (PARTITION BY domain ORDER BY seq DESC) AS nth FROM judged)"
 
 
-@query(f"WITH {JUDGED_SQL}, {_LAST} SELECT domain, CASE WHEN count(*) >= 3 AND count(*) FILTER (good) = 3 THEN 1.2 WHEN count(*) >= 3 AND count(*) FILTER (good) = 0 THEN 0.6 ELSE 1.0 END::DOUBLE AS multiplier FROM last WHERE nth <= 3 GROUP BY domain")
+_MULTIPLIERS = f"WITH {JUDGED_SQL}, {_LAST} SELECT domain, CASE WHEN count(*) >= 3 AND count(*) FILTER (good) = 3 THEN 1.2 WHEN count(*) >= 3 AND count(*) FILTER (good) = 0 THEN 0.6 ELSE 1.0 END::DOUBLE AS multiplier FROM last WHERE nth <= 3 GROUP BY domain"
+
+
+@query(_MULTIPLIERS)
 def domain_multiplier(spark: SparkSession, d: str) -> DataFrame:
     return feedback.domain_multipliers(judgements(spark, d))
 
@@ -133,3 +138,16 @@ def stream_hourly(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {JUDGED_SQL}, {_LAST} SELECT domain[2:]::BIGINT AS user_id, count(*)::INTEGER AS seen, (count(*) FILTER (good))::INTEGER AS good FROM last WHERE nth <= 3 GROUP BY domain")
 def stream_domain_window(spark: SparkSession, d: str) -> DataFrame:
     return stream.run_to_folder(stream.running_verdicts(stream.event_stream(spark, d)), "update", ("user_id",))
+
+
+@query(_MULTIPLIERS)
+def stream_feedback(spark: SparkSession, d: str) -> DataFrame:
+    """The multipliers of domains from judgements that come as a stream and are folded batch by batch."""
+    path = shared_folder(spark, "folded")
+    delete_at_exit(spark, path)
+    rows = judgements(spark, d).drop("ts")
+    rows.withColumn("part", F.pmod("seq", F.lit(4))).repartition("part").write.parquet(f"{path}/in")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    fold = feedback_state.FeedbackFold(spark, f"{path}/state")
+    fold.follow(source, f"{path}/checkpoint")
+    return fold.domain_multipliers()
