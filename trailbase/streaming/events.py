@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators import circuits
 from ..shared import delete_at_exit, shared_folder
@@ -86,7 +87,7 @@ def run_to_folder(stream: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> D
         batch.withColumn("batch_", F.lit(number)).write.mode("overwrite").parquet(f"{path}/out/{number}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.option("recursiveFileLookup", "true").schema(stream.schema.add("batch_", "int")).parquet(f"{path}/out")
+    rows = spark.read.option("recursiveFileLookup", "true").schema(StructType([*stream.schema.fields, StructField("batch_", IntegerType())])).parquet(f"{path}/out")
     if mode == "complete":
         return rows.join(rows.agg(F.max("batch_").alias("batch_")).hint("broadcast"), "batch_").drop("batch_")
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch_").alias("r")).select("r.*")
