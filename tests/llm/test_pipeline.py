@@ -12,7 +12,7 @@ from trailbase.llm import queries, ranker
 from .test_pairs import brute_components
 from .test_texts import brute_secrets
 
-TABLES = "documents labels".split()
+TABLES = "documents labels embeddings conversations".split()
 SF = "/root/testdata/sf0.001"
 
 
@@ -88,4 +88,4 @@ def test_queries_equal_sql(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert [n.split("_")[0] for n in sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 14)]
