@@ -121,7 +121,8 @@ def robots_flags(candidates: DataFrame, relation: DataFrame, circuits: DataFrame
     """Candidates with robots_allows: what their domain's rules say; true where none fits, false while its circuit is open.
 
     relation: ``rules_relation``; circuits: domain and closed (``circuits.circuit_allows``).
-    Equal paths of a domain are tried once.
+    Equal paths of a domain are tried once.  Candidates are read twice, for
+    their paths and for themselves, so they should lie in a table.
     """
     rules = relation.filter("path is not null").select("domain", "rank", F.col("path").alias("prefix_"), "allow")
     sizes = rules.groupBy("domain").agg(F.collect_set(F.length("prefix_")).alias("sizes_"))

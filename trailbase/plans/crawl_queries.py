@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, json_text, scores, text, urls
 from ..operators import circuits, frontier, html, prefilter, rank, robots
+from ..shared import delete_at_exit, keep, shared_folder
 from ..sources import seeds
 from . import rounds
 from .tables import JUDGED_SQL, KEYWORDS, LINKS_SQL, NOW, candidates, canonical_sql, host_sql, judgements, reg_domain_sql, table
@@ -120,7 +121,10 @@ _EVERY_RULE = f"""CASE WHEN NOT regexp_matches(reg_domain, '[.](com|net)$') AND
 def prefilter_every_rule(spark: SparkSession, d: str) -> DataFrame:
     """All rules with their joins: allowed domains, seen keys, a blacklist, robots files, full domains, empty anchors."""
     found = candidates(spark, d).withColumns({"depth": F.pmod("page_id", F.lit(7)).cast("int"), "anchor": F.when(F.col("position") % 3 == 2, "read more").otherwise(F.col("anchor")), "candidate": F.concat_ws("-", F.col("page_id").cast("string"), F.col("position").cast("string"))})
-    found = found.select("candidate", "page_id", "position", "raw", "canonical", "url_key", "domain", "reg_domain", "anchor", "depth")
+    path = shared_folder(spark, "candidates")
+    delete_at_exit(spark, path)
+    # Written, as links, rules, domains and seen keys all come from it: each would parse the pages again.
+    found = keep(found.select("candidate", "page_id", "position", "raw", "canonical", "url_key", "domain", "reg_domain", "anchor", "depth"), f"{path}/found")
     rules = found.filter("page_id % 3 = 0").select("domain").distinct().withColumn("raw", F.lit("User-agent: *\nDisallow: /th"))
     allowed = found.select("reg_domain").distinct().filter(F.col("reg_domain").rlike("[.](com|net)$") | F.col("reg_domain").isin(*_BLACK))
     seen = found.filter("page_id % 5 = 0 and position = 1").select("url_key")
