@@ -345,6 +345,9 @@ def test_command_line(spark, tmp_path, capsys):
     said = capsys.readouterr().out
     assert "2 pages, ended by FRONTIER_DRAINED" in said
     run_id = said.split(":")[0]
+    cli.main(["report", "--store", root, "--run", run_id])
+    told = capsys.readouterr().out.splitlines()
+    assert told[:4] == ["walk ended: COMPLETED (FRONTIER_DRAINED)", "  pages:      2 in 2 rounds", "  links:      3 found, 1 kept, 1 queued", "  dropped:    1 dedup, 1 extension"] and told[-1].startswith("  duration:")
     for _ in range(2):  # the second replay finds nothing to do
         cli.main(["replay", "--store", root, "--run", run_id, "--model", "tests.test_plans:fake_model"])
         assert "2 analyses" in capsys.readouterr().out

@@ -1,6 +1,7 @@
 """Command line: walk a table of pages, look into a run, judge its pages again.
 
     python -m trailbase.cli run "rust compilers" --pages DIR --store DIR [--model m:f] [--embedder m:f] [--robots DIR] [--blacklist FILE]
+    python -m trailbase.cli report --store DIR --run RUN
     python -m trailbase.cli inspect --store DIR --run RUN [--export csv|json --to DIR]
     python -m trailbase.cli replay --store DIR --run RUN --model package.module:function
 """
@@ -10,12 +11,12 @@ from __future__ import annotations
 import argparse
 import datetime
 import importlib
-import logging
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import runlog
 from .functions import urls
 from .operators import analysis_queue, analytics, analyze, feedback, html, prefilter, rank, store
 from .plans import rounds
@@ -62,7 +63,8 @@ def run(spark: SparkSession, prompt: str, pages: DataFrame, root: str, settings:
 
     walk = rounds.Walk(spark, records, _candidates(pages), score, limits, judge=judge if model is not None else None, robots=robots, priors=runs.priors(), rules=prefilter.default_rules(barred))
     visited, audit, why = walk.run(items)
-    logging.getLogger("trailbase").info("walk.ended run=%s why=%s pages=%d", run_id, why, visited.count())
+    counted = walk.rounds()
+    runs.append("rounds", run_id, counted.withColumn("seq", F.col("round")))
     fetched = walk.pages.drop("reg_domain").join(visited.select("url_key", "round"), "url_key").withColumn("fetched_seq", F.col("round")).orderBy("round")
     runs.append("crawl_goals", run_id, spark.createDataFrame([(goal.goal_id, goal.prompt, goal.statement, list(goal.keywords), 1)], "goal_id string, prompt string, goal_statement string, keywords array<string>, seq long"))
     runs.append("crawl_tasks", run_id, spark.createDataFrame([(run_id, goal.goal_id, "COMPLETED", why, 1)], "task_id string, goal_id string, state string, stopping_reason string, seq long"))
@@ -83,7 +85,7 @@ def _model(name: str):
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("run", "inspect", "replay"):
+    for name in ("run", "inspect", "replay", "report"):
         sub = commands.add_parser(name)
         sub.add_argument("--store", required=True)
         if name == "run":
@@ -100,9 +102,13 @@ def main(argv: list[str] | None = None) -> None:
         if name == "inspect":
             sub.add_argument("--export", choices=("csv", "json"))
             sub.add_argument("--to")
-        if name != "inspect":
+        if name in ("run", "replay"):
             sub.add_argument("--model")
+        sub.add_argument("--log-level", default="WARNING")
+        sub.add_argument("--log-format", choices=("text", "json"), default="text")
+        sub.add_argument("--log-file")
     args = parser.parse_args(argv)
+    runlog.setup(args.log_level, args.log_format, args.log_file)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     runs = store.RunStore(spark, args.store)
     model = _model(args.model) if getattr(args, "model", None) else None
@@ -113,6 +119,10 @@ def main(argv: list[str] | None = None) -> None:
         blacklist = seeds.blacklist(spark, args.blacklist) if args.blacklist else None
         run_id, why = run(spark, args.prompt, spark.read.parquet(args.pages), args.store, settings, model, args.seeds, embedder, robots, blacklist)
         print(f"{run_id}: {runs.read('pages', run_id).count()} pages, ended by {why}")
+    elif args.command == "report":
+        task = runs.read("crawl_tasks", args.run).first()
+        analyses = runs.read("analyses", args.run) if runs.has("analyses") else spark.createDataFrame([], "outcome string, classification string")
+        print(analytics.report_lines(analytics.report(runs.read("rounds", args.run), runs.read("links", args.run), analyses).first().asDict(), task["state"], task["stopping_reason"]))
     elif args.command == "inspect":
         pages, analyses = runs.read("pages", args.run), runs.read("analyses", args.run)
         if args.export:

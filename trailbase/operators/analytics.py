@@ -57,6 +57,28 @@ def nearest_rank(values: DataFrame, column: str, points: dict[str, float]) -> Da
     return selection.discrete_percentiles(values, [], column, points)
 
 
+def report(rounds: DataFrame, audit: DataFrame, analyses: DataFrame) -> DataFrame:
+    """One row on a run: pages, links found, kept and queued, tokens and seconds from what its rounds counted, dropped links by reason, analyses by class."""
+    one = F.lit(1).alias("one")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    counted = rounds.agg(F.count("*").alias("rounds"), *[total(c).alias(k) for k, c in (("pages", "popped"), ("links_found", "found"), ("links_kept", "kept"), ("links_queued", "added"), ("tokens", "tokens"), ("seconds", "seconds"))], one)
+    tally = lambda rows, by, name: rows.groupBy(by).agg(F.count("*").alias("n")).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), F.col(by).alias("key")))).alias(name), one)  # noqa: E731  a row for each rule or class
+    both = counted.join(tally(audit.filter("drop_reason is not null"), "drop_reason", "drops"), "one").join(tally(analyses.filter("outcome = 'ok'"), "classification", "classes"), "one")
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat((-x["less"]).cast("string"), F.lit(" "), x["key"])), ", ")
+    return both.select("rounds", "pages", "links_found", "links_kept", "links_queued", "tokens", "seconds", text("drops").alias("drops"), text("classes").alias("classes"))
+
+
+def report_lines(row: dict, state: str, reason: str) -> str:
+    """The report as aligned lines; what did not happen has no line."""
+    lines = [f"walk ended: {state} ({reason or 'none'})", f"  pages:      {row['pages']} in {row['rounds']} rounds", f"  links:      {row['links_found']} found, {row['links_kept']} kept, {row['links_queued']} queued"]
+    for name, key in (("dropped", "drops"), ("analyses", "classes")):
+        if row[key]:
+            lines.append(f"  {name + ':':<11} {row[key]}")
+    if row["tokens"]:
+        lines.append(f"  tokens:     {row['tokens']}")
+    return "\n".join([*lines, f"  duration:   {row['seconds']:.1f}s"])
+
+
 def log_fields(lines: DataFrame) -> DataFrame:
     """event, tokens and elapsed of structured log lines."""
     number = lambda key, kind: F.regexp_extract("value", rf"{key}=([0-9.]+)", 1).try_cast(kind)

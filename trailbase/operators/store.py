@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..shared import delete_at_exit, keep, shared_folder
 
 #: The tables of a run and their keys; events and errors only grow.
-KEYS = {"crawl_goals": ("goal_id",), "crawl_tasks": ("task_id",), "pages": ("page_id",), "links": ("candidate_id",), "rank_decisions": ("candidate_id", "ranker"), "analyses": ("url_key", "goal_id", "prompt_version", "model"), "frontier_snapshots": ("snapshot_id",), "robots_cache": ("domain",), "events": (), "errors": ()}
+KEYS = {"crawl_goals": ("goal_id",), "crawl_tasks": ("task_id",), "pages": ("page_id",), "rounds": ("round",), "links": ("candidate_id",), "rank_decisions": ("candidate_id", "ranker"), "analyses": ("url_key", "goal_id", "prompt_version", "model"), "frontier_snapshots": ("snapshot_id",), "robots_cache": ("domain",), "events": (), "errors": ()}
 EVENTS = ("TASK_CREATED", "TASK_STARTED", "TASK_STOPPED", "TASK_COMPLETED", "URL_DISCOVERED", "CANDIDATE_FILTERED", "CANDIDATE_BUFFERED", "CANDIDATE_DROPPED", "URL_ENQUEUED", "URL_FETCHED", "PAGE_EXTRACTED", "PAGE_ANALYZED", "RANK_BATCH")
 
 

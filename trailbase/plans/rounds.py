@@ -23,6 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import runlog
 from ..functions import urls
 from ..operators import circuits, feedback, frontier, prefilter, rank, stop
 from ..operators import robots as robots_rules
@@ -288,7 +289,9 @@ class Walk:
             self.taken.merge(n)
             self.offered.merge(n)
             own["tokens"] += spent
+            runlog.event("walk.round", round=n, popped=popped, found=counted["rows"], kept=counted["kept"], added=added, tokens=spent, elapsed=round(time.time() - began, 3))
             self._commit(popped=popped, found=counted["rows"], kept=counted["kept"], added=added, spent=spent, seconds=round(time.time() - began, 3))
+        runlog.event("task.done", reason=why, pages=own["fetched"], tokens=own["tokens"], rounds=own["round"])
         return self.visited().drop("band"), self.audit(), why
 
     def _audited(self, judged: DataFrame, name: str) -> dict:
