@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -52,6 +53,30 @@ def test_codec_long_runs_and_loose_bytes(pieces):
     assert [t.decode() for t in together] == [library.decode(ids) for ids in lists]
 
 
+@given(st.sampled_from(["ab", "acgt", "thein", "=-_", "中文的一是了", "abcdefghijklmnopqrstuvwxyz", "aZ09+/éx日"]), st.integers(65, 900), st.integers(0, 10**6))
+@settings(max_examples=150, deadline=None)
+def test_long_words_equal_the_library(pieces, alphabet, n, seed):
+    own, library = pieces
+    draw = np.random.default_rng(seed)
+    text = "".join(draw.choice(list(alphabet), n)) + " the end " + "".join(draw.choice(list(alphabet), n // 2))
+    ids = library.encode(text)
+    assert own.encode(text)[:-1] == ids
+    model = own.model
+    known = [model.chars[c] for c in piece_codec.SPACE + alphabet if c in model.chars]
+    symbols = draw.choice(known, n)
+    by_rounds, _ = model._merge_long(symbols.copy(), np.zeros(n, np.int64))
+    assert by_rounds.tolist() == model._merge_one(symbols.tolist())
+
+
+@pytest.mark.parametrize("alphabet", ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "中文的一是不了人我在有他這日本語", "abcdefghijklmnopqrstuvwxyz", "a"])
+def test_two_million_characters_without_spaces(pieces, alphabet):
+    own, library = pieces
+    text = "".join(np.random.default_rng(7).choice(list(alphabet), 2_000_000))
+    begun = time.process_time()
+    assert own.digests([text])[1] == [hashlib.sha256(" ".join(map(str, [*library.encode(text), 2])).encode()).hexdigest()]
+    assert time.process_time() - begun < 60
+
+
 def test_merges_that_open_better_pairs_wait():
     """A merge that opens a pair of higher rank is done alone, as a queue would."""
 
@@ -69,6 +94,13 @@ def test_merges_that_open_better_pairs_wait():
     )
     flat_ids, _ = model.encode_flat(["ababab"])
     assert [model.pieces[i] for i in flat_ids] == ["aba", "b", "ab"]
+    # Long words go by reach, and by single pairs where a merge ranks before those that made its parts.
+    for seed in range(200):
+        word = "".join(np.random.default_rng(seed).choice(["a", "b", "é"], 80, p=[0.49, 0.49, 0.02]))
+        by_reach = [model.pieces[i] for i in model.encode_flat([word, "ab", word[::-1]])[0]]
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(piece_codec, "LONG", 1000)
+            assert by_reach == [model.pieces[i] for i in model.encode_flat([word, "ab", word[::-1]])[0]]
 
 
 def test_codec_on_tables(spark, docs, rows, no_docs, odd_docs, pieces):

@@ -11,11 +11,19 @@ What the library does, and what is kept here: scores order the pairs, equal
 scores go from left to right, and a merge may open a pair that comes before
 what is left.  A round therefore merges all occurrences in a word only if none
 of the pairs that this opens ranks as high; else it merges the leftmost alone.
+
+A long word has too many ranks to take one in a round, so it is cut where no
+piece holds both neighbours, and a round merges every pair that ranks least
+within reach: no piece is longer than ``reach`` characters, so what lies
+further off cannot take a symbol of the pair first.  That holds while each
+merge ranks after those that made its parts; a stretch in which one doesn't is
+merged pair by pair with a heap.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import struct
 from collections.abc import Iterator
 from itertools import chain
@@ -29,6 +37,8 @@ from .workspace import documents
 
 SPACE = "▁"
 NEVER = np.int64(1 << 40)
+#: Words of more characters are merged by what ranks least within reach; ids are the same either way.
+LONG = 64
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -104,6 +114,8 @@ class PieceModel:
                 if left is not None and right is not None:
                     pairs[left, right] = (rank_of[scores[whole]], whole)
         keys = sorted(pairs)
+        self.reach = max(map(len, self.ids))
+        self.neighbours = np.unique([(ord(p[i]) << 32) + ord(p[i + 1]) for p in self.ids for i in range(len(p) - 1)] or [-1])
         self.n = len(self.pieces)
         self.keys = np.array([a * self.n + b for a, b in keys] or [-1], np.int64)
         self.ranks = np.array([pairs[k][0] for k in keys] or [0], np.int64)
@@ -130,6 +142,18 @@ class PieceModel:
         table = np.array([self.chars.get(chr(c), -1 - int(c)) for c in codes], np.int64)
         symbols, word = table[place], np.repeat(np.arange(len(words)), np.diff(first))
         done_s, done_w = [], []
+        long = np.diff(first) > LONG
+        if long.any():
+            there = long[word]
+            chars = codes[place[there]].astype(np.int64)
+            near = (chars[:-1] << 32) + chars[1:]
+            joined = self.neighbours[np.minimum(np.searchsorted(self.neighbours, near), len(self.neighbours) - 1)] == near
+            part = np.cumsum(np.r_[True, ~joined | (word[there][1:] != word[there][:-1])]) - 1
+            of = word[there][np.flatnonzero(np.r_[True, part[1:] != part[:-1]])]
+            merged, part = self._merge_long(symbols[there], part)
+            done_s.append(merged)
+            done_w.append(of[part])
+            symbols, word = symbols[~there], word[~there]
         while len(symbols):
             rank, whole = np.full(len(symbols), NEVER), np.zeros(len(symbols), np.int64)
             if len(symbols) > 1:
@@ -162,6 +186,102 @@ class PieceModel:
         symbols, word = self._spell(symbols[order], word[order])
         return symbols, np.searchsorted(word, np.arange(len(words)), "right")
 
+    def _merge_long(self, symbols: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the symbols of each part merge to, in order, and the part of each result."""
+        first, parts, symbols = symbols, part, symbols.copy()
+        size, born = np.ones(len(symbols), np.int64), np.full(len(symbols), -1)
+        bad = np.zeros(int(part[-1]) + 1, bool)
+        rank, whole = np.full(len(symbols), NEVER), np.zeros(len(symbols), np.int64)
+        rank[:-1], whole[:-1] = self.look_up(symbols[:-1], symbols[1:])
+        rank[:-1][part[1:] != part[:-1]] = NEVER
+        while True:
+            here = self._least(rank, size)
+            if not len(here):
+                break
+            new, order, owner, last = whole[here], rank[here], part[here], len(symbols) - 1
+            after, before = np.minimum(here + 2, last), np.maximum(here - 1, 0)
+            opened = np.minimum(
+                np.where((here + 2 <= last) & (part[after] == owner), self.look_up(new, symbols[after])[0], NEVER),
+                np.where((here >= 1) & (part[before] == owner), self.look_up(symbols[before], new)[0], NEVER),
+            )
+            opened = np.minimum(opened, np.where(np.r_[here[1:], -1] == here + 2, self.look_up(new, new)[0], NEVER))
+            odd = (opened <= order) | (order <= np.maximum(born[here], born[here + 1]))
+            symbols[here], born[here] = new, order
+            size[here] += size[here + 1]
+            keep = np.ones(len(symbols), bool)
+            keep[here + 1] = False
+            if odd.any():
+                bad[owner[odd]] = True
+                keep &= ~bad[part]
+            place = np.cumsum(keep) - 1
+            changed = place[here[keep[here]]]
+            symbols, part, size, born, rank, whole = (x[keep] for x in (symbols, part, size, born, rank, whole))
+            changed = np.unique(np.r_[changed, changed - 1])
+            changed = changed[(changed >= 0) & (changed < len(symbols) - 1)]
+            rank[changed], whole[changed] = self.look_up(symbols[changed], symbols[changed + 1])
+            rank[changed[part[changed] != part[changed + 1]]] = NEVER
+            if len(symbols):
+                rank[-1] = NEVER
+        if bad.any():
+            again = np.flatnonzero(bad)
+            low, high = np.searchsorted(parts, again), np.searchsorted(parts, again, "right")
+            redone = [self._merge_one(first[a:b].tolist()) for a, b in zip(low, high, strict=True)]
+            symbols = np.r_[symbols, np.fromiter(chain.from_iterable(redone), np.int64)]
+            part = np.r_[part, np.repeat(again, list(map(len, redone)))]
+            order = np.argsort(part, kind="stable")
+            symbols, part = symbols[order], part[order]
+        return symbols, part
+
+    def _least(self, rank: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Pairs that rank least of all pairs that a piece with one of their symbols could cover."""
+        if len(rank) < 2:
+            return np.zeros(0, np.int64)
+        here = np.flatnonzero((rank != NEVER) & (rank <= np.r_[NEVER, rank[:-1]]) & (rank <= np.r_[rank[1:], NEVER]))
+        end = np.cumsum(size)
+        start, last = end - size, len(rank) - 1
+        for step in range(2, self.reach):
+            left, right = np.maximum(here - step, 0), np.minimum(here + step, last - 1)
+            beaten = (rank[left] < rank[here]) & (start[left] >= end[here] - self.reach)
+            beaten |= (rank[right] < rank[here]) & (end[right + 1] <= start[here + 1] + self.reach)
+            here = here[~beaten]
+        if not len(here):
+            return here
+        # Of overlapping pairs in a row every other one, if the row's first is here.
+        run = np.cumsum(np.r_[True, np.diff(here) != 1]) - 1
+        head = here[np.flatnonzero(np.r_[True, np.diff(run) != 0])]
+        whole_run = (head == 0) | (rank[np.maximum(head - 1, 0)] != rank[head])
+        return here[((here - head[run]) % 2 == 0) & whole_run[run]]
+
+    def _merge_one(self, symbols: list[int]) -> list[int]:
+        """The same by one pair after the other."""
+        if not hasattr(self, "pairs"):
+            self.pairs = {k: (r, w) for k, r, w in zip(self.keys.tolist(), self.ranks.tolist(), self.wholes.tolist(), strict=True)}
+        n, pairs, end = self.n, self.pairs, len(symbols)
+        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+        heap: list[tuple[int, int, int]] = []
+
+        def meet(a: int, b: int) -> None:
+            if a >= 0 and b < end and symbols[a] >= 0 and symbols[b] >= 0:
+                found = pairs.get(symbols[a] * n + symbols[b])
+                if found:
+                    heapq.heappush(heap, (found[0], a, symbols[a] * n + symbols[b]))
+
+        for i in range(end - 1):
+            meet(i, i + 1)
+        gone = bytearray(end)
+        while heap:
+            _, a, key = heapq.heappop(heap)
+            b = after[a]
+            if gone[a] or b == end or symbols[a] < 0 or symbols[b] < 0 or symbols[a] * n + symbols[b] != key:
+                continue
+            symbols[a], gone[b] = pairs[key][1], 1
+            after[a] = after[b]
+            if after[b] < end:
+                before[after[b]] = a
+            meet(before[a], a)
+            meet(a, after[a])
+        return [s for s, g in zip(symbols, gone, strict=True) if not g]
+
     def _safe(self, symbols: np.ndarray, word: np.ndarray, here: np.ndarray, whole: np.ndarray, least: np.ndarray) -> np.ndarray:
         """Which of the merges may happen in this round."""
         owner = word[here]
@@ -370,7 +490,7 @@ def digest_documents(docs: DataFrame, model_path: str) -> DataFrame:
     One pass and no exchange.  Null and empty texts: one id (the end), and the
     digest of the empty text.  Null doc_ids stay null; repeated rows are
     repeated in the result; an empty table gives an empty one.  A very long text
-    is encoded whole, in memory that grows with it; the table of words met is
+    is encoded whole, in memory and time that grow with it, with or without spaces; the table of words met is
     bounded by their number and their characters.
     """
 
