@@ -1,5 +1,6 @@
 """Tokenizers, packing, secrets, rules, ranker and rollup."""
 
+import base64
 import hashlib
 import itertools
 import re
@@ -527,6 +528,91 @@ def test_replay_odd_tables(spark, odd_docs, no_docs):
     assert token_rollup.replay(spark, no_docs, none).count() == 0
 
 
+ENCODERS = ("byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model")
+
+
+@pytest.fixture(scope="session")
+def library_counts():
+    """How many ids the libraries themselves give a text, by file."""
+    import public_tokenizers
+    import sentencepiece
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    byte, pieces = Tokenizer.from_file(tokenizer(ENCODERS[0])), sentencepiece.SentencePieceProcessor(model_file=tokenizer(ENCODERS[2]))
+    with open(tokenizer(ENCODERS[1])) as f:
+        ranks = {base64.b64decode(line.split()[0]): int(line.split()[1]) for line in f}
+    multi = tiktoken.Encoding("multi", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return {
+        ENCODERS[0]: lambda t: len(byte.encode(t, add_special_tokens=False).ids),
+        ENCODERS[1]: lambda t: len(multi.encode_ordinary(t)),
+        ENCODERS[2]: lambda t: len(pieces.encode(t)),
+    }
+
+
+def test_versions_count_as_the_libraries_do(spark, docs, rows, odd_docs, library_counts):
+    versions = {e: tokenizer(e) for e in ENCODERS} | {"words-1": token_rollup.WORDS}
+    got = {r.doc_id: r.asDict() for r in token_rollup.count_versions(docs, versions).collect()}
+    assert sorted(got) == [i for i, _ in rows]
+    for i, t in rows:
+        assert got[i]["words-1"] == len(WORD.findall(t or ""))
+        assert [got[i][e] for e in ENCODERS] == [library_counts[e](t or "") for e in ENCODERS]
+    odd = odd_docs.selectExpr("*", "cast(null as string) as source")
+    assert token_rollup.count_versions(odd, versions).count() == odd.count()
+    assert token_rollup.count_versions(odd.limit(0), versions).count() == 0
+
+
+def test_white_space_of_millions_is_counted():
+    count = token_rollup.encoder(tokenizer("byte_bpe_multi_50k.tiktoken"))
+    per = count(" " * 100_000 + "x") / 100_000
+    assert count(" " * 2_000_000 + "x") == pytest.approx(per * 2_000_000, rel=0.01)
+
+
+def test_token_replay_equals_brute_force(spark, docs, rows, library_counts):
+    labels = spark.createDataFrame([(12, 0, 0), (18, 0, 0), (25, 0, 0), (10, 1, 1), (24, 0, 1), (26, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    low, toxic = {12, 18, 25}, {10, 24}
+    want = Counter()
+    for i, t in rows:
+        if i in toxic:
+            continue
+        for version in [ENCODERS[1]] if i in low else ENCODERS[:2]:
+            key = (f"s{i % 2}", "en" if i % 3 else None, version)
+            want[(*key, "docs")] += 1
+            want[(*key, "tokens")] += library_counts[version](t or "")
+    got = Counter()
+    for r in token_rollup.replay(spark, docs, labels, {e: tokenizer(e) for e in ENCODERS[:2]}).collect():
+        got[r.source, r.lang, r.version, "docs"], got[r.source, r.lang, r.version, "tokens"] = r.n_docs, r.n_tokens
+    assert got == want
+
+
+def test_rollup_two_writers_and_one_that_dies(spark, docs):
+    """A writer that began before another ended commits nothing, and what was committed stays as it is."""
+    path = f"{shared_dir(spark)}/rollup-race-{id(docs)}"
+    counts = token_rollup.inserts(token_rollup.count_tokens(docs, "words-1"))
+
+    class Late(token_rollup.TokenRollup):
+        """Another writer commits while this one writes."""
+
+        def _rename(self, old, new):
+            token_rollup.TokenRollup(self.spark, self.path).commit(new.partition("=")[2], counts)
+            return super()._rename(old, new)
+
+    class Dies(token_rollup.TokenRollup):
+        def _rename(self, old, new):
+            raise KeyboardInterrupt
+
+    store = token_rollup.TokenRollup(spark, path)
+    with pytest.raises(KeyboardInterrupt):
+        Dies(spark, path).commit("one", counts)
+    assert store.batches() == [] and store.totals().count() == 0
+    assert not Late(spark, path).commit("one", counts)
+    assert store.batches() == ["one"] and store.totals().groupBy().sum("n_docs").first()[0] == docs.count()
+    with pytest.raises(ValueError):
+        Late(spark, path).commit("two", counts.filter("doc_id > 12"))
+    assert store.totals().groupBy().sum("n_docs").first()[0] == 2 * docs.count()
+    assert store.compact() == 2 and not Late(spark, path).commit("one", counts)
+
+
 def test_cache_is_bounded_by_characters():
     from trailbase.llm.chunk_cache import RunCache
 
