@@ -3,13 +3,16 @@
 import base64
 import hashlib
 import itertools
+import math
 import re
+import struct
 import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -441,6 +444,57 @@ def test_ranker_cut_reaches_the_boundary(spark, bad):
     assert ((rows @ np.array(model.weights) + model.shift >= model.threshold) == quality).all()
 
 
+def brute_features(text):
+    """The ranker's features from counts by plain Python."""
+    text = text or ""
+    words, chars, symbols, copies, repeats = brute_shape(text)
+    seen, lines = set(WORD.findall(text)), sum(bool(WORD.search(line)) for line in text.split("\n"))
+    count = lambda pattern: len(re.findall(pattern, text))
+    upper, lower, bangs, digits, marks = count("[A-Z]"), count("[a-z]"), count("[!?]"), count("[0-9]"), count("[.,;:]")
+    out = []
+    for a, b in ((symbols, words), (copies, lines), (repeats, words), (bangs, words), (upper, upper + lower), (digits, chars), (marks, words)):
+        out += [a / max(b, 1), math.sqrt(a / max(b, 1))]
+    by_length = math.log1p(len(seen)) / max(math.log1p(words), 1.0)
+    return [*out, chars / max(words, 1), len(seen) / max(words, 1), by_length, math.log1p(words), float(words < 10), float(words < 30), math.log1p(words / max(lines, 1)), float(words == 0)]
+
+
+def test_ranker_equals_brute_force(spark):
+    """The fit is the least loss on the pairs drawn, the cut the best of all, and each score follows from plain counts."""
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(10**9, None), (10**9 + 1, ""), (10**9 + 2, "Ab! 12 é\n\nAb! 12 é\n" * 9)], "doc_id long, text string"))
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    known = {r.doc_id: int(r.quality) for r in labels.collect() if r.quality is not None and r.doc_id in texts}
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in texts}
+    signed = lambda i: (h := xxhash.xxh64_intdigest(struct.pack("<q", i), seed=42)) - (h >> 63 << 64)
+    learn = sorted((i for i in known if not held[i]), key=signed)
+    x, quality = np.array([brute_features(texts[i]) for i in learn]), np.array([known[i] for i in learn])
+    model = ranker.train(shape.measure(docs), labels)
+    weights = np.array(model.weights)
+
+    mean, spread = x.mean(0), x.std(0)
+    spread[spread == 0] = 1.0
+    standard, w = (x - mean) / spread, weights * spread
+    draw = np.random.default_rng(7)
+    good, bad = (standard[quality == k] for k in (1, 0))
+    pairs = good[draw.integers(len(good), size=ranker.MOST_PAIRS)] - bad[draw.integers(len(bad), size=ranker.MOST_PAIRS)]
+    slope = -(pairs / (1 + np.exp(pairs @ w))[:, None]).mean(0) + 1e-3 * w  # of a strictly convex loss: zero at its least value alone
+    assert np.abs(slope).max() < 1e-6
+
+    raw = x @ weights + model.shift
+    told = lambda cut: int(((raw >= cut) == quality).sum())
+    seen = sorted(set(raw.tolist()))
+    assert told(model.threshold) == max(map(told, [seen[0] - 1, *((a + b) / 2 for a, b in itertools.pairwise(seen)), seen[-1] + 1]))
+
+    out = ranker.score_documents(spark, docs, labels).collect()
+    assert sorted(r.doc_id for r in out) == sorted(texts)
+    for r in out:
+        z = float(np.dot(weights, brute_features(texts[r.doc_id]))) + model.shift - model.threshold + math.log(0.7 / 0.3)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-min(30.0, max(-30.0, z)))), abs=1e-9)
+        assert r.held_out == held[r.doc_id] and r.predicted == int(r.score >= 0.7)
+
+
 def test_ranker_drops_mostly_bad_documents(spark):
     good = lambda i: " ".join(f"word{(i * 7 + k * k) % 97} of" for k in range(60)) + "."
     junk = lambda i: "### $$$ !!! BUY %%% " * (20 + i % 7)

@@ -119,7 +119,10 @@ def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, mos
 
     One pass over the texts; its counts are written and read again, for the
     fit and for the scores.  Null and empty texts are scored by their (zero)
-    counts; a null doc_id gives a null held_out; repeated rows score alike.
+    counts; a null doc_id gives a null held_out; repeated rows score alike, and
+    equal texts too, so ties lie on one side of the cut.  A text of any length
+    is counted whole in one task.  Further columns are left out; an empty table
+    gives an empty result.
     """
     work = Workspace(spark, "ranker")
     measured = work.keep(shape.measure(docs), "measured")
