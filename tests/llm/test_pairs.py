@@ -1,6 +1,7 @@
 """Near-duplicate groups, exact dedup and repeat removal against brute force."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -291,6 +292,46 @@ def test_tree_nodes(suffixes):
     assert all(a < b for a, b in zip(tree.node_depth[tree.parent[tree.parent >= 0]].tolist(), tree.node_depth[tree.parent >= 0].tolist(), strict=True))
 
 
+@pytest.mark.parametrize("leads", ["ranges", "hot"])
+def test_open_bytes_are_fetched_in_passes(spark, docs, rows, monkeypatch, leads):
+    """Where open segments are many times the texts, a pass takes the buckets of its turn: together they give what one pass gives."""
+    turns = []
+    fetch = repeats._fetch
+    monkeypatch.setattr(repeats, "PASS_SHARE", 0.001)
+    monkeypatch.setattr(repeats, "_fetch", lambda *args: turns.append(args[3:]) or fetch(*args))
+    if leads == "hot":
+        monkeypatch.setattr(suffix_dedup.Ranges, "segments", lambda self, symbols, anchor: np.full(len(anchor), -1))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove(spark, docs).collect()}
+    assert got == brute_bytes(rows, 50)
+    assert len(turns) > 1 and turns == [(i, len(turns)) for i in range(len(turns))]
+
+
+def test_a_pass_holds_its_share():
+    """Copies in every task: the bytes of all open segments are several times the texts, those of a pass are not."""
+    draw = random.Random(8)
+    texts = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(200)) for _ in range(40)] * 2
+    windows, buckets = repeats.Windows(50, 16, False, False), 24
+    part = pa.RecordBatch.from_arrays([pa.array(range(80), pa.int64()), pa.array(texts)], names=["key", "text"])
+    out = pa.Table.from_batches(list(repeats._anchors(windows, 1, lambda *_: [])(iter([part.slice(0, 40)]))) + list(repeats._anchors(windows, 1, lambda *_: [])(iter([part.slice(40)]))))
+    met = pa.Table.from_batches(list(repeats._meet(windows, 1)(iter(out.to_batches()))))
+    opened = sum(k for k, kind in zip(met["key"].to_pylist(), met["kind"].to_pylist(), strict=True) if kind == repeats.OPENED)
+    size = sum(map(len, texts))
+    assert opened > 3 * size
+    text = pa.table({"dest": pa.array([0] * 80, pa.int32()), "kind": pa.array([repeats.TEXT] * 80, pa.int32()), "key": pa.array(range(80), pa.int64()), "text": texts, "blob": pa.nulls(80, pa.binary())})
+    batches = [b.combine_chunks().to_batches()[0] for b in (met.filter(pa.compute.equal(met["kind"], repeats.OPEN)), text)]
+    router = suffix_dedup.Ranges([], buckets, 50)
+
+    def fetched(*turn):
+        rows = pa.Table.from_batches(list(repeats._fetch(windows, 1, router, *turn)(iter(batches)))).to_pylist()
+        return [(r["dest"], [c.tolist() for c in repeats.unsqueeze(r["blob"])]) for r in rows if r["kind"] == repeats.OPEN]
+
+    whole, passes = fetched(), math.ceil(opened / (repeats.PASS_SHARE * size))
+    parts = [fetched(i, passes) for i in range(passes)]
+    assert sorted(whole) == sorted(sum(parts, []))
+    total = sum(len(c[4]) for _, c in whole)
+    assert total > 2 * size and max(sum(len(c[4]) for _, c in p) for p in parts) < repeats.PASS_SHARE * size
+
+
 def test_repeats_odd_rows_and_empty(spark, odd_docs, no_docs):
     for remove in (suffix_dedup.remove, suffix_tree_dedup.remove):
         out = remove(spark, odd_docs).collect()
